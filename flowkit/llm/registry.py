@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from flowkit.llm import byte_bpe, exact_dedup, language_id, media_sequences, url_reputation
+from flowkit.llm import byte_bpe, exact_dedup, html_text, language_id, media_sequences, mixing, pii, url_reputation
 from flowkit.llm.common import table
 
 QUERIES = {
+    "op1_source_mix": lambda spark, sf_dir: mixing.mix_sizes(table(spark, sf_dir, "documents")),
+    "op2_html_extraction": lambda spark, sf_dir: html_text.extract_text(table(spark, sf_dir, "pages")),
     "op4_media_columns": lambda spark, sf_dir: media_sequences.document_media(table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.label_copies(table(spark, sf_dir, "documents")),
+    "op6_personal_data": lambda spark, sf_dir: pii.find_personal_data(table(spark, sf_dir, "documents")),
     "op7_url_filters": lambda spark, sf_dir: url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
     "op8_language_id": lambda spark, sf_dir: language_id.identify(table(spark, sf_dir, "documents")),
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.encode_documents(table(spark, sf_dir, "documents")),
