@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from flowkit.llm.common import checkpoint, text_of
 from flowkit.operators.components import connected_components
 
-#: Words of an n-gram; the threshold as a fraction; slots of the count sketch as a power of two, and parts it is sent in.
-N, NUMERATOR, DENOMINATOR = 4, 85, 100
+#: Words of an n-gram; the threshold as numerator and denominator; slots of the count sketch as a power of two, and parts it is sent in.
+N, THRESHOLD = 4, (85, 100)
 SKETCH_BITS, SKETCH_PARTS = 20, 32
 _RUN_BYTES = 4 << 20
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -149,17 +149,19 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def required(a: Column, b: Column) -> Column:
-    """The least overlap that links sets of these sizes: 100 o >= 85 (a + b - o)."""
-    return F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
+def required(a: Column, b: Column, threshold: tuple[int, int]) -> Column:
+    """The least overlap o that links sets of sizes a and b: o at least the threshold's part of a + b - o."""
+    x, y = threshold
+    total = x * (a + b) + (x + y - 1)
+    return (total - total % (x + y)) / (x + y)
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n: int, threshold: tuple[int, int]) -> int:
     """Members of a set of n that must hold one shared with any linked set."""
-    return n - -(-NUMERATOR * n // DENOMINATOR) + 1
+    return n - -(-threshold[0] * n // threshold[1]) + 1
 
 
-def _index(n: int, bits: int, sketch):
+def _index(n: int, bits: int, sketch, threshold: tuple[int, int]):
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         seen: set = set()  # equal sets give the same entries: one copy a task is enough
@@ -170,7 +172,7 @@ def _index(n: int, bits: int, sketch):
                     continue
                 seen.add(sig)
                 often = counts[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                p = prefix_length(len(s))
+                p = prefix_length(len(s), threshold)
                 order = np.lexsort((s, often))[:p]
                 typical = int(1000 * np.log2(often).mean())
                 out.append([s[order].view(np.int64), np.full(p, sig[0]), np.full(p, len(s)), np.arange(p), np.full(p, typical)])
@@ -204,7 +206,7 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Dat
     return checkpoint(counted)
 
 
-def linked_classes(docs: DataFrame, n: int = N, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (key, doc_id, node, n), nodes (node, n, key, doc_id) and links (a, b) that connect all linked nodes.
 
     A node is a class of equal sets, with its least doc_id. Links hold enough pairs to connect whatever is linked.
@@ -225,19 +227,19 @@ def linked_classes(docs: DataFrame, n: int = N, sketch_bits: int = SKETCH_BITS)
         counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.int32)
     sketch = spark.sparkContext.broadcast(np.maximum(counts, 1))
 
-    entries = docs.select("key", "text").mapInArrow(_index(n, sketch_bits, sketch), "token long, node long, n long, at long, typical long")
+    entries = docs.select("key", "text").mapInArrow(_index(n, sketch_bits, sketch, threshold), "token long, node long, n long, at long, typical long")
     leads = entries.groupBy("token").agg(F.max(F.struct("typical", "node", "n", "at")).alias("lead"), F.min("node").alias("one"), F.max("node").alias("other"))
     leads = leads.where(F.col("one") != F.col("other")).select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.at").alias("atb"))
     shared = checkpoint(entries.join(leads, "token"))  # lists with two sets at least
 
     def open_pair(na: Column, ata: Column, nb: Column, atb: Column) -> Column:
-        return F.least(na - ata, nb - atb, na, nb) >= required(na, nb)
+        return F.least(na - ata, nb - atb, na, nb) >= required(na, nb, threshold)
 
     first = shared.where((F.col("node") != F.col("b")) & open_pair(F.col("n"), F.col("at"), F.col("nb"), F.col("atb")))
     first = checkpoint(first.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct())
     compared = _compare(first, nodes, docs, n)
     known = first.join(compared, ["a", "b"])
-    linked = F.col("both") >= required(F.col("na"), F.col("nb"))
+    linked = F.col("both") >= required(F.col("na"), F.col("nb"), threshold)
     links = known.where(linked).select("a", "b")
 
     groups = connected_components(links)
@@ -246,29 +248,29 @@ def linked_classes(docs: DataFrame, n: int = N, sketch_bits: int = SKETCH_BITS)
     lists = lists.join(torn, "token", "left_semi").join(known.select(F.col("a").alias("node"), "b", "both"), ["node", "b"], "left")
     lists = lists.withColumn("both", F.when(F.col("node") == F.col("b"), F.col("n")).otherwise(F.col("both")))
     # two linked sets are in the same size block or in neighbouring ones
-    block = F.floor(F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR))
+    block = F.floor(F.log(F.col("n").cast("double")) / math.log(threshold[1] / threshold[0]))
     lists = checkpoint(lists.distinct().withColumn("block", block))
     x = lists.select("token", "block", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("group").alias("ga"), F.col("both").alias("oa"))
     y = lists.select("token", F.explode(F.array(F.col("block") - 1, "block", F.col("block") + 1)).alias("block"), F.col("node").alias("b"), F.col("n").alias("nb_"), F.col("at").alias("atb_"), F.col("group").alias("gb"), F.col("both").alias("ob"), F.col("nb").alias("lead_n"))
-    need = required(F.col("na"), F.col("nb_"))
+    need = required(F.col("na"), F.col("nb_"), threshold)
     upper = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb_") - F.col("ob"))
     pairs = x.join(y, ["token", "block"]).where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & open_pair(F.col("na"), F.col("ata"), F.col("nb_"), F.col("atb_")) & F.coalesce(upper >= need, F.lit(True)))
     pairs = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb_").alias("nb"), F.max(F.col("oa") + F.col("ob") - F.col("lead_n")).alias("at_least"))
     pairs = checkpoint(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    derived = F.coalesce(F.col("at_least") >= required(F.col("na"), F.col("nb")), F.lit(False))
+    derived = F.coalesce(F.col("at_least") >= required(F.col("na"), F.col("nb"), threshold), F.lit(False))
     rest = pairs.where(~derived)
     more = rest.join(_compare(rest, nodes, docs, n), ["a", "b"]).where(linked).select("a", "b")
     return rows, nodes, links.unionByName(pairs.where(derived).select("a", "b")).unionByName(more)
 
 
-def components(docs: DataFrame, n: int = N, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def components(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Null texts count as empty; texts without words have no n-grams, link with nothing and are their own component. Rows
     without doc_id link like others; a component_id is null only if no row of the component has an id. Repeated rows give
     rows each. Extra columns are ignored.
     """
-    rows, nodes, links = linked_classes(docs, n, sketch_bits)
+    rows, nodes, links = linked_classes(docs, n, threshold, sketch_bits)
     groups = connected_components(links)
     nodes = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     nodes = nodes.select("node", "doc_id", "component")
@@ -280,9 +282,12 @@ def components(docs: DataFrame, n: int = N, sketch_bits: int = SKETCH_BITS) -> D
     return ids.join(found, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = N) -> DataFrame:
-    """The row with the least doc_id of every component, with its columns; see components. Repeats of it are dropped."""
-    found = components(docs, n).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct()
+def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The row with the least doc_id of every component, with its columns; see components. Repeats of it are dropped.
+
+    A near-duplicate stage takes five words and a similarity of 0.8.
+    """
+    found = components(docs, n, threshold).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct()
     kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).where(F.col("__id").eqNullSafe(F.col("__component")))
     return kept.dropDuplicates(["__id"]).select(*docs.columns)
 

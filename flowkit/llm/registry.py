@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from flowkit.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, media_sequences, mixing, pii, url_reputation
+from flowkit.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, media_sequences, mixing, pii, substring_dedup, url_reputation
 from flowkit.llm.common import table
 
 QUERIES = {
     "op1_source_mix": lambda spark, sf_dir: mixing.mix_sizes(table(spark, sf_dir, "documents")),
     "op2_html_extraction": lambda spark, sf_dir: html_text.extract_text(table(spark, sf_dir, "pages")),
+    "op3_suffix_dedup": lambda spark, sf_dir: substring_dedup.remove_repeats(table(spark, sf_dir, "documents")),
     "op4_media_columns": lambda spark, sf_dir: media_sequences.document_media(table(spark, sf_dir, "documents")),
     "op5_exact_dedup": lambda spark, sf_dir: exact_dedup.label_copies(table(spark, sf_dir, "documents")),
     "op6_personal_data": lambda spark, sf_dir: pii.find_personal_data(table(spark, sf_dir, "documents")),
