@@ -1,5 +1,6 @@
 """Every query of the library, without the llm subpackage."""
 
+from flowkit.plans import flow_queries  # noqa: F401
 from flowkit.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
