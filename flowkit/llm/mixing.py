@@ -83,7 +83,9 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     plan = targets.where(words > 0).select("s", blocks.alias("blocks"), slots.alias("slots"))
     plan = plan.withColumn("low", F.sum("slots").over(Window.orderBy("s")) - F.col("slots")).withColumn("all", F.sum("slots").over(Window.partitionBy()))
     starts = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_SLOTS_PER_ROW).cast("long"))
-    parts = plan.where("slots > 0").select("*", F.explode(starts).alias("from")).repartition("s", "from")
+    parts = plan.where("slots > 0").select("*", F.explode(starts).alias("from"))
+    # a number keeps the tasks apart: each row becomes thousands
+    parts = parts.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "from")
     upto = F.least(F.col("from") + _SLOTS_PER_ROW, F.col("slots")) - 1
     drawn = parts.select("s", "blocks", "low", "all", F.explode(F.sequence("from", upto)).alias("j"))
     drawn = drawn.withColumn("position", permuted(F.col("low") + F.col("j"), F.col("all"), [F.lit(seed)]))
@@ -107,7 +109,7 @@ def taken_pieces(rows: DataFrame, slots: DataFrame, block_words: int = BLOCK_WOR
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     pieces = pieces.withColumns({"from": F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start"), "upto": F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.col("start")})
     taken = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
-    return pieces.join(taken, ["s", "block"], "left")
+    return pieces.join(taken.hint("merge"), ["s", "block"], "left")  # it grows with the input: never broadcast
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
