@@ -9,7 +9,7 @@ from flowkit.functions import scalar
 
 
 def confusion_matrix(preds: DataFrame, classes: int) -> DataFrame:
-    """y_true, y_pred, n and percent of the true class, for all classes 0 .. classes-1."""
+    """y_true, y_pred, n and percent of the truth class, for all classes 0 .. classes-1."""
     n = preds.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
     one = F.sequence(F.lit(0), F.lit(classes - 1))
     grid = preds.sparkSession.range(1).select(F.explode(one).alias("y_true")).select("y_true", F.explode(one).alias("y_pred"))
@@ -38,19 +38,19 @@ def accuracy(preds: DataFrame) -> DataFrame:
 
 
 def forecast_errors(pairs: DataFrame) -> DataFrame:
-    """MAE, MSE, RMSE, MAPE and MSPE over rows (pred, true)."""
-    e, q = F.col("pred") - F.col("true"), (F.col("pred") - F.col("true")) / F.col("true")
+    """MAE, MSE, RMSE, MAPE and MSPE over rows (pred, truth)."""
+    e, q = F.col("pred") - F.col("truth"), (F.col("pred") - F.col("truth")) / F.col("truth")
     return pairs.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(q)).alias("mape"), F.avg(q * q).alias("mspe"))
 
 
 def rse_corr(pairs: DataFrame, channel: str) -> DataFrame:
     """Root relative squared error over all cells; correlation by channel with its denominator sqrt(sum of products of
     squares), averaged."""
-    overall = pairs.agg(F.avg("true").alias("m"))
-    e, d = F.col("true") - F.col("pred"), F.col("true") - F.col("m")
+    overall = pairs.agg(F.avg("truth").alias("m"))
+    e, d = F.col("truth") - F.col("pred"), F.col("truth") - F.col("m")
     rse = pairs.join(F.broadcast(overall)).agg((F.sqrt(F.sum(e * e)) / F.sqrt(F.sum(d * d))).alias("rse"))
-    means = pairs.groupBy(channel).agg(F.avg("true").alias("mt"), F.avg("pred").alias("mp"))
-    t, p = F.col("true") - F.col("mt"), F.col("pred") - F.col("mp")
+    means = pairs.groupBy(channel).agg(F.avg("truth").alias("mt"), F.avg("pred").alias("mp"))
+    t, p = F.col("truth") - F.col("mt"), F.col("pred") - F.col("mp")
     corr = pairs.join(means, channel).groupBy(channel).agg((F.sum(t * p) / F.sqrt(F.sum(t * t * p * p))).alias("c")).agg(F.avg("c").alias("corr"))
     return rse.join(F.broadcast(corr))  # one row each
 
@@ -61,10 +61,10 @@ def masked_errors(pairs: DataFrame, mask: str = "mask") -> DataFrame:
 
 
 def m4_scores(forecast: DataFrame, insample: DataFrame, frequency: int) -> DataFrame:
-    """series, smape, mape and mase from forecast (series, step, pred, true) and insample (series, step, value)."""
-    a = F.abs(F.col("true")) + F.abs(F.col("pred"))
-    e = F.abs(F.col("pred") - F.col("true"))
-    s = forecast.groupBy("series").agg(F.avg(200 * e / F.when(a == 0, 1.0).otherwise(a)).alias("smape"), F.avg(100 * e / F.when(F.col("true") == 0, 1.0).otherwise(F.abs("true"))).alias("mape"), F.avg(e).alias("mae"))
+    """series, smape, mape and mase from forecast (series, step, pred, truth) and insample (series, step, value)."""
+    a = F.abs(F.col("truth")) + F.abs(F.col("pred"))
+    e = F.abs(F.col("pred") - F.col("truth"))
+    s = forecast.groupBy("series").agg(F.avg(200 * e / F.when(a == 0, 1.0).otherwise(a)).alias("smape"), F.avg(100 * e / F.when(F.col("truth") == 0, 1.0).otherwise(F.abs("truth"))).alias("mape"), F.avg(e).alias("mae"))
     lag = F.lag("value", frequency).over(Window.partitionBy("series").orderBy("step"))
     naive = insample.withColumn("d", F.abs(F.col("value") - lag)).groupBy("series").agg(F.avg("d").alias("naive"))
     return s.join(naive, "series").select("series", "smape", "mape", scalar.safe_div(F.col("mae"), F.col("naive")).alias("mase"))
@@ -83,12 +83,12 @@ def m4_owa_summary(scores: DataFrame, naive: DataFrame) -> DataFrame:
 
 
 def masked_losses(pairs: DataFrame, frequency_scale: str = "scale") -> DataFrame:
-    """MAPE, sMAPE and MASE with mask weights; divisions by zero count as 0. pairs: pred, true, mask, scale."""
-    e = F.abs(F.col("pred") - F.col("true"))
-    w = scalar.safe_div(F.col("mask"), F.col("true"))
-    s = scalar.safe_div(e, F.abs("pred") + F.abs("true")) * F.col("mask")
+    """MAPE, sMAPE and MASE with mask weights; divisions by zero count as 0. pairs: pred, truth, mask, scale."""
+    e = F.abs(F.col("pred") - F.col("truth"))
+    w = scalar.safe_div(F.col("mask"), F.col("truth"))
+    s = scalar.safe_div(e, F.abs("pred") + F.abs("truth")) * F.col("mask")
     m = e * scalar.safe_div(F.col("mask"), F.col(frequency_scale))
-    return pairs.agg(F.avg(F.abs((F.col("pred") - F.col("true")) * w)).alias("mape"), (200 * F.avg(s)).alias("smape"), F.avg(m).alias("mase"))
+    return pairs.agg(F.avg(F.abs((F.col("pred") - F.col("truth")) * w)).alias("mape"), (200 * F.avg(s)).alias("smape"), F.avg(m).alias("mase"))
 
 
 def latency_summary(samples: DataFrame, key: str, value: str, batch: str) -> DataFrame:
@@ -133,7 +133,7 @@ def anomaly_threshold(energy: DataFrame, value: str, ratio: float) -> DataFrame:
 
 
 def point_adjust(scored: DataFrame, series: str, order: str) -> DataFrame:
-    """scored (gt, pred as 0 or 1) with adjusted: all of a true segment from its first place but place 0 of the series, if
+    """scored (gt, pred as 0 or 1) with adjusted: all of a truth segment from its first place but place 0 of the series, if
     any point of it is predicted. Place 0 keeps its own prediction."""
     w = Window.partitionBy(series).orderBy(order)
     change = F.coalesce((F.col("gt") != F.lag("gt").over(w)).cast("int"), F.lit(0))
