@@ -21,10 +21,10 @@ def _text_schema(columns) -> str:
 def read_packet_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = PACKET_COLUMNS, recursive: bool = True) -> DataFrame:
     """The columns of all captures under path with file and row_pos, the row's place in its file.
 
-    Columns are matched by the header of the file; one that the files lack is null. Bad bytes become replacement
-    characters, torn rows have nulls.
+    The files share one header, in any order of columns; a file with another header raises an error. A column that they
+    lack is null. Bad bytes become replacement characters, torn rows have nulls.
     """
-    lines = spark.read.option("header", True).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").csv(path)
+    lines = spark.read.option("header", True).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
     lines = lines.select(*[(F.col(f"`{c}`") if c in lines.columns else F.lit(None).cast("string")).alias(c) for c in columns], F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("row_pos"))
     return lines
 
