@@ -4,14 +4,17 @@ Every window of WINDOW bytes owns one anchor: the start of the least GRAM-byte s
 Equal windows have equal anchors at equal offsets, so only suffixes that start at anchors are sorted, and only those whose
 GRAM bytes occur in two documents.
 
-1. Documents are cut into blocks. Each block sends the hashes of its anchors, as sorted differences, to buckets by range;
-   a bucket answers which of them are shared.
-2. Blocks send the distinct contexts of shared anchors. Spark folds equal contexts to the least document that has them.
-3. The contexts of one anchor string are the suffixes to sort: multikey quicksort on eight-byte characters to a shallow
-   depth, then a blind trie for each group that is still equal. Common prefixes of neighbours and hashes of what stands
-   before the anchor tell which windows are equal, and so the windows that an earlier document has. An anchor string with
-   very many contexts is not sorted in one task: its windows are folded one by one with the same result.
-4. The answers return to the blocks, which remove the covered bytes.
+1. Documents are cut into blocks. A block asks, for the hashes of its anchors, which of them other documents have too; it
+   sends sorted differences to buckets by hash range and gets a bit for each.
+2. For each distinct context of a shared anchor it asks which is the least document with that context, and for each shared
+   anchor how many contexts there are. Documents greater than the least one of their context lose all its windows.
+3. The contexts of one anchor string are the suffixes to sort, each once: multikey quicksort on eight-byte characters to a
+   shallow depth, then a blind trie for each group that is still equal. Common prefixes of neighbours and hashes of what
+   stands before the anchor tell which windows a lesser document has. An anchor string with very many contexts is not
+   sorted in one task: its blocks ask for the least document of each of its windows instead, with the same result.
+4. The blocks remove what the answers cover.
+
+Blocks hold many documents each, and a bucket hears of a hash once a block, so no key gathers more than a word per block.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,28 +144,14 @@ def _texts(row: dict) -> tuple[list[int], list[bytes]]:
     return row["ids"], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-_CUT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
-_CUT_SQL = "block long, bucket int, ids array<long>, sizes array<long>, data binary"
-
-
-def _cut(block_bytes: int, buckets: int):
-    def rows(block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys = []
-        for run in _runs(ids, texts):
-            order = np.lexsort((run.doc, run.keys))
-            k, d = _short(run.keys[order]), run.doc[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            keys.append(k[new])
-        k = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        keep = np.ones(len(k), bool)
-        keep[2:] = k[2:] != k[:-2]  # twice tells that the block alone shares it
-        k = k[keep]
-        out = [(block, -1, ids, [len(t) for t in texts], zstandard.ZstdCompressor(level=3).compress(b"".join(texts)))]
-        cuts = np.searchsorted(k, np.array([-(-(b << _KEY_BITS) // buckets) for b in range(buckets + 1)]))
-        out += [(block, b, None, None, _pack(np.diff(k[x:y], prepend=0))) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-        for x in range(0, len(out), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[x : x + 256], strict=True), _CUT, strict=True)], schema=_CUT)
+_BLOCK_SQL = "block long, ids array<long>, sizes array<long>, data binary"
+
+
+def _cut(block_bytes: int):
+    def row(block: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        data = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
+        sizes = [len(t) for t in texts]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "ids", "sizes", "data"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -176,68 +166,195 @@ def _cut(block_bytes: int, buckets: int):
                     texts.append(text.encode())
                     size += len(texts[-1])
                     if size > block_bytes:
-                        yield from rows(block, ids, texts)
+                        yield row(block, ids, texts)
                         block += 1
                         ids, texts, size = [], [], 0
         if ids:
-            yield from rows(block, ids, texts)
+            yield row(block, ids, texts)
 
     return cut
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One bucket: for each block the hashes that are shared."""
-    blocks = table.column("block").to_pylist()
-    keys = [np.cumsum(_unpack(x)) for x in table.column("data").to_pylist()]
-    every, n = np.unique(np.concatenate(keys), return_counts=True)
-    every = every[n > 1]
-    out = []
-    for k in keys:
-        own = np.unique(k)
-        own = own[np.isin(own, every, assume_unique=True)] if len(every) else own[:0]
-        out.append(_pack(np.diff(own, prepend=0)))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
-
-
-def _send(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """One block: its distinct contexts of shared anchors, each with the least document of the block that has it."""
-    shared = [np.cumsum(_unpack(x)) for x in answers.column("data").to_pylist()]
-    shared = np.sort(np.concatenate(shared)) if shared else np.zeros(0, np.int64)
-    keys, cids, docs, ctxs, known = [], [], [], [], blocks.column("block").to_pylist()
-    for row in blocks.to_pylist():
+# --- questions and answers. A question is (block, kind, bucket, data): hashes with an integer each, sorted by hash. Its
+# answer, in the same order and with the same block, kind and bucket, is an integer for each hash.
+
+_ASK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
+_ASK_SQL = "block long, kind int, bucket int, data binary"
+#: SHARED: two documents or blocks have the anchor string. LEAST: the least document. COUNT: the sum over blocks.
+_SHARED, _LEAST, _COUNT, _WINDOW, _BITS = range(5)
+
+
+def _questions(block: int, kind: int, hashes: np.ndarray, values: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows for sorted hashes below 2**_KEY_BITS or 2**62 (by kind)."""
+    top = _bound(kind)
+    cuts = np.searchsorted(hashes, np.array([-(-(b * top) // buckets) for b in range(buckets + 1)], np.int64))
+    return [(block, kind, b, _pack(np.concatenate([np.diff(hashes[x:y], prepend=0), values[x:y]]))) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
+
+
+def _bound(kind: int) -> int:
+    return 1 << (_KEY_BITS if kind in (_SHARED, _COUNT) else _ENTRY_BITS)
+
+
+def _asked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = _unpack(data)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """All questions of one kind and bucket."""
+    kind = table.column("kind")[0].as_py()
+    asked = [_asked(x) for x in table.column("data").to_pylist()]
+    every, at = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+    values = np.concatenate([v for _, v in asked])
+    if kind in (_LEAST, _WINDOW):
+        found = np.full(len(every), _LAST)
+        np.minimum.at(found, at, values)
+    else:
+        found = np.zeros(len(every), np.int64)
+        np.add.at(found, at, values)
+        if kind == _SHARED:
+            found = (found > 1).astype(np.int64)
+    out = np.split(found[at], np.cumsum([len(h) for h, _ in asked])[:-1])
+    return table.select(["block", "kind", "bucket"]).append_column("data", pa.array([_pack(x) for x in out], pa.binary()))
+
+
+def _batch(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * 4, _ASK, strict=True)], schema=_ASK)
+
+
+def _answers(table: pa.Table, kind: int) -> np.ndarray:
+    """The answers of one kind to one block, in the order of its sorted hashes."""
+    rows = [(r["bucket"], r["data"]) for r in table.select(["kind", "bucket", "data"]).to_pylist() if r["kind"] == kind]
+    return np.concatenate([_unpack(d) for _, d in sorted(rows)]) if rows else np.zeros(0, np.int64)
+
+
+def _anchor_hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted anchor hashes of a block and the number of its documents (2 at most) that have each."""
+    keys = []
+    for run in _runs(*_texts(row)):
+        order = np.lexsort((run.doc, run.keys))
+        k, d = _short(run.keys[order]), run.doc[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        keys.append(k[new])
+    k, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+    return k, np.minimum(n, 2)
+
+
+_ENTRY_BITS = 60
+
+
+def _entry(key: np.ndarray, cid: np.ndarray) -> np.ndarray:
+    """One number for a context of an anchor string."""
+    return (_mix(key ^ (cid * _MIX2)) >> _U(64 - _ENTRY_BITS)).astype(np.int64)
+
+
+class _Held:
+    """The contexts of a block's shared anchors: for each run the anchors, their entries and documents; and the distinct
+    entries of the block in order, with their least document."""
+
+    def __init__(self, row: dict, shared: np.ndarray) -> None:
+        self.runs = []
+        entries, docs, keys = [], [], []
         for run in _runs(*_texts(row)):
             at = np.flatnonzero(np.isin(_short(run.keys), shared)) if len(shared) else np.zeros(0, np.int64)
-            if len(at):
-                _, _, rows = run.contexts(at)
-                keys.append(run.keys[at])
-                cids.append(_context_ids(rows))
-                docs.append(run.ids[run.doc[at]])
-                order = np.lexsort((docs[-1], cids[-1], keys[-1]))
-                keys[-1], cids[-1], docs[-1], rows = keys[-1][order], cids[-1][order], docs[-1][order], rows[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (keys[-1][1:] != keys[-1][:-1]) | (cids[-1][1:] != cids[-1][:-1])
-                keys[-1], cids[-1], docs[-1] = keys[-1][new], cids[-1][new], docs[-1][new]
-                ctxs.append(rows[new])
-    if not keys:
-        return pa.table({"block": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "doc": pa.array([], pa.int64()), "context": pa.array([], pa.binary())})
-    k, c, d = np.concatenate(keys), np.concatenate(cids), np.concatenate(docs)
-    order = np.lexsort((d, c, k))
-    new = np.ones(len(order), bool)
-    new[1:] = (k[order][1:] != k[order][:-1]) | (c[order][1:] != c[order][:-1])
-    order = order[new]
-    rows = np.concatenate(ctxs)[order]
-    width = rows.shape[1]
-    flat = pa.py_buffer(np.ascontiguousarray(rows))
-    offsets = pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32))
-    return pa.table(
-        {
-            "block": pa.array(np.full(len(rows), known[0])),
-            "key": pa.array(k[order].view(np.int64)),
-            "cid": pa.array(c[order].view(np.int64)),
-            "doc": pa.array(d[order]),
-            "context": pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, flat]),
-        }
-    )
+            cid = _context_ids(run.contexts(at)[2]) if len(at) else np.zeros(0, np.uint64)
+            e, d = _entry(run.keys[at], cid), run.ids[run.doc[at]]
+            self.runs.append((run, at, cid, e, d))
+            entries.append(e)
+            docs.append(d)
+            keys.append(_short(run.keys[at]))
+        e, d, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (entries, docs, keys))
+        order = np.lexsort((d, e))
+        new = np.append(True, e[order][1:] != e[order][:-1]) if len(e) else np.zeros(0, bool)
+        self.entries, self.least, self.keys = e[order][new], d[order][new], k[order][new]
+
+
+def _shared_of(row: dict, answers: pa.Table) -> np.ndarray:
+    keys, _ = _anchor_hashes(row)
+    return keys[_answers(answers, _SHARED) > 0] if len(keys) else keys
+
+
+def _ask_anchors(buckets: int):
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield from _batch(_questions(row["block"], _SHARED, *_anchor_hashes(row), buckets)).to_batches(256)
+
+    return ask
+
+
+def _ask_contexts(buckets: int):
+    def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for row in blocks.to_pylist():
+            held = _Held(row, _shared_of(row, answers))
+            rows += _questions(row["block"], _LEAST, held.entries, held.least, buckets)
+            rows += _questions(row["block"], _COUNT, *np.unique(held.keys, return_counts=True), buckets)
+        return _batch(rows)
+
+    return ask
+
+
+_OPEN = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("entry", pa.int64()), ("doc", pa.int64()), ("context", pa.binary())])
+_OPEN_SQL = "block long, kind int, bucket int, data binary, key long, entry long, doc long, context binary"
+
+
+def _windows_of(row: np.ndarray, key: int) -> dict[int, int]:
+    """Offset to hash of each window in a context."""
+    left, right, side = int(row[0]), int(row[1]), WINDOW - GRAM
+    out = {}
+    for o in range(STARTS):
+        if left >= o and right >= WINDOW - o:
+            w = row[2 : 2 + o][::-1].tobytes() + row[2 + side : 2 + side + WINDOW - o].tobytes()
+            out[o] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big") >> (64 - _ENTRY_BITS)
+    return out
+
+
+def _open_contexts(held: _Held, answers: pa.Table, limit: int) -> tuple[list[tuple], list[tuple]]:
+    """What is still open in a block: contexts of anchors with several of them, whose least document is here, and such of
+    anchors with more than limit. Tuples (key, entry, doc, context)."""
+    least, counts = _answers(answers, _LEAST), _answers(answers, _COUNT)
+    keys = np.unique(held.keys)
+    few, many = [], []
+    here = held.least == least  # in order of entries
+    n = counts[np.searchsorted(keys, held.keys)] if len(keys) else counts
+    wanted = held.entries[here & (n > 1)]
+    large = set(held.entries[here & (n > limit)].tolist())
+    done: set[int] = set()
+    for run, at, _, e, d in held.runs:
+        own = np.flatnonzero(np.isin(e, wanted)) if len(wanted) else np.zeros(0, np.int64)
+        own = own[d[own] == held.least[np.searchsorted(held.entries, e[own])]]
+        first = np.unique(e[own], return_index=True)[1]
+        own = own[np.sort(first)]
+        contexts = run.contexts(at[own])[2] if len(own) else np.zeros((0, 2 + WINDOW - GRAM + WINDOW), np.uint8)
+        for k, row in zip(own.tolist(), contexts, strict=True):
+            if (x := int(e[k])) not in done:
+                done.add(x)
+                (many if x in large else few).append((int(run.keys[at[k]].view(np.int64)), x, int(d[k]), row))
+    return few, many
+
+
+def _ask_open(buckets: int, limit: int):
+    def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        tables = []
+        for row in blocks.to_pylist():
+            few, many = _open_contexts(_Held(row, _shared_of(row, answers)), answers, limit)
+            if few:
+                n = len(few)
+                columns = [pa.array(np.full(n, row["block"])), pa.array(np.full(n, _BITS, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array([x[k] for x in few], pa.int64()) for k in range(3)), pa.array([x[3].tobytes() for x in few], pa.binary())]
+                tables.append(pa.Table.from_arrays(columns, schema=_OPEN))
+            windows: dict[int, int] = {}
+            for key, _, doc, context in many:
+                for h in _windows_of(context, key).values():
+                    windows[h] = min(doc, windows.get(h, doc))
+            asked = _questions(row["block"], _WINDOW, np.array(sorted(windows), np.int64), np.array([windows[h] for h in sorted(windows)], np.int64), buckets)
+            if asked:
+                t = _batch(asked)
+                tables.append(pa.Table.from_arrays([*t.columns, *(pa.nulls(len(t), f.type) for f in list(_OPEN)[4:])], schema=_OPEN))
+        return pa.concat_tables(tables) if tables else _OPEN.empty_table()
+
+    return ask
 
 
 def multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,24 +492,45 @@ def covered_offsets(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np
 
 
 def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cid, doc, context) sorted by key; whole keys are solved together."""
+    """Rows sorted by kind, bucket and key: questions about windows, bucket by bucket, and contexts, key by key. Gives
+    answers for the blocks: those to windows, and (entry, bits) of contexts."""
     width = 2 + WINDOW - GRAM + WINDOW
 
     def solved(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
-        key = t.column("key").to_numpy()
-        context = np.frombuffer(b"".join(t.column("context").to_pylist()), np.uint8).reshape(-1, width)
-        bits = covered_offsets(key, context, t.column("doc").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(t.column("cid").to_numpy()), pa.array(t.column("doc").to_numpy()), pa.array(bits)], names=["key", "cid", "doc", "bits"])
+        for kind in (_WINDOW, _BITS):
+            own = t.filter(pa.compute.equal(t.column("kind"), kind))
+            if not len(own):
+                continue
+            if kind == _WINDOW:
+                bucket = own.column("bucket").to_numpy()
+                for b in np.unique(bucket):
+                    yield from _answer(own.select(["block", "kind", "bucket", "data"]).filter(pa.array(bucket == b))).to_batches()
+                continue
+            key = own.column("key").to_numpy()
+            context = np.frombuffer(b"".join(own.column("context").to_pylist()), np.uint8).reshape(-1, width)
+            bits = covered_offsets(key, context, own.column("doc").to_numpy())
+            hit = np.flatnonzero(bits)
+            block, entry = own.column("block").to_numpy()[hit], own.column("entry").to_numpy()[hit]
+            order = np.argsort(block, kind="stable")
+            block, entry, bits = block[order], entry[order], bits[hit][order]
+            first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            rows = [(int(block[a]), _BITS, 0, _pack(np.concatenate([entry[a:z], bits[a:z]]))) for a, z in zip(first, [*first[1:], len(block)], strict=True)]
+            yield from _batch(rows).to_batches()
 
     held: list[pa.RecordBatch] = []
     n = 0
+
+    def label(b: pa.RecordBatch, k: int) -> tuple:
+        return tuple(b.column(c)[k].as_py() for c in ("kind", "bucket", "key"))
+
     for b in batches:
         if not b.num_rows:
             continue
         if n > GROUP_LIMIT:
-            key = b.column("key").to_numpy()
-            cut = int(np.searchsorted(key != held[-1].column("key")[-1].as_py(), True)) if key[-1] != held[-1].column("key")[-1].as_py() else b.num_rows
+            last, cut = label(held[-1], held[-1].num_rows - 1), 0
+            while cut < b.num_rows and label(b, cut) == last:
+                cut += 1
             if cut < b.num_rows:
                 yield from solved([*held, b.slice(0, cut)])
                 held, n, b = [], 0, b.slice(cut)
@@ -402,46 +540,51 @@ def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solved(held)
 
 
-def _finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """One block: documents without the bytes that earlier ones have."""
-    key, cid = answers.column("key").to_numpy().view(np.uint64), answers.column("cid").to_numpy().view(np.uint64)
-    joint = _mix(key ^ (cid * _MIX2))
-    order = np.argsort(joint)
-    joint, least, bits = joint[order], answers.column("doc").to_numpy()[order], answers.column("bits").to_numpy()[order]
-    out: dict[str, list] = {x: [] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-    every = (1 << STARTS) - 1
-    for row in blocks.to_pylist():
-        for run in _runs(*_texts(row)):
-            raw = run.raw
-            covered = np.zeros(len(raw) + 1, np.int64)
-            if len(run.places) and len(joint):
-                mask = np.zeros(len(run.places), np.int64)
-                held = np.flatnonzero(np.isin(run.keys, key))
-                if len(held):
-                    own = _mix(run.keys[held] ^ (_context_ids(run.contexts(held)[2]) * _MIX2))
-                    at = np.minimum(np.searchsorted(joint, own), len(joint) - 1)
-                    hit = joint[at] == own
-                    mask[held] = np.where(hit, np.where(run.ids[run.doc[held]] > least[at], every, bits[at]), 0)
-                gone = run.windows[(mask[np.searchsorted(run.places, run.owner)] >> (run.owner - run.windows) & 1).astype(bool)]
-                covered[gone] += 1
-                covered[gone + WINDOW] -= 1
-            gone = np.cumsum(covered)[:-1] > 0
-            for doc, a, b in zip(run.ids.tolist(), run.starts.tolist(), run.ends.tolist(), strict=True):
-                lost = gone[a:b]
-                n = int(lost.sum())
-                kept = raw[a:b][~lost].tobytes() if n else raw[a:b].tobytes()
-                out["doc_id"].append(doc if doc != _LAST else None)
-                out["n_bytes"].append(b - a)
-                out["n_removed"].append(n)
-                out["n_spans"].append(int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if n else 0)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept)
-    types = {"kept_sha256": pa.string(), "kept": pa.binary()}
-    return pa.table({x: pa.array(v, types.get(x, pa.int64())) for x, v in out.items()})
-
-
-def _finish_short(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    return _finish(blocks, answers).drop_columns(["kept"])
+def _finish(limit: int, whole: bool):
+    def finish(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        """One block: documents without the bytes that lesser ones have."""
+        out: dict[str, list] = {x: [] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} | ({"kept": []} if whole else {})
+        every = (1 << STARTS) - 1
+        for row in blocks.to_pylist():
+            held = _Held(row, _shared_of(row, answers))
+            least = _answers(answers, _LEAST)
+            bits = dict.fromkeys((), 0)
+            for r in answers.filter(pa.compute.equal(answers.column("kind"), _BITS)).column("data").to_pylist():
+                both = _unpack(r)
+                bits.update(zip(both[: len(both) // 2].tolist(), both[len(both) // 2 :].tolist(), strict=True))
+            many = _open_contexts(held, answers, limit)[1]
+            if many:
+                windows = [_windows_of(context, key) for key, _, _, context in many]
+                asked = sorted({h for w in windows for h in w.values()})
+                known = dict(zip(asked, _answers(answers, _WINDOW).tolist(), strict=True))
+                for (_, entry, doc, _), w in zip(many, windows, strict=True):
+                    bits[entry] = sum(1 << o for o, h in w.items() if known[h] < doc)
+            for run, at, _, e, d in held.runs:
+                raw = run.raw
+                covered = np.zeros(len(raw) + 1, np.int64)
+                if len(at):
+                    own = np.array([bits.get(x, 0) for x in e.tolist()], np.int64) if bits else np.zeros(len(e), np.int64)
+                    mask = np.zeros(len(run.places), np.int64)
+                    mask[at] = np.where(d > least[np.searchsorted(held.entries, e)], every, own)
+                    gone = run.windows[(mask[np.searchsorted(run.places, run.owner)] >> (run.owner - run.windows) & 1).astype(bool)]
+                    covered[gone] += 1
+                    covered[gone + WINDOW] -= 1
+                gone = np.cumsum(covered)[:-1] > 0
+                for doc, a, b in zip(run.ids.tolist(), run.starts.tolist(), run.ends.tolist(), strict=True):
+                    lost = gone[a:b]
+                    n = int(lost.sum())
+                    kept = raw[a:b][~lost].tobytes() if n else raw[a:b].tobytes()
+                    out["doc_id"].append(doc if doc != _LAST else None)
+                    out["n_bytes"].append(b - a)
+                    out["n_removed"].append(n)
+                    out["n_spans"].append(int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum()) if n else 0)
+                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                    if whole:
+                        out["kept"].append(kept)
+        types = {"kept_sha256": pa.string(), "kept": pa.binary()}
+        return pa.table({x: pa.array(v, types.get(x, pa.int64())) for x, v in out.items()})
+
+    return finish
 
 
 def remove_repeats(docs: DataFrame, whole: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -453,30 +596,25 @@ def remove_repeats(docs: DataFrame, whole: bool = False, block_bytes: int = BLOC
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), text_of().alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    cut = checkpoint(docs.mapInArrow(_cut(block_bytes, tasks_for(size, bucket_bytes)), _CUT_SQL))  # block numbers must not change
-    blocks = cut.where("bucket < 0").select("block", "ids", "sizes", "data").repartition("block")
-    shared = cut.where("bucket >= 0").select("block", "bucket", "data").groupBy("bucket").applyInArrow(_shared, "block long, data binary")
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send, "block long, key long, cid long, doc long, context binary")
-    sent = checkpoint(sent)
-    folded = sent.groupBy("key", "cid").agg(F.min("doc").alias("doc"), F.min("context").alias("context"))
-    solved = checkpoint(_solved(folded, group_limit))
-    answers = sent.select("block", "key", "cid").join(solved, ["key", "cid"])
+    buckets = tasks_for(size, bucket_bytes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = checkpoint(docs.mapInArrow(_cut(block_bytes), _BLOCK_SQL))  # block numbers must not change
+    blocks = cut.repartition(parts, "block").persist(StorageLevel.MEMORY_AND_DISK)  # each step goes over them
+
+    def answered(questions: DataFrame) -> DataFrame:
+        return questions.groupBy("kind", "bucket").applyInArrow(_answer, _ASK_SQL)
+
+    def ask(how, known: DataFrame, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(how, schema)
+
+    known = checkpoint(answered(blocks.mapInArrow(_ask_anchors(buckets), _ASK_SQL)))
+    known = checkpoint(known.unionByName(answered(ask(_ask_contexts(buckets), known, _ASK_SQL))))
+    left = ask(_ask_open(buckets, group_limit), known, _OPEN_SQL)
+    left = left.repartition("kind", "bucket", "key").sortWithinPartitions("kind", "bucket", "key")
+    known = known.unionByName(left.mapInArrow(_solve, _ASK_SQL))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish if whole else _finish_short, schema)
-
-
-def _solved(folded: DataFrame, group_limit: int) -> DataFrame:
-    """key, cid, doc and bits of every context. Keys with more than group_limit contexts are folded window by window."""
-    large = folded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key")
-    few = folded.join(large, "key", "left_anti").select("key", "cid", "doc", "context")
-    few = few.repartition("key").sortWithinPartitions("key").mapInArrow(_solve, "key long, cid long, doc long, bits long")
-    many = folded.join(large, "key", "left_semi")
-    left, right = F.conv(F.hex(F.substring("context", 1, 1)), 16, 10).cast("int"), F.conv(F.hex(F.substring("context", 2, 1)), 16, 10).cast("int")
-    rows = many.select("key", "cid", "doc", "context", left.alias("left"), right.alias("right"), F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("o"))
-    side = WINDOW - GRAM
-    window = F.sha2(F.concat(F.substr("context", F.lit(3), F.col("o")), F.substr("context", F.lit(3 + side), WINDOW - F.col("o"))), 256)
-    rows = rows.where((F.col("left") >= F.col("o")) & (F.col("right") >= WINDOW - F.col("o"))).select("key", "cid", "doc", "o", window.alias("window"))
-    least = rows.groupBy("key", "o", "window").agg(F.min("doc").alias("least"))
-    bits = rows.join(least, ["key", "o", "window"]).where(F.col("doc") > F.col("least")).groupBy("key", "cid").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("o"))).alias("bits"))
-    many = many.select("key", "cid", "doc").join(bits, ["key", "cid"], "left").select("key", "cid", "doc", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return few.unionByName(many)
+    out = ask(_finish(group_limit, whole), known, schema)
+    if not whole:  # small rows: with them kept, the blocks can go
+        out = checkpoint(out)
+        blocks.unpersist()
+    return out
