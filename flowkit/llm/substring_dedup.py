@@ -96,16 +96,19 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 class _Run:
-    """A few documents of a block as one array of bytes."""
+    """A few documents of a block as one array of bytes: places, keys and documents of their anchors, windows and the
+    index of each window's anchor."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
         self.ids = np.array(ids, np.int64)
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
-        self.windows, self.owner, self.hashes = anchors(self.raw, self.starts, self.ends)
-        self.places = np.unique(self.owner)
-        self.keys = self.hashes[self.places]
+        windows, owner, hashes = anchors(self.raw, self.starts, self.ends)
+        new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)  # a later window's anchor is no earlier
+        self.places = owner[new]
+        self.windows, self.owner = windows.astype(np.int32), (np.cumsum(new) - 1).astype(np.int32)
+        self.keys = hashes[self.places]
         self.doc = np.searchsorted(self.ends, self.places, side="right")
 
     def contexts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,10 +231,10 @@ def _answers(table: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([_unpack(d) for _, d in sorted(rows)]) if rows else np.zeros(0, np.int64)
 
 
-def _anchor_hashes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+def _anchor_hashes(runs: Iterable[_Run]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted anchor hashes of a block and the number of its documents (2 at most) that have each."""
     keys = []
-    for run in _runs(*_texts(row)):
+    for run in runs:
         order = np.lexsort((run.doc, run.keys))
         k, d = _short(run.keys[order]), run.doc[order]
         new = np.ones(len(k), bool)
@@ -253,10 +256,14 @@ class _Held:
     """The contexts of a block's shared anchors: for each run the anchors, their entries and documents; and the distinct
     entries of the block in order, with their least document."""
 
-    def __init__(self, row: dict, shared: np.ndarray) -> None:
+    def __init__(self, row: dict, answers: pa.Table) -> None:
         self.runs = []
         entries, docs, keys = [], [], []
-        for run in _runs(*_texts(row)):
+        runs = list(_runs(*_texts(row)))
+        shared = _anchor_hashes(runs)[0]
+        if len(shared):
+            shared = shared[_answers(answers, _SHARED) > 0]
+        for run in runs:
             at = np.flatnonzero(np.isin(_short(run.keys), shared)) if len(shared) else np.zeros(0, np.int64)
             cid = _context_ids(run.contexts(at)[2]) if len(at) else np.zeros(0, np.uint64)
             e, d = _entry(run.keys[at], cid), run.ids[run.doc[at]]
@@ -270,16 +277,11 @@ class _Held:
         self.entries, self.least, self.keys = e[order][new], d[order][new], k[order][new]
 
 
-def _shared_of(row: dict, answers: pa.Table) -> np.ndarray:
-    keys, _ = _anchor_hashes(row)
-    return keys[_answers(answers, _SHARED) > 0] if len(keys) else keys
-
-
 def _ask_anchors(buckets: int):
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from _batch(_questions(row["block"], _SHARED, *_anchor_hashes(row), buckets)).to_batches(256)
+                yield from _batch(_questions(row["block"], _SHARED, *_anchor_hashes(_runs(*_texts(row))), buckets)).to_batches(256)
 
     return ask
 
@@ -288,7 +290,7 @@ def _ask_contexts(buckets: int):
     def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         for row in blocks.to_pylist():
-            held = _Held(row, _shared_of(row, answers))
+            held = _Held(row, answers)
             rows += _questions(row["block"], _LEAST, held.entries, held.least, buckets)
             rows += _questions(row["block"], _COUNT, *np.unique(held.keys, return_counts=True), buckets)
         return _batch(rows)
@@ -339,7 +341,7 @@ def _ask_open(buckets: int, limit: int):
     def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         tables = []
         for row in blocks.to_pylist():
-            few, many = _open_contexts(_Held(row, _shared_of(row, answers)), answers, limit)
+            few, many = _open_contexts(_Held(row, answers), answers, limit)
             if few:
                 n = len(few)
                 columns = [pa.array(np.full(n, row["block"])), pa.array(np.full(n, _BITS, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array([x[k] for x in few], pa.int64()) for k in range(3)), pa.array([x[3].tobytes() for x in few], pa.binary())]
@@ -546,7 +548,7 @@ def _finish(limit: int, whole: bool):
         out: dict[str, list] = {x: [] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")} | ({"kept": []} if whole else {})
         every = (1 << STARTS) - 1
         for row in blocks.to_pylist():
-            held = _Held(row, _shared_of(row, answers))
+            held = _Held(row, answers)
             least = _answers(answers, _LEAST)
             bits = dict.fromkeys((), 0)
             for r in answers.filter(pa.compute.equal(answers.column("kind"), _BITS)).column("data").to_pylist():
@@ -566,7 +568,7 @@ def _finish(limit: int, whole: bool):
                     own = np.array([bits.get(x, 0) for x in e.tolist()], np.int64) if bits else np.zeros(len(e), np.int64)
                     mask = np.zeros(len(run.places), np.int64)
                     mask[at] = np.where(d > least[np.searchsorted(held.entries, e)], every, own)
-                    gone = run.windows[(mask[np.searchsorted(run.places, run.owner)] >> (run.owner - run.windows) & 1).astype(bool)]
+                    gone = run.windows[(mask[run.owner] >> (run.places[run.owner] - run.windows) & 1).astype(bool)]
                     covered[gone] += 1
                     covered[gone + WINDOW] -= 1
                 gone = np.cumsum(covered)[:-1] > 0
