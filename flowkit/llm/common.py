@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowkit.operators.components import checkpoint
+
+__all__ = ["SPACE", "WORD", "checkpoint", "table", "tasks_for", "text_of"]
+
 #: White space of the word rules: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,18 +23,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
-
-    Only where spark.checkpoint.dir is unset, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def tasks_for(n_bytes: int, per_task: int, least: int = 1) -> int:
     """How many tasks share n_bytes when each takes about per_task."""
     return max(least, -(-int(n_bytes) // per_task))

@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from flowkit.operators.components import connected_components
 #: Words of an n-gram; the threshold as numerator and denominator; slots of the count sketch as a power of two, and parts it is sent in.
 N, THRESHOLD = 4, (85, 100)
 SKETCH_BITS, SKETCH_PARTS = 20, 32
-_RUN_BYTES = 4 << 20
+#: Bits of the filter of the texts that are compared, as a power of two.
+FILTER_BITS = 26
+_RUN_BYTES = 1 << 20
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -182,6 +185,75 @@ def _index(n: int, bits: int, sketch, threshold: tuple[int, int]):
     return index
 
 
+_ENTRY = "token long, node long, n long, at long, typical long"
+
+
+def _in_lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by token and node, those whose token has two nodes at least, each once. Most tokens have one.
+
+    Lists stream by: what is held is the first entry of the last token.
+    """
+    held: pa.RecordBatch | None = None  # the last entry so far, if its token has no other node yet
+    last = (None, None)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        token, node = b.column("token").to_numpy(), b.column("node").to_numpy()
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        new[0] = (token[0], node[0]) != last
+        if not new.any():
+            continue
+        b = b.filter(pa.array(new))
+        token, node = token[new], node[new]
+        same = token[1:] == token[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        if last[0] == token[0]:
+            keep[0] = True
+            if held is not None:
+                yield held
+            held = None
+        last = (token[-1], node[-1])
+        alone = not keep[-1]
+        if keep.any():
+            yield b.filter(pa.array(keep))
+        held = b.slice(b.num_rows - 1) if alone else None
+
+
+def _bits_of(bits: int):
+    def bits_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits - 3, np.uint8)
+        for b in batches:
+            at = (b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(seen, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        if seen.any():
+            parts = np.split(seen, SKETCH_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])], names=["part", "counts"])
+
+    return bits_of
+
+
+def _either(table: pa.Table) -> pa.Table:
+    total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in table.column("counts").to_pylist()])
+    return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _probably_in(keys: DataFrame, bits: int = FILTER_BITS):
+    """A predicate on hashed keys that holds for all of these and few others; the filter has 2**bits bits for any input."""
+    seen = np.zeros((1 << bits) // 8, np.uint8)
+    for r in keys.mapInArrow(_bits_of(bits), "part int, counts binary").groupBy("part").applyInArrow(_either, "part int, counts binary").collect():
+        size = len(seen) // SKETCH_PARTS
+        seen[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(seen)
+
+    @F.pandas_udf("boolean")
+    def holds(key: pd.Series) -> pd.Series:
+        at = (key.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return holds
+
+
 def _overlap(n: int):
     def overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,7 +271,9 @@ def _overlap(n: int):
 def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """pairs (a, b, na, nb) with both, the size of their intersection, counted on the whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
-    texts = docs.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
+    wanted = checkpoint(wanted)
+    some = docs.where(_probably_in(wanted.select("key"))(F.col("key")))  # few texts are in a pair, and only they are shuffled
+    texts = some.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
     x = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     counted = x.select("a", "b", "x", "y").mapInArrow(_overlap(n), "a long, b long, both long")
@@ -227,10 +301,11 @@ def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THR
         counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.int32)
     sketch = spark.sparkContext.broadcast(np.maximum(counts, 1))
 
-    entries = docs.select("key", "text").mapInArrow(_index(n, sketch_bits, sketch, threshold), "token long, node long, n long, at long, typical long")
-    leads = entries.groupBy("token").agg(F.max(F.struct("typical", "node", "n", "at")).alias("lead"), F.min("node").alias("one"), F.max("node").alias("other"))
-    leads = leads.where(F.col("one") != F.col("other")).select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.at").alias("atb"))
-    shared = checkpoint(entries.join(leads, "token"))  # lists with two sets at least
+    entries = docs.select("key", "text").mapInArrow(_index(n, sketch_bits, sketch, threshold), _ENTRY)
+    entries = checkpoint(entries.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_in_lists, _ENTRY))
+    leads = entries.groupBy("token").agg(F.max(F.struct("typical", "node", "n", "at")).alias("lead"))
+    leads = leads.select("token", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"), F.col("lead.at").alias("atb"))
+    shared = checkpoint(entries.join(leads, "token"))
 
     def open_pair(na: Column, ata: Column, nb: Column, atb: Column) -> Column:
         return F.least(na - ata, nb - atb, na, nb) >= required(na, nb, threshold)

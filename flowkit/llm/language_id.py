@@ -25,7 +25,7 @@ N, SLOT_BITS, HASHES, MIN_SHARE = 4, 20, 2, 1e-6
 MAX_LANGUAGES = 64
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_RUN_BYTES = 4 << 20
+_RUN_BYTES = 1 << 20
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
