@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowkit.llm.common import checkpoint
 from flowkit.llm.url_reputation import host_of
 
 #: A subtree is template when it is on MIN_PAGES different pages of the host, and on MIN_SHARE of them.
@@ -209,7 +210,8 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     Pages with a null url share the empty host. Repeated pages give rows each; other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    rows = rows.join(site_templates(pages, min_pages, min_share), "host", "left").select("page_id", "url", "html", "template")
+    templates = checkpoint(site_templates(pages, min_pages, min_share))  # then the join can split a large host
+    rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
