@@ -122,25 +122,26 @@ def dtw_path(a: np.ndarray, b: np.ndarray, window: int | None = None, slope: str
     within the window gives infinity and an empty path."""
     n, m = len(a), len(b)
     window = max(window if window is not None else max(n, m), abs(n - m) if slope == "symmetric" else 0)
-    cost = np.full((n + 1, m + 2), np.inf)
-    cost[0, 1] = 0
-    local = np.array([[dist(x, y) for y in b] for x in a]) if dist else np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    cost = [[float("inf")] * (m + 2) for _ in range(n + 1)]  # lists: single items of numpy arrays are slow to read
+    cost[0][1] = 0.0
+    local = [[dist(x, y) for y in b] for x in a] if dist else np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).tolist()
     for i in range(1, n + 1):
+        above, row, near = cost[i - 1], cost[i], local[i - 1]
         for j in range(max(1, i - window), min(m, i + window) + 1):
-            before = (cost[i - 1, j], cost[i - 1, j + 1], cost[i, j]) if slope == "symmetric" else (cost[i - 1, j + 1], cost[i - 1, j], cost[i - 1, j - 1])
-            cost[i, j + 1] = local[i - 1, j - 1] + min(before)
-    if not np.isfinite(cost[n, m + 1]):
+            before = min(above[j], above[j + 1], row[j]) if slope == "symmetric" else min(above[j + 1], above[j], above[j - 1])
+            row[j + 1] = near[j - 1] + before
+    if not np.isfinite(cost[n][m + 1]):
         return float("inf"), []
     path, i, j = [], n, m
     while i > 0 and j > 0:
         path.append((i - 1, j - 1))
         if slope == "symmetric":
-            k = int(np.argmin((cost[i - 1, j], cost[i - 1, j + 1], cost[i, j])))
+            k = int(np.argmin((cost[i - 1][j], cost[i - 1][j + 1], cost[i][j])))
             i, j = i - (k != 2), j - (k != 1)
         else:
-            k = int(np.argmin((cost[i - 1, j + 1], cost[i - 1, j], cost[i - 1, j - 1])))
+            k = int(np.argmin((cost[i - 1][j + 1], cost[i - 1][j], cost[i - 1][j - 1])))
             i, j = i - 1, j - k
-    return float(cost[n, m + 1]), path[::-1]
+    return float(cost[n][m + 1]), path[::-1]
 
 
 def _shape(a: np.ndarray, width: int) -> np.ndarray:

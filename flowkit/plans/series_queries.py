@@ -15,8 +15,8 @@ def plain(s, d):
     return vectors(s, d).select("series", "step", "value")
 
 
-def long_arrays(s, d, n=16):
-    return table(s, d, "embeddings").select(F.col("vec_id").alias("series"), "label", F.slice(F.col("embedding").cast("array<double>"), 1, n).alias("values"))
+def long_arrays(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("series"), "label", F.col("embedding").cast("array<double>").alias("values"))
 
 
 query("j1_jitter")(lambda s, d: augment.jitter(plain(s, d), 0.03, 1))
@@ -43,10 +43,13 @@ def _pairs(s, d):
     return augment.same_class_partner(long_arrays(s, d), 5).select("series", "partner", F.col("values").alias("a"), F.col("partner_values").alias("b"))
 
 
-query("j9_dtw_join")(lambda s, d: augment.dtw_join(_pairs(s, d).where(augment.lb_keogh("a", "b", 16) < 1e9)).select("series", "partner", "distance"))
+query("j9_dtw_join")(lambda s, d: augment.dtw_join(_pairs(s, d).where(augment.lb_keogh("a", "b", 64) < 1e9)).select("series", "partner", "distance"))
 query("j9_dtw_asymmetric")(lambda s, d: augment.dtw_join(_pairs(s, d), slope="asymmetric").select("series", "partner", "distance"))
 query("j10_shape_dtw_join")(lambda s, d: augment.dtw_join(_pairs(s, d), shape=5).select("series", "partner", "distance"))
 query("j11_dtw_metric", "SELECT count(*) AS pairs, 0.0 AS dtw FROM embeddings")(lambda s, d: (lambda a: augment.dtw_metric(a, a))(long_arrays(s, d).select("series", "values")))
+query("j11_dtw_metric_partner")(
+    lambda s, d: (lambda p: augment.dtw_metric(p.select("series", F.col("a").alias("values")), p.select("series", F.col("b").alias("values"))).withColumn("dtw", F.round("dtw", 6)))(_pairs(s, d))
+)
 query("j12_augment_rounds", f"WITH {VEC} SELECT copy, CASE WHEN copy = 0 THEN 'original' ELSE 'jitter' END AS tag, count(*) AS n FROM vec, (SELECT unnest([0, 1, 2]) AS copy) GROUP BY ALL")(
     lambda s, d: augment.augment_rounds(plain(s, d), 2, lambda x, k: augment.jitter(x, 0.03, k), "jitter").groupBy("copy", "tag").agg(F.count(F.lit(1)).alias("n"))
 )
