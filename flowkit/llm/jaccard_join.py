@@ -280,6 +280,11 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Dat
     return checkpoint(counted)
 
 
+def _first() -> Column:
+    """Orders rows by doc_id, those without one last, then by key."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+
+
 def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (key, doc_id, node, n), nodes (node, n, key, doc_id) and links (a, b) that connect all linked nodes.
 
@@ -291,7 +296,7 @@ def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THR
     rows = survey.where(F.col("key").isNotNull()).select("key", F.col("set1").alias("node"), "set2", "n")
     ids = docs.select("key", "doc_id").distinct()
     rows = rows.distinct().join(ids, "key")
-    nodes = rows.where(F.col("n") > 0).groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("__least"))
+    nodes = rows.where(F.col("n") > 0).groupBy("node").agg(F.max("n").alias("n"), F.min(_first()).alias("__least"))
     nodes = nodes.select("node", "n", F.col("__least.key").alias("key"), F.col("__least.doc_id").alias("doc_id"))
 
     counts = np.zeros(1 << sketch_bits, np.int32)
@@ -338,6 +343,13 @@ def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THR
     return rows, nodes, links.unionByName(pairs.where(derived).select("a", "b")).unionByName(more)
 
 
+def _in_components(docs: DataFrame, n: int, threshold: tuple[int, int], sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of linked_classes, and its nodes with component, a node."""
+    rows, nodes, links = linked_classes(docs, n, threshold, sketch_bits)
+    nodes = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows, nodes
+
+
 def components(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -345,9 +357,7 @@ def components(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHO
     without doc_id link like others; a component_id is null only if no row of the component has an id. Repeated rows give
     rows each. Extra columns are ignored.
     """
-    rows, nodes, links = linked_classes(docs, n, threshold, sketch_bits)
-    groups = connected_components(links)
-    nodes = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows, nodes = _in_components(docs, n, threshold, sketch_bits)
     nodes = nodes.select("node", "doc_id", "component")
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = nodes.join(least, "component").select("node", "component_id")
@@ -360,11 +370,14 @@ def components(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHO
 def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The row with the least doc_id of every component, with its columns; see components. Repeats of it are dropped.
 
-    A near-duplicate stage takes five words and a similarity of 0.8.
+    Rows are told apart by doc_id and text: a row without doc_id is kept only if its whole component has none, and of rows
+    that share the least doc_id one is kept. A near-duplicate stage takes five words and a similarity of 0.8.
     """
-    found = components(docs, n, threshold).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component")).distinct()
-    kept = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).where(F.col("__id").eqNullSafe(F.col("__component")))
-    return kept.dropDuplicates(["__id"]).select(*docs.columns)
+    rows, nodes = _in_components(docs, n, threshold)
+    kept = nodes.groupBy("component").agg(F.min(_first()).alias("__least")).select(F.col("__least.key").alias("__key"))
+    kept = kept.unionByName(rows.where(F.col("n") == 0).select(F.col("key").alias("__key")))
+    found = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text_of())).join(kept, "__key")
+    return found.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from flowkit.llm import jaccard_join
 from flowkit.operators import augment
 from flowkit.plans import catalog, series_queries
 
@@ -31,3 +32,18 @@ def test_warping_takes_whole_embeddings(spark):
     assert one.pairs == len(again) and abs(one.dtw - sum(again) / len(again)) < 2e-6 and one.dtw > 0
     for q in ("j6_spawner", "j6_random_guided_warp_shape", "j7_wdba"):
         assert catalog.QUERIES[q](spark, SF).select(F.min(F.size("values"))).first()[0] == 64
+
+
+def test_near_copies_without_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text(x)) for x in "abc"] + [(None, text("a") + " more"), (7, text("d")), (7, text("e")), (None, text("f")), (9, text("f")), (8, text("f") + " more"), (None, text("g")), (3, text("g"))]
+    rows += [(None, ""), (None, " "), (None, text("b"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect()]
+    either = [r for r in kept if (r[1] or "").startswith("a0")]
+    assert len(either) == 1 and either[0] in rows
+    wanted = [(None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("f") + " more"), (3, text("g")), (None, ""), (None, " ")]
+    assert sorted(map(str, kept)) == sorted(map(str, wanted + either))
+    named = {(r.doc_id, r.component_id) for r in jaccard_join.components(df).where("n_shingles > 0").collect()}
+    assert {c for i, c in named if i == 3} == {3} and {c for _, c in named} == {None, 7, 8, 3}
+    assert jaccard_join.components(df).where("component_id = 3").count() == 2
