@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions.scalar import hash_normal, hash_uniform
+from flowkit.operators.components import checkpoint
 
 
 def jitter(df: DataFrame, sigma: float, seed: int) -> DataFrame:
@@ -30,12 +31,18 @@ def rotation(df: DataFrame, channels: int, seed: int) -> DataFrame:
     return df.withColumns({"value": F.col("value") * sign, "channel": order[F.col("channel")]["c"]})
 
 
-def permutation(df: DataFrame, n: int, most: int, seed: int) -> DataFrame:
-    """The steps of each series cut into 1 .. most-1 equal segments, which change places."""
+def permutation(df: DataFrame, n: int, most: int, seed: int, mode: str = "equal") -> DataFrame:
+    """The steps of each series cut into 1 .. most-1 segments, which change places: equal ones, or random ones, cut before
+    different places out of 0 .. n-3."""
     count = 1 + F.floor(hash_uniform(seed, F.col("series")) * (most - 1))
     segment = F.floor(F.col("step") * count / n)
+    if mode == "random":
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 3)), lambda c: F.struct(F.xxhash64(F.lit(seed + 2), F.col("series"), c).alias("h"), c.alias("c"))))
+        cuts = df.select("series").distinct().withColumn("__cuts", F.slice(order, F.lit(1), (count - 1).cast("int"))["c"])
+        df = df.join(cuts, "series")
+        segment = F.size(F.filter("__cuts", lambda c: c <= F.col("step")))
     d = df.withColumns({"__h": F.xxhash64(F.lit(seed + 1), F.col("series"), segment), "__g": segment})
-    return d.withColumn("step", F.row_number().over(Window.partitionBy("series").orderBy("__h", "__g", "step")) - 1).drop("__h", "__g")
+    return d.withColumn("step", F.row_number().over(Window.partitionBy("series").orderBy("__h", "__g", "step")) - 1).drop("__h", "__g", "__cuts")
 
 
 def _spline_basis(n: int, knots: int) -> np.ndarray:
@@ -156,19 +163,30 @@ def _matrix(values) -> np.ndarray:
     return x.reshape(len(values), -1)
 
 
-def dtw_join(pairs: DataFrame, window: int | None = None, slope: str = "symmetric", shape: int | None = None, dist: Callable | None = None) -> DataFrame:
-    """pairs (with array columns a and b) with distance; shape compares local descriptors of that width instead of steps."""
+def dtw_join(pairs: DataFrame, window: int | None = None, slope: str = "symmetric", shape: int | None = None, dist: Callable | None = None, path: bool = False) -> DataFrame:
+    """pairs (with array columns a and b) with distance, and with path (places in a and b, from 0) if asked for; shape
+    compares local descriptors of that width instead of steps."""
 
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    def warped(a: pd.Series, b: pd.Series) -> list:
         out = []
         for x, y in zip(a, b, strict=True):
             x, y = _matrix(x), _matrix(y)
             if shape:
                 x, y = _shape(x, shape), _shape(y, shape)
-            out.append(dtw_path(x, y, window, slope, dist)[0])
-        return pd.Series(out)
+            out.append(dtw_path(x, y, window, slope, dist))
+        return out
 
+    @F.pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([d for d, _ in warped(a, b)])
+
+    @F.pandas_udf("distance double, path array<struct<a:int,b:int>>")
+    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = warped(a, b)
+        return pd.DataFrame({"distance": [d for d, _ in found], "path": [[{"a": i, "b": j} for i, j in p] for _, p in found]})
+
+    if path:
+        return pairs.withColumn("__w", both("a", "b")).withColumns({"distance": F.col("__w.distance"), "path": F.col("__w.path")}).drop("__w")
     return pairs.withColumn("distance", distance("a", "b"))
 
 
@@ -182,10 +200,38 @@ def lb_keogh(a: str, b: str, window: int) -> Column:
     return F.aggregate(F.transform(a, part), F.lit(0.0), lambda s, x: s + x)
 
 
-def dtw_metric(pred: DataFrame, truth: DataFrame) -> DataFrame:
+def dtw_cost(a: np.ndarray, b: np.ndarray, warp: int = 1, band: int | None = None, weight: float = 1.0) -> float:
+    """The warping cost (Manhattan) of the reference's metric: warp looks that many cells aside, band is the greatest
+    difference of places (at least that of the lengths), weight multiplies the costs of steps off the diagonal."""
+    n, m = len(a), len(b)
+    if band is not None and band < abs(n - m):
+        raise ValueError("the band is narrower than the difference of the lengths")
+    inf = float("inf")
+    cost = [[inf] * (m + 1) for _ in range(n + 1)]
+    cost[0][0] = 0.0
+    near = np.abs(a[:, None] - b[None]).sum(axis=2).tolist()
+    for i in range(n):
+        for j in range(m):
+            if band is None or abs(i - j) <= band:
+                cost[i + 1][j + 1] = near[i][j]  # cells ahead, which a warp above 1 meets, hold the step's own cost
+    for i in range(n):
+        for j in range(m):
+            if band is None or abs(i - j) <= band:
+                aside = (x for k in range(1, warp + 1) for x in (cost[min(i + k, n)][j] * weight, cost[i][min(j + k, m)] * weight))
+                cost[i + 1][j + 1] += min(cost[i][j], *aside)
+    return cost[n][m]
+
+
+def dtw_metric(pred: DataFrame, truth: DataFrame, warp: int = 1, band: int | None = None, weight: float = 1.0) -> DataFrame:
     """The mean warping distance (absolute differences, normed by both lengths) between (series, values) tables."""
     pairs = pred.select("series", F.col("values").alias("a")).join(truth.select("series", F.col("values").alias("b")), "series")
-    d = dtw_join(pairs).withColumn("normed", F.col("distance") / (F.size("a") + F.size("b")))
+
+    @F.pandas_udf("double")
+    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([dtw_cost(_matrix(x), _matrix(y), warp, band, weight) for x, y in zip(a, b, strict=True)])
+
+    d = dtw_join(pairs) if (warp, band, weight) == (1, None, 1.0) else pairs.withColumn("distance", cost("a", "b"))
+    d = d.withColumn("normed", F.col("distance") / (F.size("a") + F.size("b")))
     return d.agg(F.count(F.lit(1)).alias("pairs"), F.avg("normed").alias("dtw"))
 
 
@@ -266,12 +312,29 @@ def wdba(df: DataFrame, size: int, seed: int, rounds: int = 3) -> DataFrame:
     return _batches(df, size, seed).select("label", "batch", "series", "values").groupBy("label", "batch").applyInPandas(centre, f"label {kind}, batch long, values array<double>")
 
 
-def discriminative_guided_warp(df: DataFrame, size: int, seed: int, shape: int | None = None) -> DataFrame:
+def variable_slice(df: DataFrame, seed: int) -> DataFrame:
+    """Cuts values as window_slice does, by 0.9 + 0.1 * amount / the greatest amount of all rows, or by 0.9 if that is 0."""
+    top = df.agg(F.max("amount").alias("__top"))
+    n, v, at = F.size("values"), F.col("values"), F.col("__start")
+    ratio = F.when(F.col("__top") > 0, 0.9 + 0.1 * F.col("amount") / F.col("__top")).otherwise(0.9)
+    d = df.join(F.broadcast(top)).withColumn("__length", F.greatest(F.lit(2), F.ceil(ratio * n)))  # one row
+    d = d.withColumn("__start", F.floor(hash_uniform(seed, F.col("series")) * (n - F.col("__length") + 1)))
+
+    def value(i: Column) -> Column:
+        place = at + i * (F.col("__length") - 1) / (n - 1)
+        low = F.least(F.floor(place), n - 2).cast("int")
+        return F.get(v, low) + (F.get(v, low + 1) - F.get(v, low)) * (place - low)
+
+    cut = F.transform(F.sequence(F.lit(0), n - 1), value)
+    return d.withColumn("values", F.when(n > 1, cut).otherwise(v)).drop("__top", "__length", "__start")
+
+
+def discriminative_guided_warp(df: DataFrame, size: int, seed: int, shape: int | None = None, slices: bool = True) -> DataFrame:
     """Each series warped by the member of its batch that lies nearest to its own class and farthest from the others.
 
     Batches hold size series in hash order over all classes, so a series meets some of its own class and of others. Where a
     batch has one class only, the series nearest to its fellows guides. Gives series, label, guide, amount (the mean shift)
-    and values.
+    and values, which variable_slice cuts unless slices is False.
     """
 
     def warp(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -298,7 +361,8 @@ def discriminative_guided_warp(df: DataFrame, size: int, seed: int, shape: int |
     buckets = F.pmod(F.xxhash64(F.lit(seed), F.col("series")), F.lit(max(1, -(-df.count() // size))))
     d = df.withColumn("batch", buckets)
     d = d.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("batch").orderBy("series")) - 1) / (2 * size)))
-    return d.select("batch", "part", "series", "label", "values").groupBy("batch", "part").applyInPandas(warp, f"series {s}, label {t}, guide {s}, amount double, values array<double>")
+    d = d.select("batch", "part", "series", "label", "values").groupBy("batch", "part").applyInPandas(warp, f"series {s}, label {t}, guide {s}, amount double, values array<double>")
+    return variable_slice(checkpoint(d), seed + 1) if slices else d  # the greatest amount and the rows come from one run
 
 
 #: Kernels by name, for series in long arrays: functions from a pandas group to a pandas group.

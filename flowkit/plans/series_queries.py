@@ -27,6 +27,9 @@ query("j2_rotation", f"WITH {VEC} SELECT series, count(*) AS n, round(sum(abs(va
 query("j3_permutation", f"WITH {VEC} SELECT series, count(*) AS n, round(sum(value), 6) AS total FROM vec GROUP BY series")(
     lambda s, d: augment.permutation(plain(s, d), 64, 5, 3).groupBy("series").agg(F.count_distinct("step").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 )
+query("j3_permutation_random", f"WITH {VEC} SELECT series, count(*) AS n, round(sum(value), 6) AS total FROM vec GROUP BY series")(
+    lambda s, d: augment.permutation(plain(s, d), 64, 5, 3, "random").groupBy("series").agg(F.count_distinct("step").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+)
 query("j4_magnitude_warp")(lambda s, d: augment.magnitude_warp(plain(s, d), 64, seed=2))
 query("j4_time_warp")(lambda s, d: augment.time_warp(plain(s, d), 64, seed=2))
 query("j5_window_slice")(lambda s, d: augment.window_slice(plain(s, d), 64, 0.9, 2))

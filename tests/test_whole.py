@@ -47,3 +47,45 @@ def test_near_copies_without_ids(spark):
     named = {(r.doc_id, r.component_id) for r in jaccard_join.components(df).where("n_shingles > 0").collect()}
     assert {c for i, c in named if i == 3} == {3} and {c for _, c in named} == {None, 7, 8, 3}
     assert jaccard_join.components(df).where("component_id = 3").count() == 2
+
+
+def test_guided_warps_are_sliced_by_amount(spark):
+    rows = [(k, 0, [float(x) for x in range(10)], a) for k, a in enumerate((0.0, 1.0, 2.0))]
+    df = spark.createDataFrame(rows, "series long, label int, values array<double>, amount double")
+    found = {r.series: r["values"] for r in augment.variable_slice(df, 1).collect()}
+    for k, length in ((0, 9), (1, 10), (2, 10)):  # ceil(10 * (0.9, 0.95, 1))
+        v = found[k]
+        assert len(v) == 10 and abs(v[-1] - v[0] - (length - 1)) < 1e-9 and abs(v[5] - v[4] - (length - 1) / 9) < 1e-9
+    still = augment.variable_slice(df.withColumn("amount", F.lit(0.0)), 1).collect()
+    assert all(abs(r["values"][-1] - r["values"][0] - 8) < 1e-9 for r in still)
+    two = spark.createDataFrame([(k, k % 2, [float((x * (k + 3)) % 7) for x in range(20)]) for k in range(12)], "series long, label long, values array<double>")
+    whole = {r.series: r for r in augment.discriminative_guided_warp(two, 12, 3, slices=False).collect()}
+    cut = {r.series: r for r in augment.discriminative_guided_warp(two, 12, 3).collect()}
+    assert {k: r.amount for k, r in whole.items()} == {k: r.amount for k, r in cut.items()} and any(whole[k]["values"] != cut[k]["values"] for k in cut)
+
+
+def test_random_segments(spark):
+    df = spark.createDataFrame([(s, k, float(k)) for s in range(40) for k in range(20)], "series long, step int, value double")
+    lengths = set()
+    v = augment.permutation(df, 20, 5, 3, "random").groupBy("series").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("v")).collect()
+    for r in v:
+        x = [p["value"] for p in r.v]
+        runs = [0, *[k for k in range(1, 20) if x[k] != x[k - 1] + 1], 20]
+        assert len(runs) - 1 <= 4 and sorted(x) == [float(k) for k in range(20)]
+        lengths |= {b - a for a, b in zip(runs, runs[1:], strict=False)}
+    assert len(lengths) > 6  # equal segments have 5, 6, 7, 10 or 20 steps, or sums of them
+
+
+def test_warping_paths_and_bands(spark):
+    import numpy as np
+
+    pairs = spark.createDataFrame([(1, [0.0, 1.0, 5.0], [0.0, 0.0, 5.0])], "series long, a array<double>, b array<double>")
+    r = augment.dtw_join(pairs, path=True).first()
+    assert r.distance == 1 and [(p.a, p.b) for p in r.path] == augment.dtw_path(np.array([[0.0], [1], [5]]), np.array([[0.0], [0], [5]]))[1]
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=9), rng.normal(size=9)
+    tables = [spark.createDataFrame([(1, x.tolist())], "series long, values array<double>") for x in (a, b)]
+    assert abs(augment.dtw_metric(*tables, band=8).first().dtw - warped(a, b) / 18) < 1e-9
+    assert abs(augment.dtw_metric(*tables, band=0).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
+    assert abs(augment.dtw_metric(*tables, weight=1e9).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
+    assert augment.dtw_metric(*tables, warp=2).first().dtw <= augment.dtw_metric(*tables).first().dtw + 1e-9
