@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def before_in_range(parts: DataFrame, n: Column, *keys: str) -> DataFrame:
+    """(keys, __part), __before and __total: sums of n over the earlier ranges and over all ranges of the same keys."""
+    sizes = parts.groupBy(*keys, "__part").agg(F.sum(n).alias("__size"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__size").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select(*keys, "__part", before.alias("__before"), F.sum("__size").over(w).alias("__total"))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its place by order, from 1: ranges are counted first, then each is numbered by itself."""
+    r = checkpoint(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    r = r.withColumn("__in", inside).join(before_in_range(r, F.lit(1)), "__part")
+    return r.withColumn(name, F.col("__in") + F.col("__before")).select(*df.columns, name)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node and component, the least node reachable from it, for every node of an edge; loops and repeats don't matter.
 

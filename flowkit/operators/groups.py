@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +35,33 @@ def label_fingerprint(df: DataFrame, row: str, label: str) -> DataFrame:
 
 
 def label_digest(df: DataFrame, row: str, label: str) -> DataFrame:
-    """SHA-256 of the labels in the order of rows, joined by commas; for label vectors that fit one task."""
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(row, label))), lambda x: x[label].cast("string")), ",")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(listed, 256).alias("digest"))
+    """SHA-256 of the labels in the order of rows, joined by commas; null labels are left out.
+
+    Tasks sort ranges of rows and join their labels to blocks. SHA-256 of one text is a chain, so a last task hashes the
+    blocks in order, as a stream: it holds one batch of them, never the labels.
+    """
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for k, b in enumerate(batches):
+            text = [x for x in b.column(0).to_pylist() if x is not None]
+            made = pa.array([",".join(text) if text else None], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([k]), pa.array([b.num_rows]), made], names=["part", "k", "n", "text"])
+
+    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, rows, first = hashlib.sha256(), 0, True
+        for b in batches:
+            rows += sum(b.column(0).to_pylist())
+            for text in b.column(1):
+                if text.is_valid:
+                    h.update((("" if first else ",") + text.as_py()).encode())
+                    first = False
+        yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([h.hexdigest()])], names=["rows", "digest"])
+
+    sort = df.select(F.col(row).alias("r"), F.col(label).alias("l")).repartitionByRange("r", "l").sortWithinPartitions("r", "l")
+    made = sort.select(F.col("l").cast("string")).mapInArrow(blocks, "part long, k long, n long, text string")
+    chain = made.repartition(1).sortWithinPartitions("part", "k").select("n", "text").mapInArrow(digest, "rows long, digest string")
+    return chain.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def occurrence_number(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions import scalar
+from flowkit.operators.components import before_in_range, checkpoint
 
 
 def confusion_matrix(preds: DataFrame, classes: int) -> DataFrame:
@@ -91,13 +92,38 @@ def masked_losses(pairs: DataFrame, frequency_scale: str = "scale") -> DataFrame
     return pairs.agg(F.avg(F.abs((F.col("pred") - F.col("truth")) * w)).alias("mape"), (200 * F.avg(s)).alias("smape"), F.avg(m).alias("mase"))
 
 
+def exact_percentiles(df: DataFrame, value: str, places: dict[str, float], *keys: str) -> DataFrame:
+    """Exact percentiles by keys, linear between neighbours, nulls left out; without keys always one row.
+
+    Equal values are counted first; ranges of the distinct ones are dealt over tasks, and only their counts meet.
+    """
+    d = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    d = checkpoint(d.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()))
+    d = d.withColumn("__to", F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy("__v")))
+    sizes = before_in_range(d, F.col("__n"), *keys).withColumnsRenamed({k: f"__{k}" for k in keys}).withColumnRenamed("__part", "__p")
+    on = F.col("__part") == F.col("__p")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    d = d.join(sizes, on).withColumn("__to", F.col("__to") + F.col("__before"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__to") - F.col("__n") <= place) & (place < F.col("__to")), F.col("__v").cast("double")))
+
+    rank = {k: p * (F.col("__total") - 1) for k, p in places.items()}
+    low, high = ({k: at(f(x)) for k, x in rank.items()} for f in (F.floor, F.ceil))
+    part = {k: F.max(x - F.floor(x)) for k, x in rank.items()}
+    return d.groupBy(*keys).agg(*[F.when(low[k] == high[k], low[k]).otherwise((1 - part[k]) * low[k] + part[k] * high[k]).alias(k) for k in places])
+
+
 def latency_summary(samples: DataFrame, key: str, value: str, batch: str) -> DataFrame:
     """Mean, deviation and exact percentiles of latency in ms, per item, and items a second."""
-    q = lambda p: F.percentile(value, p)
-    return samples.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"), F.stddev_samp(value).alias("std_ms"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"), q(0.99).alias("p99_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"),
+    out = samples.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_ms"), F.stddev_samp(value).alias("std_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"),
         (F.avg(value) / F.max(batch)).alias("per_item_ms"), (1000 * F.max(batch) / F.avg(value)).alias("items_per_s"),
     )
+    q = exact_percentiles(samples, value, {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}, key).withColumnRenamed(key, "__key")
+    out = out.join(q, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return out.select(key, "n", "mean_ms", "std_ms", "p50_ms", "p95_ms", "p99_ms", "min_ms", "max_ms", "per_item_ms", "items_per_s")
 
 
 def capture_mean_probability(preds: DataFrame, capture: str = "capture_id") -> DataFrame:
@@ -129,7 +155,7 @@ def best_window_per_model(ledger: DataFrame, value: str) -> DataFrame:
 
 def anomaly_threshold(energy: DataFrame, value: str, ratio: float) -> DataFrame:
     """One row, threshold: the exact percentile 100 - ratio."""
-    return energy.agg(F.percentile(value, (100 - ratio) / 100).alias("threshold"))
+    return exact_percentiles(energy, value, {"threshold": (100 - ratio) / 100})
 
 
 def point_adjust(scored: DataFrame, series: str, order: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowkit.functions import scalar
 from flowkit.operators import flows, groups, quality, slots, splits
+from flowkit.operators.components import numbered
 from flowkit.plans.flow_queries import K, background, biflows, dense, eligible, sparse
 from flowkit.plans.packets import DAY_NS, DENSE, FLOWS, HORIZON_NS, KEY, PK, packets, raw_packets, slots_sql, table
 from flowkit.plans.registry import query
@@ -206,6 +207,6 @@ query("d4_select_by_ids", f"WITH {FLOWS} SELECT row_pos FROM ends WHERE ({KEY})
 query("h5_side_complement", f"WITH {ROWS} SELECT row FROM rows WHERE row % 5 <> 0")(lambda s, d: (lambda r: splits.side_complement(r, r.where("row % 5 = 0"), "row").select("row"))(order_rows(s, d)))
 query("d8_map_split_to_order", f"WITH {ROWS}, b AS (SELECT row, row_number() OVER (ORDER BY h1, row) AS row_b FROM rows) SELECT row_b, CASE WHEN row % 5 = 0 THEN 'val' ELSE 'train' END AS side FROM b")(
     lambda s, d: (
-        lambda r: splits.map_split_to_order(r.select("row", F.when(F.col("row") % 5 == 0, "val").otherwise("train").alias("side")), r.select("row", F.col("row").alias("key")), r.select(F.row_number().over(splits.Window.orderBy("h1", "row")).alias("row"), F.col("row").alias("key")), ["key"])
+        lambda r: splits.map_split_to_order(r.select("row", F.when(F.col("row") % 5 == 0, "val").otherwise("train").alias("side")), r.select("row", F.col("row").alias("key")), numbered(r.select("h1", F.col("row").alias("key")), "row", "h1", "key").select("row", "key"), ["key"])
     )(order_rows(s, d))
 )

@@ -171,7 +171,7 @@ query("f11_point_adjust", f"WITH {SCORED}, pr AS (SELECT *, CAST(energy > 400 AS
 )
 query("g6_anomaly_threshold", f"WITH {SCORED} SELECT quantile_cont(energy, 0.9) AS threshold FROM scored")(lambda s, d: metrics.anomaly_threshold(scored(s, d), "energy", 10))
 query("h3_concat_energy", f"WITH {SCORED} SELECT count(*) AS n, quantile_cont(e, 0.9) AS threshold FROM (SELECT energy AS e FROM scored WHERE series % 2 = 0 UNION ALL SELECT energy FROM scored WHERE step % 2 = 0)")(
-    lambda s, d: (lambda x: x.where("series % 2 = 0").select("energy").unionAll(x.where("step % 2 = 0").select("energy")).agg(F.count(F.lit(1)).alias("n"), F.percentile("energy", 0.9).alias("threshold")))(scored(s, d))
+    lambda s, d: (lambda x: x.where("series % 2 = 0").select("energy").unionAll(x.where("step % 2 = 0").select("energy")).transform(lambda e: e.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(metrics.anomaly_threshold(e, "energy", 10)))))(scored(s, d))
 )
 query("j18_reconstruction_energy", f"WITH {PAIRS} SELECT series, step, (truth - pred) ** 2 AS energy FROM pairs")(lambda s, d: metrics.reconstruction_energy(pairs(s, d).withColumnsRenamed({"truth": "x", "pred": "x_hat"}), ["series", "step"]))
 query("j19_anomaly_report", f"WITH {SCORED}, th AS (SELECT quantile_cont(energy, 0.9) AS th FROM scored), pr AS (SELECT scored.*, CAST(energy > th AS INT) AS pred FROM scored, th), {_ADJ}, c AS (SELECT count(*) FILTER (adjusted = 1 AND gt = 1) AS tp, count(*) FILTER (adjusted = 1 AND gt = 0) AS fp, count(*) FILTER (adjusted = 0 AND gt = 1) AS fn, avg(CAST(adjusted = gt AS INT)) AS acc FROM adj) SELECT th AS threshold, acc AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM c, th")(

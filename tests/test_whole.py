@@ -1,12 +1,14 @@
 """Operators that do the whole job: cases that a cut would lose."""
 
+import hashlib
 import math
+import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from flowkit.llm import jaccard_join
-from flowkit.operators import augment
+from flowkit.operators import augment, groups, metrics
+from flowkit.operators.components import numbered
 from flowkit.plans import catalog, series_queries
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +91,35 @@ def test_warping_paths_and_bands(spark):
     assert abs(augment.dtw_metric(*tables, band=0).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
     assert abs(augment.dtw_metric(*tables, weight=1e9).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
     assert augment.dtw_metric(*tables, warp=2).first().dtw <= augment.dtw_metric(*tables).first().dtw + 1e-9
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_table_in_one_task(spark):
+    for q in ("g6_anomaly_threshold", "h3_concat_energy", "j19_anomaly_report", "e32_latency_summary", "e22_label_digest"):
+        assert not re.search(r"percentile|collect_list", plan(catalog.QUERIES[q](spark, SF))), q
+    assert not re.search(r"row_number\(\) windowspecdefinition\((?!__part)", plan(catalog.QUERIES["d8_map_split_to_order"](spark, SF)))
+
+
+def test_places_percentiles_and_digests_by_ranges(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(k % 3 or None, int(rng.integers(0, 40)) * 0.5 if k % 11 else None, k, None if k % 7 == 0 else k % 4) for k in range(900)]
+    df = spark.createDataFrame(rows, "k long, v double, row long, label long").repartition(7)
+    places = {"a": 0.0, "b": 0.137, "c": 0.9, "d": 1.0}
+    for key in (None, 1, 2):
+        v = [r[1] for r in rows if r[0] == key and r[1] is not None]
+        one = metrics.exact_percentiles(df, "v", places, "k").where(F.col("k").eqNullSafe(key)).first()
+        assert all(abs(one[c] - np.quantile(v, p)) < 1e-9 for c, p in places.items())
+    one = metrics.exact_percentiles(df, "v", places).first()
+    assert all(abs(one[c] - np.quantile([r[1] for r in rows if r[1] is not None], p)) < 1e-9 for c, p in places.items())
+    assert metrics.exact_percentiles(df.where("v > 1e9"), "v", places).first().c is None
+    found = {r.row: r.place for r in numbered(df, "place", "v", "row").collect()}
+    by_hand = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert found == {r[2]: k + 1 for k, r in enumerate(by_hand)}
+    text = ",".join(str(r[3]) for r in rows if r[3] is not None)
+    assert tuple(groups.label_digest(df, "row", "label").first()) == (900, hashlib.sha256(text.encode()).hexdigest())
+    assert tuple(groups.label_digest(df.limit(0), "row", "label").first()) == (0, hashlib.sha256(b"").hexdigest())
