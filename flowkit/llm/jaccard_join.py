@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowkit.llm.common import checkpoint, text_of
-from flowkit.operators.components import connected_components
+from flowkit.operators.components import connected_components, release
 
 #: Words of an n-gram; the threshold as numerator and denominator; slots of the count sketch as a power of two, and parts it is sent in.
 N, THRESHOLD = 4, (85, 100)
@@ -273,11 +273,14 @@ def _compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Dat
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
     wanted = checkpoint(wanted)
     some = docs.where(_probably_in(wanted.select("key"))(F.col("key")))  # few texts are in a pair, and only they are shuffled
-    texts = some.join(wanted, "key").select("node", "text").dropDuplicates(["node"])
+    texts = some.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key").select("node", "text")
     x = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    # both sides of this join come straight from a shuffle, so that Spark can split a b with many pairs over tasks
     x = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     counted = x.select("a", "b", "x", "y").mapInArrow(_overlap(n), "a long, b long, both long")
-    return checkpoint(counted)
+    out = checkpoint(counted)
+    release(wanted)
+    return out
 
 
 def _first() -> Column:
@@ -285,10 +288,10 @@ def _first() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
 
 
-def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """rows (key, doc_id, node, n), nodes (node, n, key, doc_id) and links (a, b) that connect all linked nodes.
+def _in_components(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """rows (key, doc_id, node, n) and nodes (node, n, key, doc_id, component); a component is one of its nodes.
 
-    A node is a class of equal sets, with its least doc_id. Links hold enough pairs to connect whatever is linked.
+    A node is a class of equal sets, with its least doc_id.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -322,7 +325,7 @@ def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THR
     linked = F.col("both") >= required(F.col("na"), F.col("nb"), threshold)
     links = known.where(linked).select("a", "b")
 
-    groups = connected_components(links)
+    groups = checkpoint(connected_components(links))
     lists = shared.join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     torn = lists.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where(F.col("g") != F.col("h")).select("token")
     lists = lists.join(torn, "token", "left_semi").join(known.select(F.col("a").alias("node"), "b", "both"), ["node", "b"], "left")
@@ -340,13 +343,15 @@ def linked_classes(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THR
     derived = F.coalesce(F.col("at_least") >= required(F.col("na"), F.col("nb"), threshold), F.lit(False))
     rest = pairs.where(~derived)
     more = rest.join(_compare(rest, nodes, docs, n), ["a", "b"]).where(linked).select("a", "b")
-    return rows, nodes, links.unionByName(pairs.where(derived).select("a", "b")).unionByName(more)
-
-
-def _in_components(docs: DataFrame, n: int, threshold: tuple[int, int], sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """The rows of linked_classes, and its nodes with component, a node."""
-    rows, nodes, links = linked_classes(docs, n, threshold, sketch_bits)
-    nodes = nodes.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    links = pairs.where(derived).select("a", "b").unionByName(more)
+    # what the first links connect is one node now
+    g = groups.withColumnRenamed("component", "group")
+    ends = links.join(g.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("group", "a").alias("a"), "b")
+    ends = ends.join(g.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("group", "b").alias("b"))
+    wider = connected_components(ends).select(F.col("node").alias("group"), F.col("component").alias("wider"))
+    nodes = nodes.join(g, "node", "left").withColumn("group", F.coalesce("group", "node")).join(wider, "group", "left")
+    nodes = checkpoint(nodes.select("node", "n", "key", "doc_id", F.coalesce("wider", "group").alias("component")))
+    release(entries, shared, first, compared, groups, lists, pairs)
     return rows, nodes
 
 
