@@ -90,6 +90,44 @@ def test_mix_odd(odd, empty):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def test_draws_of_the_mix(spark):
+    """Counts drawn per shard follow the multinomial law; the totals are then the plan's, and blocks are taken evenly."""
+    share = {0: 0.5, 1: 0.3, 2: 0.19, 3: 0.01}
+    targets = spark.createDataFrame([(s, 64 * 40_000, 64.0 * 40_000 * p) for s, p in share.items()], "s int, source_size long, target double")
+    plan = mixing.slot_plan(targets)
+    drawn = mixing.draw_counts(plan, 400)
+    rows = drawn.collect()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, {})[r.s] = r.drawn
+    assert len(by_shard) == 100 and all(sum(x.values()) == 400 for x in by_shard.values())
+    for s, p in share.items():
+        x = [c.get(s, 0) for c in by_shard.values()]
+        mean, want = sum(x) / 100, 400 * p
+        spread = sum((v - mean) ** 2 for v in x) / 99 / (want * (1 - p))
+        assert abs(mean - want) < 4 * (want * (1 - p) / 100) ** 0.5 and 0.5 < spread < 1.7
+    counts = mixing.shard_counts(plan, drawn).collect()
+    assert {r.s: r.slots for r in plan.collect()} == {s: sum(r.taken for r in counts if r.s == s) for s in share}
+    shards = {}
+    for r in counts:
+        shards[r.shard] = shards.get(r.shard, 0) + r.taken
+    assert set(shards.values()) == {400}
+    slots = mixing.draw_slots(spark.createDataFrame([(0, 6400, 16000.0), (1, 640, 64.0)], "s int, source_size long, target double"), shard_blocks=16).collect()
+    times = [sum((r.s, r.block) == (0, b) for r in slots) for b in range(100)]
+    assert sum(times) == 250 and set(times) == {2, 3} and [r.block for r in slots if r.s == 1].__len__() == 1
+
+
+def test_sources_near_targets(documents):
+    """Each source's taken words are within a block per pass of its target."""
+    taken, target, sizes = {}, {}, {}
+    source = {r.doc_id: r.source for r in documents.collect()}
+    for r in mixing.mix_sizes(documents).collect():
+        s = source[r.doc_id]
+        taken[s], target[s], sizes[s] = taken.get(s, 0) + r.taken, r.target, r.source_size
+    for s, words in taken.items():
+        assert abs(words - target[s]) <= 2 * mixing.BLOCK_WORDS * (1 + target[s] // max(1, sizes[s])), s
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
