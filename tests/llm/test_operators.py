@@ -298,12 +298,52 @@ def test_personal_data(spark, documents, odd, empty):
 def test_boosting_learns(spark):
     from pyspark.sql import functions as F
 
-    df = spark.range(2000).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("match"), F.lit("").alias("before"), (F.col("id") % 3 == 0).alias("valid"), *[(F.xxhash64("id", F.lit(k)) % 2 == 0).alias(f"f{k}") for k in range(len(pii.FEATURES))])
+    df = spark.range(2000).select(F.lit("card").alias("kind"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("match"), F.lit("").alias("before"), (F.col("id") % 3 == 0).alias("valid"), *[(F.xxhash64("id", F.lit(k)) % 2 == 0).alias(f"f{k}") for k in range(len(pii.FEATURES))])
     df = df.withColumn("f5", F.col("valid"))
     model = pii.fit(df)
-    assert model.threshold < 1e9
-    right = df.where((model.score() >= model.threshold) == F.col("valid")).count()
-    assert right == 2000
+    assert set(model.thresholds) == {"card"}
+    assert df.withColumn("score", model.score()).where(model.accepts() == F.col("valid")).count() == 2000
+    assert pii.fit(df.limit(0)).thresholds == {}
+
+
+#: Loose forms by kind, and spans of like shape that are none.
+LOOSE = {
+    "email": ["anna.meier (at) posta.example.org", "jo[at]mail7.example.com", "li.wei {at} mail3 [dot] example [dot] net", "sam.33 at mail2.example.com"],
+    "ip": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80:0:0:0:200:f8ff:fe21:67cf", "2001:db8:0:1:a0:b:c:17"],
+    "card": ["4111.1111.1111.1111", "5500/0000/0000/0004", "4012_8888_8888_1881"],
+    "phone": ["0049 (301) 555-7713", "(487) 555-7209", "017-555-1352"],
+    "secret": ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "api_key: Zx81kQ0pLw93nVb72RtYu5", "password=9fQ2xLm0Zk7Wc4Rt8Yp1"],
+}
+PLAIN = ["4111.1111.1111.1112", "08:00:2b:01:02:03", "we met at noon. it was fine", "4736 4525 980", "1234-5678-90"]
+
+
+def test_added_spans(spark):
+    """Loose forms planted in clean documents of the given table are found, 0.9 of each kind at least, and their like are not."""
+    clean = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").limit(900).collect()]
+    rows, want, k = [(i, t) for i, t in enumerate(clean)], {}, 0
+    filler = [t for t in clean if not re.search("[0-9@]", t) and len(t) > 200]
+    for kind, forms in LOOSE.items():
+        for form in forms:
+            for n in range(4):
+                t = filler[k % len(filler)]
+                cut = t.index(" ", 40 + 10 * n)
+                rows.append((10_000 + k, f"{t[:cut]} {form}{t[cut:]}"))
+                value = re.search(r"[\w]{20,}", form)[0] if kind == "secret" else form
+                want[10_000 + k] = (kind, cut + 1 + form.index(value), cut + 1 + form.index(value) + len(value))
+                k += 1
+    for n, form in enumerate(PLAIN * 3):
+        t = filler[n]
+        rows.append((20_000 + n, f"{t[:t.index(' ', 60)]} {form}{t[t.index(' ', 60):]}"))
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in LOOSE:
+        own = {i: w for i, w in want.items() if w[0] == kind}
+        hit = sum(f"{k}:{a}:{b}" in found[i].spans.split(",") for i, (k, a, b) in own.items())
+        assert hit >= 0.9 * len(own), (kind, hit, len(own), [(i, rows[i - 10_000 + len(clean)][1][w[1] - 12 : w[2] + 5], found[i].spans) for i, w in own.items()][:12])
+    added = {i: r.spans for i, r in found.items() if r.n_spans > r.n_email + r.n_ip + r.n_card + r.n_phone}
+    assert not {i for i in added if i >= 20_000}
+    few = [i for i in added if i < 10_000 and not re.search(r"token = |key|password", clean[i])]
+    assert len(few) <= 9, [(i, added[i]) for i in few]
+    assert all(r.n_spans == len([x for x in r.spans.split(",") if x]) for r in found.values())
 
 
 # 7 ---------------------------------------------------------------------------------------------------------------------
