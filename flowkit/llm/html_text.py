@@ -1,9 +1,12 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into blocks that know the elements above them. Subtrees outside the page's own words are hashed, and
-Spark counts on how many different pages of a host each hash occurs. Subtrees that recur across many pages of the host are
-deleted with the elements that never hold an article: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments. What is left of the article becomes text.
+Every page is parsed into a tree. Subtrees are hashed twice, with their words and, outside the article, by their shape:
+tags, classes and the shapes below, words left out. Spark counts on how many different pages of a host each hash occurs.
+Subtrees that recur across many pages of the host are deleted, with the elements that never hold an article: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. What is left becomes text.
+
+Words protect what they make up: an element with most of the page's words is no template, and where nearly all of an
+article recurs, its pages are near copies of one another and keep it.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from flowkit.llm.url_reputation import host_of
 
 #: A subtree is template when it is on MIN_PAGES different pages of the host, and on MIN_SHARE of them.
 MIN_PAGES, MIN_SHARE = 10, 0.3
+#: Recurring subtrees stay if less than this part of an article would be left. A shape outside an article tells of template
+#: only below this part of the page's words. Templates up to this many are broadcast; more are joined by salted host.
+LEAST_OWN, MOST_SHAPE, BROADCAST_HASHES, SALTS = 1 / 6, 1 / 5, 1 << 20, 16
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,7 +36,10 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _NEVER = frozenset("nav footer aside form button select option dialog menu script style textarea noscript template iframe svg head title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_NAMES = re.compile(r"(?<![a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alert|newsletter|subscribe\w*|popup|modal|sidebar\w*|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|header|masthead|footer|social|share|sharing|related|recommended|comments?|comment-?list|disqus|replies|respond|login|search|widget\w*|toolbar|skip-?link)(?![a-z])", re.I)
+#: Class or id tokens that name a container outside the article, and those that do so inside it as well.
+_NAMES = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alert|newsletter|subscribe\w*|popup|modal|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|header|masthead|footer|social|share|sharing|related|recommended|comments?|comment-?list|disqus|replies|respond|login|search|widget\w*|toolbar|skip-?link)(?:[-_](?:box|bar|area|list|section|container|wrapper|notice|banner|block|form|links?|left|right|top|bottom))?", re.I)
+_INSIDE = re.compile(r"(?:ads?|advert\w*|adsense|cookie-?\w*|newsletter|sidebar|comments?|comment-?list|disqus|respond|share|social|related)", re.I)
+_CONTAINERS = frozenset("div section ul ol dl table details figure header footer p span".split())
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
@@ -40,23 +49,30 @@ class Element:
     tag: str
     never: bool = False
     article: bool = False
+    inside: bool = False  # an article
+    named: bool = False  # as something that is no article
+    label: str = ""  # class and id
     children: list = field(default_factory=list)
     digest: bytes = b""
-    filled: bool = False
+    shape: bytes = b""
+    chars: int = 0  # of words, without those of elements that never hold an article
+    holds: bool = False  # an article or a title
 
 
-def _never(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _NEVER or tag == "header" and not inside:
-        return True
+def _element(tag: str, attributes: str, inside: bool) -> Element:
+    e = Element(tag, tag in _NEVER or tag == "header" and not inside, tag in ("article", "main"), inside)
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return e
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMES.search(value) or name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if name in ("class", "id"):
+            tokens = value.split()
+            e.label += " " + " ".join(sorted(tokens)) if name == "class" else ""
+            if tag in _CONTAINERS:
+                e.named = e.named or any((_INSIDE if inside else _NAMES).fullmatch(t) for t in tokens)
+        elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            e.never = True
+    return e
 
 
 def parse(page: str) -> Element:
@@ -91,7 +107,7 @@ def parse(page: str) -> Element:
             if k + 1 < len(stack) and any(e.tag in shut for e in stack[k + 1 :]):
                 first = next(i for i in range(k + 1, len(stack)) if stack[i].tag in shut)
                 del stack[first:]
-        e = Element(tag, _never(tag, m[3] or "", inside > 0), tag in ("article", "main"))
+        e = _element(tag, m[3] or "", inside > 0)
         stack[-1].children.append(e)
         if tag in _RAW_END:
             at = _RAW_END[tag].search(page, at).end()
@@ -111,46 +127,91 @@ def _walk(e: Element) -> Iterator[Element]:
 
 
 def _digest(root: Element) -> None:
-    """Sets digest and filled (has text) of every element, the innermost first."""
+    """Sets digest, shape, chars and holds of every element, the innermost first."""
     for e in reversed(list(_walk(root))):
         h = hashlib.blake2b(e.tag.encode(), digest_size=8)
+        shape = hashlib.blake2b(f"{e.tag}{e.label}".encode(), digest_size=8, person=b"shape")
+        last = b""
         for c in e.children:
             if isinstance(c, str):
                 h.update(c.encode("utf-8", "replace"))
-                e.filled = e.filled or not c.isspace()
-            else:
-                h.update(c.digest)
-                e.filled = e.filled or c.filled
-        e.digest = h.digest()
+                e.chars += len(_SPACE.sub("", c))
+                continue
+            h.update(c.digest)
+            e.chars += 0 if c.never else c.chars
+            e.holds = e.holds or c.article or c.tag == "h1" or c.holds
+            if c.shape != last and c.tag not in _INLINE:  # a list has one shape whatever its length
+                shape.update(last := c.shape)
+        e.digest, e.shape = h.digest(), shape.digest()
 
 
 def _long(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
+def _shaped(e: Element) -> bool:
+    """Whether the shape says something: a paragraph's does not."""
+    return not e.inside and not e.holds and (bool(e.label) and e.tag in _CONTAINERS and e.tag not in ("p", "span") or e.never)
+
+
 def subtree_hashes(page: str) -> tuple[int, list[int]]:
     """A digest of the whole page's words and the distinct hashes of its block subtrees that hold text."""
     root = parse(page)
     _digest(root)
-    blocks = (e for e in _walk(root) if e is not root and e.filled and not e.article and e.tag not in _INLINE and e.tag not in ("html", "body", "head"))
-    return _long(root.digest), list({_long(e.digest) for e in blocks})
+    found: set[int] = set()
+    for e in _walk(root):
+        if e is root or not e.chars or e.article or e.tag in _INLINE or e.tag in ("html", "body", "head"):
+            continue
+        found.add(_long(e.digest))
+        if _shaped(e):
+            found.add(_long(e.shape))
+    return _long(root.digest), list(found)
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by two newlines."""
-    root = parse(page)
-    if template:
-        _digest(root)
-    articles: list[Element] = []
+def _regions(root: Element) -> list[Element]:
+    """What holds the page's own words: a main with one article at most, else the articles, else the whole page."""
+    found: list[Element] = []
     stack = [root]
     while stack:
         e = stack.pop()
         if e.never:
             continue
-        if e.article and (e.tag == "article" or not any(c.tag == "article" for c in _walk(e))):
-            articles.append(e)
-            continue
+        if e.article:
+            inner = sum(c.tag == "article" for c in _walk(e)) - (e.tag == "article")
+            if e.tag == "article" or inner <= 1:
+                found.append(e)
+                continue
         stack.extend(c for c in reversed(e.children) if not isinstance(c, str))
+    return found or [root]
+
+
+def _dropped(top: Element, template: frozenset[int]) -> set[int]:
+    """ids of the outermost elements of a region that go besides those that never hold an article."""
+    names: set[int] = set()
+    words: dict[int, int] = {}
+    stack = [top]
+    while stack:
+        e = stack.pop()
+        for c in e.children:
+            if isinstance(c, str) or c.never:
+                continue
+            if not c.article and not c.holds and 2 * c.chars <= top.chars:
+                if c.named or _shaped(c) and c.chars <= MOST_SHAPE * top.chars and _long(c.shape) in template:
+                    names.add(id(c))
+                    continue
+            if template and not c.article and not c.holds and _long(c.digest) in template:
+                words[id(c)] = c.chars
+                continue
+            stack.append(c)
+    if top.chars - sum(words.values()) < LEAST_OWN * top.chars:
+        return names
+    return names | set(words)
+
+
+def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The article's blocks, joined by two newlines."""
+    root = parse(page)
+    _digest(root)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -159,7 +220,8 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         words.clear()
 
-    for top in articles or [root]:
+    for top in _regions(root):
+        gone = _dropped(top, template)
         todo: list = [top]
         while todo:
             e = todo.pop()
@@ -167,7 +229,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 end()
             elif isinstance(e, str):
                 words.append(e)
-            elif e.never or template and not e.article and _long(e.digest) in template:
+            elif e.never or id(e) in gone:
                 if e.tag not in _INLINE:
                     end()
             elif e.tag == "br":
@@ -196,7 +258,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(hashes, "host string, page long, hashes array<long>")
-    rows = rows.groupBy("host", "page").agg(F.max("hashes").alias("hashes"))
+    rows = checkpoint(rows.groupBy("host", "page").agg(F.max("hashes").alias("hashes")))  # read for both counts
     total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = counts.join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
@@ -210,8 +272,14 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     Pages with a null url share the empty host. Repeated pages give rows each; other columns are ignored.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    templates = checkpoint(site_templates(pages, min_pages, min_share))  # then the join can split a large host
-    rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    templates = checkpoint(site_templates(pages, min_pages, min_share))
+    if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
+        rows = rows.join(F.broadcast(templates), "host", "left")
+    else:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)))
+        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = rows.join(salted.hint("merge"), ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", "template")
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

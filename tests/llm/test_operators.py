@@ -176,6 +176,47 @@ def test_templates_go_but_copies_stay(spark):
     assert found[3] == "own 3" and found[105] == "the same story" and found[200] == ""
 
 
+def texts_of(spark, pages, **more):
+    rows = spark.createDataFrame([(k, f"http://h.org/{k}", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract_text(rows, **more).orderBy("page_id").collect()]
+
+
+def test_shapes_of_a_site(spark):
+    """A box whose words differ by page goes by its shape; with the step off it stays. The content's shape recurs too."""
+    body = "every page of this host has a long text of its own which says something else " * 3
+    pages = [f'<body><div class="zq7"><b>Buy {k * 7919}</b> now</div><div class="content"><h1>Page {k}</h1><p>{k} {body}</p><p>more of {k}</p></div></body>' for k in range(20)]
+    want = [f"Page {k}\n\n{k} {body.strip()}\n\nmore of {k}" for k in range(20)]
+    assert texts_of(spark, pages) == want
+    off = texts_of(spark, pages, min_pages=1000)
+    assert off[3] == f"Buy {3 * 7919} now\n\n{want[3]}"
+
+
+def test_near_copies_keep_their_text(spark):
+    pages = [f"<article><h1>Report {k}</h1><p>The first paragraph that all have in common.</p><p>The second one of them, as long.</p></article>" for k in range(12)]
+    assert all("The second one" in x and x.startswith(f"Report {k}") for k, x in enumerate(texts_of(spark, pages)))
+
+
+def test_names_inside_an_article():
+    assert html_text.main_text('<article><header class="entry-header"><h1>Title</h1></header><p>Body</p></article>') == "Title\n\nBody"
+    assert html_text.main_text('<article><h2 id="search">Search trees</h2><p>Body</p></article>') == "Search trees\n\nBody"
+    assert html_text.main_text('<div class="page-header-wrapper"><h1>T</h1><p>All text</p></div>') == "T\n\nAll text"
+    assert html_text.main_text("<main><h1>Title</h1><article><p>Body</p></article></main>") == "Title\n\nBody"
+    assert html_text.main_text('<article><p>A long body of words.</p><div class="comments"><p>First!</p></div></article>') == "A long body of words."
+
+
+def test_templates_are_found(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = html_text.site_templates(pages)
+    assert found.count() > 0.5 * pages.select(url_reputation.host_of("url")).distinct().count()
+
+
+def test_odd_pages(spark):
+    rows = [(None, "http://h.org/1", "<p>x</p>", "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "no url", "", None)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, template string")
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract_text(odd).collect()) == [("2", "", 0), ("2", "", 0), ("3", "", 0), ("None", "x", 1)]
+    assert html_text.extract_text(odd.limit(0)).count() == 0
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
