@@ -106,7 +106,7 @@ def draw_counts(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = S
     cells = parts.select(F.struct("low", "s", F.col("blocks").alias("of"), "slots").alias("source"), F.explode(F.sequence(F.floor(first / _CELL), F.floor(last / _CELL))).alias("cell"))
     cells = cells.groupBy("cell").agg(F.collect_set("source").alias("sources"))  # at most one for each of its numbers
     source = F.array_max(F.filter("sources", lambda x: x["low"] <= F.col("number")))
-    drawn = places.join(cells, "cell").select("shard", source.alias("source")).select("shard", "source.s", "source.of", "source.slots")
+    drawn = places.join(cells.hint("merge"), "cell").select("shard", source.alias("source")).select("shard", "source.s", "source.of", "source.slots")
     return drawn.groupBy("shard", "s", "of", "slots").agg(F.count(F.lit(1)).alias("drawn"))
 
 
@@ -115,7 +115,7 @@ def _numbered(counts: DataFrame, n: str) -> DataFrame:
     counts = counts.withColumn("__part", F.floor(F.col("shard") / _SHARDS_PER_PART))
     inside = Window.partitionBy("s", "__part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0)))
-    counts = counts.join(before_in_range(counts, F.col(n), "s"), ["s", "__part"])
+    counts = counts.join(before_in_range(counts, F.col(n), "s").hint("merge"), ["s", "__part"])  # it grows: never broadcast
     return counts.withColumn("start", F.col("__before") + F.col("__in")).drop("__part", "__in", "__before", "__size")
 
 
@@ -136,7 +136,7 @@ def shard_counts(plan: DataFrame, drawn: DataFrame, seed: int = SEED) -> DataFra
     back = rows.where("back > 0").select("shard", "s", F.explode(F.sequence("back_from", F.col("back_from") + F.col("back") - 1)).alias("k"))
     back = back.join(totals.select("s", "give_low", "moved"), "s").select("shard", permuted(F.col("give_low") + F.col("k"), F.col("moved"), [F.lit(seed + 2)]).alias("r"))
     takers = totals.where("over < 0").select("s", F.col("blocks").alias("of"), F.explode(F.sequence("take_low", F.col("take_low") - F.col("over") - 1)).alias("r"))
-    moved = back.join(takers, "r").select("shard", "s", "of", F.lit(1).cast("long").alias("taken"))
+    moved = back.join(takers.hint("merge"), "r").select("shard", "s", "of", F.lit(1).cast("long").alias("taken"))
     both = rows.select("shard", "s", "of", "taken").unionByName(moved)
     return both.groupBy("shard", "s", "of").agg(F.sum("taken").alias("taken")).where("taken > 0")
 
@@ -146,7 +146,10 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     plan = checkpoint(slot_plan(targets, block_words))
     drawn = checkpoint(draw_counts(plan, shard_blocks, seed))
     counts = checkpoint(shard_counts(plan, drawn, seed))
-    rows = _numbered(counts, "taken").select("shard", "s", "of", F.explode(F.sequence("start", F.col("start") + F.col("taken") - 1)).alias("j"))
+    rows = _numbered(counts, "taken").select("shard", "s", "of", "start", "taken")
+    # a number keeps the tasks apart: each row becomes up to shard_blocks
+    rows = rows.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "s")
+    rows = rows.select("shard", "s", "of", F.explode(F.sequence("start", F.col("start") + F.col("taken") - 1)).alias("j"))
     rows = rows.withColumn("pass", F.floor(F.col("j") / F.col("of")))
     place = F.col("j") - F.col("pass") * F.col("of")
     return rows.select("shard", "s", permuted(place, F.col("of"), [F.lit(seed + 1), F.col("s"), F.col("pass")]).alias("block"))
