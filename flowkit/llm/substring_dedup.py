@@ -4,7 +4,7 @@ Every window of WINDOW bytes owns one anchor: the start of the least GRAM-byte s
 Equal windows have equal anchors at equal offsets, so only suffixes that start at anchors are sorted, and only those whose
 GRAM bytes occur in two documents.
 
-1. Documents are cut into blocks. A block asks, for the hashes of its anchors, which of them other documents have too; it
+1. Documents are cut into blocks, which keep the places of their anchors. A block asks, for the hashes of its anchors, which of them other documents have too; it
    sends sorted differences to buckets by hash range and gets a bit for each.
 2. For each distinct context of a shared anchor it asks which is the least document with that context, and for each shared
    anchor how many contexts there are. Documents greater than the least one of their context lose all its windows.
@@ -19,6 +19,7 @@ Blocks hold many documents each, and a bucket hears of a hash once a block, so n
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -95,66 +96,122 @@ def _short(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - _KEY_BITS)).astype(np.int64)
 
 
+def anchor_places(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of the anchors of documents [start, end), in order; long documents go piece by piece."""
+    found = [np.zeros(0, np.int64)]
+    for a in range(0, len(raw) - WINDOW + 1, RUN_BYTES):
+        piece = raw[a : a + RUN_BYTES + WINDOW - 1]
+        x, y = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, a + len(piece))
+        owner = anchors(piece, np.maximum(starts[x:y] - a, 0), np.minimum(ends[x:y] - a, len(piece)))[1]
+        new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)  # a later window's anchor is no earlier
+        found.append(owner[new] + a)
+    return np.unique(np.concatenate(found))
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a piece with the contexts at its edges."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.ones(1, np.uint64)
+        while len(x) < RUN_BYTES + 2 * WINDOW:
+            x = np.concatenate([x, x * _U(pow(base, len(x), 1 << 64))])
+        out.append(x[: RUN_BYTES + 2 * WINDOW])
+    return tuple(out)
+
+
 class _Run:
-    """A few documents of a block as one array of bytes: places, keys and documents of their anchors, windows and the
-    index of each window's anchor."""
+    """A few documents of a block as one array of bytes: places, hashes, contexts' hashes and documents of their anchors, and
+    the windows each anchor owns, first to last. Owners follow from the hashes of neighbours: the lesser one keeps a window
+    as long as both are in it."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], places: np.ndarray | None = None) -> None:
         self.ids = np.array(ids, np.int64)
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
-        windows, owner, hashes = anchors(self.raw, self.starts, self.ends)
-        new = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)  # a later window's anchor is no earlier
-        self.places = owner[new]
-        self.windows, self.owner = windows.astype(np.int32), (np.cumsum(new) - 1).astype(np.int32)
-        self.keys = hashes[self.places]
+        self.places = anchor_places(self.raw, self.starts, self.ends) if places is None else places
         self.doc = np.searchsorted(self.ends, self.places, side="right")
-
-    def contexts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, start, end = self.places, self.starts[self.doc], self.ends[self.doc]
+        self.left, self.right = np.minimum(p - start, WINDOW - GRAM), np.minimum(end - p, WINDOW)
+        self.keys, self.context_ids = self._hashes()
+        new = np.append(True, self.doc[1:] != self.doc[:-1]) if len(p) else np.zeros(0, bool)
+        rank = self.keys >> _U(28)
+        stays = np.append(False, rank[:-1] <= rank[1:]) if len(p) else new
+        self.first = np.where(new, start, np.where(stays, np.append(0, p[:-1]) + 1, p - (STARTS - 1))) if len(p) else p
+        self.last = np.where(np.append(new[1:], True), end - WINDOW, np.append(self.first[1:], 0) - 1) if len(p) else p
+
+    def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = _powers()
+        keys, contexts = np.zeros(len(self.places), np.uint64), np.zeros(len(self.places), np.uint64)
+        for a in range(0, len(self.raw), RUN_BYTES):
+            x, y = np.searchsorted(self.places, [a, a + RUN_BYTES]).tolist()
+            if x == y:
+                continue
+            low = max(a - WINDOW, 0)
+            piece = self.raw[low : a + RUN_BYTES + WINDOW]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE[piece] * inverse[: len(piece)], out=sums[1:])
+            p = self.places[x:y] - low
+            begin, stop = p - self.left[x:y], p + self.right[x:y]
+            keys[x:y] = _mix((sums[p + GRAM] - sums[p]) * power[p + GRAM - 1])
+            shape = _mix((self.left[x:y] * 256 + self.right[x:y]).astype(np.uint64))
+            contexts[x:y] = _mix((sums[stop] - sums[begin]) * power[stop - 1] ^ shape)
+        return keys, contexts
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
         """Of the anchors at these indices of places: lengths to the left and right, and bytes, the left ones backwards first."""
-        p, d = self.places[at], self.doc[at]
-        left = np.minimum(p - self.starts[d], WINDOW - GRAM)
-        right = np.minimum(self.ends[d] - p, WINDOW)
+        p, left, right = self.places[at], self.left[at], self.right[at]
         width = WINDOW - GRAM
         padded = np.concatenate([np.zeros(width, np.uint8), self.raw, np.zeros(WINDOW, np.uint8)])
         view = np.lib.stride_tricks.sliding_window_view(padded, width + WINDOW)[p]
         lefts = view[:, :width][:, ::-1] * (np.arange(width) < left[:, None])
         rights = view[:, width:] * (np.arange(WINDOW) < right[:, None])
-        return left, right, np.concatenate([left[:, None].astype(np.uint8), right[:, None].astype(np.uint8), lefts, rights], axis=1)
-
-
-def _context_ids(rows: np.ndarray) -> np.ndarray:
-    powers = np.array([pow(_BASE, 2 * k + 1, 1 << 64) for k in range(rows.shape[1])], np.uint64)
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out += _BYTE[rows[:, k]] * powers[k]
-    return _mix(out)
-
-
-def _runs(ids: list[int], texts: list[bytes]) -> Iterator[_Run]:
-    a = size = 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size > RUN_BYTES or k + 1 == len(texts):
-            yield _Run(ids[a : k + 1], texts[a : k + 1])
-            a, size = k + 1, 0
-
-
-def _texts(row: dict) -> tuple[list[int], list[bytes]]:
+        return np.concatenate([left[:, None], right[:, None], lefts, rights], axis=1, dtype=np.uint8, casting="unsafe")
+
+    def covered(self, mask: np.ndarray) -> np.ndarray:
+        """Which bytes are in a window that goes; bit o of an anchor's mask tells that its window o bytes before it goes."""
+        out = np.zeros(len(self.raw) + 1, np.int32)
+        whole = mask == (1 << STARTS) - 1
+        out[self.first[whole]] += 1
+        out[self.last[whole] + WINDOW] -= 1
+        some = np.flatnonzero((mask != 0) & ~whole)
+        n = self.last[some] - self.first[some] + 1
+        own = np.repeat(some, n)
+        window = self.first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        window = window[(mask[own] >> (self.places[own] - window) & 1).astype(bool)]
+        out[window] += 1
+        out[window + WINDOW] -= 1
+        return np.cumsum(out[:-1], dtype=np.int32) > 0
+
+
+def _runs(row: dict) -> Iterator[_Run]:
+    """A block's documents, with the places of anchors that the block knows."""
     raw = zstandard.ZstdDecompressor().decompress(row["data"])
+    places = np.cumsum(_unpack(row["places"]))
     ends = np.cumsum(row["sizes"]).tolist()
-    return row["ids"], [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    texts: list[bytes] = []
+    base = 0
+    for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+        texts.append(raw[a:b])
+        if b - base > RUN_BYTES or k + 1 == len(ends):
+            x, y = np.searchsorted(places, [base, b])
+            yield _Run(row["ids"][k + 1 - len(texts) : k + 1], texts, places[x:y] - base)
+            texts, base = [], b
 
 
-_BLOCK_SQL = "block long, ids array<long>, sizes array<long>, data binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary()), ("places", pa.binary())])
+_BLOCK_SQL = "block long, ids array<long>, sizes array<long>, data binary, places binary"
 
 
 def _cut(block_bytes: int):
     def row(block: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-        data = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
-        sizes = [len(t) for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "ids", "sizes", "data"])
+        raw = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
+        sizes = np.diff(ends, prepend=0)
+        places = _pack(np.diff(anchor_places(np.frombuffer(raw, np.uint8), ends - sizes, ends), prepend=0))
+        row = {"block": block, "ids": ids, "sizes": sizes.tolist(), "data": zstandard.ZstdCompressor(level=5).compress(raw), "places": places}
+        return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -235,8 +292,9 @@ def _anchor_hashes(runs: Iterable[_Run]) -> tuple[np.ndarray, np.ndarray]:
     """The sorted anchor hashes of a block and the number of its documents (2 at most) that have each."""
     keys = []
     for run in runs:
-        order = np.lexsort((run.doc, run.keys))
-        k, d = _short(run.keys[order]), run.doc[order]
+        k = _short(run.keys)
+        order = np.argsort(k, kind="stable")  # documents are in order already
+        k, d = k[order], run.doc[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
         keys.append(k[new])
@@ -253,35 +311,33 @@ def _entry(key: np.ndarray, cid: np.ndarray) -> np.ndarray:
 
 
 class _Held:
-    """The contexts of a block's shared anchors: for each run the anchors, their entries and documents; and the distinct
-    entries of the block in order, with their least document."""
+    """The contexts of a block's shared anchors: for each run the anchors, the places of their entries and their documents;
+    and the distinct entries of the block in order, with their least document."""
 
     def __init__(self, row: dict, answers: pa.Table) -> None:
-        self.runs = []
-        entries, docs, keys = [], [], []
-        runs = list(_runs(*_texts(row)))
-        shared = _anchor_hashes(runs)[0]
-        if len(shared):
-            shared = shared[_answers(answers, _SHARED) > 0]
-        for run in runs:
-            at = np.flatnonzero(np.isin(_short(run.keys), shared)) if len(shared) else np.zeros(0, np.int64)
-            cid = _context_ids(run.contexts(at)[2]) if len(at) else np.zeros(0, np.uint64)
-            e, d = _entry(run.keys[at], cid), run.ids[run.doc[at]]
-            self.runs.append((run, at, cid, e, d))
-            entries.append(e)
-            docs.append(d)
-            keys.append(_short(run.keys[at]))
-        e, d, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (entries, docs, keys))
+        runs = list(_runs(row))
+        none = [np.zeros(0, np.int64)]
+        _, at = np.unique(np.concatenate(none + [_short(r.keys) for r in runs]), return_inverse=True)
+        shared = (_answers(answers, _SHARED) > 0)[at] if len(at) else np.zeros(0, bool)
+        cuts = np.cumsum([len(r.places) for r in runs])[:-1]
+        own = [np.flatnonzero(x) for x in np.split(shared, cuts)]
+        e = np.concatenate(none + [_entry(r.keys[x], r.context_ids[x]) for r, x in zip(runs, own, strict=True)])
+        d = np.concatenate(none + [r.ids[r.doc[x]] for r, x in zip(runs, own, strict=True)])
+        k = np.concatenate(none + [_short(r.keys[x]) for r, x in zip(runs, own, strict=True)])
         order = np.lexsort((d, e))
         new = np.append(True, e[order][1:] != e[order][:-1]) if len(e) else np.zeros(0, bool)
         self.entries, self.least, self.keys = e[order][new], d[order][new], k[order][new]
+        place = np.empty(len(e), np.int64)
+        place[order] = np.cumsum(new) - 1
+        cuts = np.cumsum([len(x) for x in own])[:-1]
+        self.runs = list(zip(runs, own, np.split(place, cuts), np.split(d, cuts), strict=True))
 
 
 def _ask_anchors(buckets: int):
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from _batch(_questions(row["block"], _SHARED, *_anchor_hashes(_runs(*_texts(row))), buckets)).to_batches(256)
+                yield from _batch(_questions(row["block"], _SHARED, *_anchor_hashes(_runs(row)), buckets)).to_batches(256)
 
     return ask
 
@@ -302,7 +358,7 @@ _OPEN = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.in
 _OPEN_SQL = "block long, kind int, bucket int, data binary, key long, entry long, doc long, context binary"
 
 
-def _windows_of(row: np.ndarray, key: int) -> dict[int, int]:
+def _windows_of(row: np.ndarray) -> dict[int, int]:
     """Offset to hash of each window in a context."""
     left, right, side = int(row[0]), int(row[1]), WINDOW - GRAM
     out = {}
@@ -313,43 +369,40 @@ def _windows_of(row: np.ndarray, key: int) -> dict[int, int]:
     return out
 
 
-def _open_contexts(held: _Held, answers: pa.Table, limit: int) -> tuple[list[tuple], list[tuple]]:
-    """What is still open in a block: contexts of anchors with several of them, whose least document is here, and such of
-    anchors with more than limit. Tuples (key, entry, doc, context)."""
+def _open_contexts(held: _Held, answers: pa.Table, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """What is still open in a block: contexts of anchors with several of them, whose least document is here. Arrays of
+    keys, places of entries, documents and contexts, and whether they are of anchors with more contexts than limit."""
     least, counts = _answers(answers, _LEAST), _answers(answers, _COUNT)
     keys = np.unique(held.keys)
-    few, many = [], []
-    here = held.least == least  # in order of entries
     n = counts[np.searchsorted(keys, held.keys)] if len(keys) else counts
-    wanted = held.entries[here & (n > 1)]
-    large = set(held.entries[here & (n > limit)].tolist())
-    done: set[int] = set()
-    for run, at, _, e, d in held.runs:
-        own = np.flatnonzero(np.isin(e, wanted)) if len(wanted) else np.zeros(0, np.int64)
-        own = own[d[own] == held.least[np.searchsorted(held.entries, e[own])]]
-        first = np.unique(e[own], return_index=True)[1]
-        own = own[np.sort(first)]
-        contexts = run.contexts(at[own])[2] if len(own) else np.zeros((0, 2 + WINDOW - GRAM + WINDOW), np.uint8)
-        for k, row in zip(own.tolist(), contexts, strict=True):
-            if (x := int(e[k])) not in done:
-                done.add(x)
-                (many if x in large else few).append((int(run.keys[at[k]].view(np.int64)), x, int(d[k]), row))
-    return few, many
+    todo = (held.least == least) & (n > 1)
+    for run, at, place, d in held.runs:
+        own = np.flatnonzero(todo[place] & (d == held.least[place]))
+        own = own[np.unique(place[own], return_index=True)[1]]
+        todo[place[own]] = False
+        large = n[place[own]] > limit
+        for some, many in ((own[~large], False), (own[large], True)):
+            if len(some):
+                yield run.keys[at[some]].view(np.int64), place[some], d[some], run.contexts(at[some]), many
 
 
 def _ask_open(buckets: int, limit: int):
     def ask(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         tables = []
         for row in blocks.to_pylist():
-            few, many = _open_contexts(_Held(row, answers), answers, limit)
-            if few:
-                n = len(few)
-                columns = [pa.array(np.full(n, row["block"])), pa.array(np.full(n, _BITS, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array([x[k] for x in few], pa.int64()) for k in range(3)), pa.array([x[3].tobytes() for x in few], pa.binary())]
-                tables.append(pa.Table.from_arrays(columns, schema=_OPEN))
+            held = _Held(row, answers)
             windows: dict[int, int] = {}
-            for key, _, doc, context in many:
-                for h in _windows_of(context, key).values():
-                    windows[h] = min(doc, windows.get(h, doc))
+            for key, place, d, contexts, many in _open_contexts(held, answers, limit):
+                if many:
+                    for doc, context in zip(d.tolist(), contexts, strict=True):
+                        for h in _windows_of(context).values():
+                            windows[h] = min(doc, windows.get(h, doc))
+                    continue
+                n = len(key)
+                offsets = np.arange(n + 1, dtype=np.int32) * contexts.shape[1]
+                flat = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(contexts.tobytes())])
+                columns = [np.full(n, row["block"]), np.full(n, _BITS, np.int32), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), key, held.entries[place], d, flat]
+                tables.append(pa.Table.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_OPEN))
             asked = _questions(row["block"], _WINDOW, np.array(sorted(windows), np.int64), np.array([windows[h] for h in sorted(windows)], np.int64), buckets)
             if asked:
                 t = _batch(asked)
@@ -550,31 +603,24 @@ def _finish(limit: int, whole: bool):
         for row in blocks.to_pylist():
             held = _Held(row, answers)
             least = _answers(answers, _LEAST)
-            bits = dict.fromkeys((), 0)
+            bits = np.zeros(len(held.entries), np.int64)
             for r in answers.filter(pa.compute.equal(answers.column("kind"), _BITS)).column("data").to_pylist():
-                both = _unpack(r)
-                bits.update(zip(both[: len(both) // 2].tolist(), both[len(both) // 2 :].tolist(), strict=True))
-            many = _open_contexts(held, answers, limit)[1]
-            if many:
-                windows = [_windows_of(context, key) for key, _, _, context in many]
-                asked = sorted({h for w in windows for h in w.values()})
-                known = dict(zip(asked, _answers(answers, _WINDOW).tolist(), strict=True))
-                for (_, entry, doc, _), w in zip(many, windows, strict=True):
-                    bits[entry] = sum(1 << o for o, h in w.items() if known[h] < doc)
-            for run, at, _, e, d in held.runs:
+                entry, found = np.split(_unpack(r), 2)
+                bits[np.searchsorted(held.entries, entry)] = found
+            many = [(place, d, [_windows_of(c) for c in contexts]) for _, place, d, contexts, large in _open_contexts(held, answers, limit) if large]
+            asked = sorted({h for _, _, x in many for w in x for h in w.values()})
+            known = dict(zip(asked, _answers(answers, _WINDOW).tolist(), strict=True))
+            for place, d, x in many:
+                bits[place] = [sum(1 << o for o, h in w.items() if known[h] < doc) for doc, w in zip(d.tolist(), x, strict=True)]
+            for run, at, place, d in held.runs:
                 raw = run.raw
-                covered = np.zeros(len(raw) + 1, np.int64)
-                if len(at):
-                    own = np.array([bits.get(x, 0) for x in e.tolist()], np.int64) if bits else np.zeros(len(e), np.int64)
-                    mask = np.zeros(len(run.places), np.int64)
-                    mask[at] = np.where(d > least[np.searchsorted(held.entries, e)], every, own)
-                    gone = run.windows[(mask[run.owner] >> (run.places[run.owner] - run.windows) & 1).astype(bool)]
-                    covered[gone] += 1
-                    covered[gone + WINDOW] -= 1
-                gone = np.cumsum(covered)[:-1] > 0
+                mask = np.zeros(len(run.places), np.int64)
+                mask[at] = np.where(d > least[place], every, bits[place])
+                gone = run.covered(mask)
+                total = np.append(0, np.cumsum(gone))
                 for doc, a, b in zip(run.ids.tolist(), run.starts.tolist(), run.ends.tolist(), strict=True):
                     lost = gone[a:b]
-                    n = int(lost.sum())
+                    n = int(total[b] - total[a])
                     kept = raw[a:b][~lost].tobytes() if n else raw[a:b].tobytes()
                     out["doc_id"].append(doc if doc != _LAST else None)
                     out["n_bytes"].append(b - a)
