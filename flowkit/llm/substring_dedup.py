@@ -32,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowkit.llm.common import checkpoint, tasks_for, text_of
+from flowkit.operators.components import release
 
 #: Bytes of a window, of an anchor string; starts of anchor strings in a window.
 WINDOW, GRAM = 50, 20
 STARTS = WINDOW - GRAM + 1
 #: Bytes of text in a block, for a bucket of anchor hashes, and worked on at once; contexts of one anchor sorted in a task.
-BLOCK_BYTES, BUCKET_BYTES, RUN_BYTES, GROUP_LIMIT = 16 << 20, 16 << 20, 1 << 20, 20_000
+BLOCK_BYTES, BUCKET_BYTES, RUN_BYTES, GROUP_LIMIT = 8 << 20, 16 << 20, 1 << 20, 20_000
 #: Characters (of eight bytes) behind the anchor string up to which multikey quicksort goes.
 SHALLOW = 2
 _LAST = (1 << 63) - 1
@@ -131,9 +132,9 @@ class _Run:
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         self.starts = self.ends - np.array([len(t) for t in texts], np.int64)
         self.places = anchor_places(self.raw, self.starts, self.ends) if places is None else places
-        self.doc = np.searchsorted(self.ends, self.places, side="right")
+        self.doc = np.searchsorted(self.ends, self.places, side="right").astype(np.int32)
         p, start, end = self.places, self.starts[self.doc], self.ends[self.doc]
-        self.left, self.right = np.minimum(p - start, WINDOW - GRAM), np.minimum(end - p, WINDOW)
+        self.left, self.right = np.minimum(p - start, WINDOW - GRAM).astype(np.uint8), np.minimum(end - p, WINDOW).astype(np.uint8)
         self.keys, self.context_ids = self._hashes()
         new = np.append(True, self.doc[1:] != self.doc[:-1]) if len(p) else np.zeros(0, bool)
         rank = self.keys >> _U(28)
@@ -155,7 +156,7 @@ class _Run:
             p = self.places[x:y] - low
             begin, stop = p - self.left[x:y], p + self.right[x:y]
             keys[x:y] = _mix((sums[p + GRAM] - sums[p]) * power[p + GRAM - 1])
-            shape = _mix((self.left[x:y] * 256 + self.right[x:y]).astype(np.uint64))
+            shape = _mix(self.left[x:y].astype(np.uint64) * _U(256) + self.right[x:y])
             contexts[x:y] = _mix((sums[stop] - sums[begin]) * power[stop - 1] ^ shape)
         return keys, contexts
 
@@ -167,7 +168,7 @@ class _Run:
         view = np.lib.stride_tricks.sliding_window_view(padded, width + WINDOW)[p]
         lefts = view[:, :width][:, ::-1] * (np.arange(width) < left[:, None])
         rights = view[:, width:] * (np.arange(WINDOW) < right[:, None])
-        return np.concatenate([left[:, None], right[:, None], lefts, rights], axis=1, dtype=np.uint8, casting="unsafe")
+        return np.concatenate([left[:, None], right[:, None], lefts, rights], axis=1)
 
     def covered(self, mask: np.ndarray) -> np.ndarray:
         """Which bytes are in a window that goes; bit o of an anchor's mask tells that its window o bytes before it goes."""
@@ -655,14 +656,16 @@ def remove_repeats(docs: DataFrame, whole: bool = False, block_bytes: int = BLOC
     def ask(how, known: DataFrame, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(how, schema)
 
-    known = checkpoint(answered(blocks.mapInArrow(_ask_anchors(buckets), _ASK_SQL)))
-    known = checkpoint(known.unionByName(answered(ask(_ask_contexts(buckets), known, _ASK_SQL))))
-    left = ask(_ask_open(buckets, group_limit), known, _OPEN_SQL)
+    first = checkpoint(answered(blocks.mapInArrow(_ask_anchors(buckets), _ASK_SQL)))
+    second = checkpoint(first.unionByName(answered(ask(_ask_contexts(buckets), first, _ASK_SQL))))
+    release(first)
+    left = ask(_ask_open(buckets, group_limit), second, _OPEN_SQL)
     left = left.repartition("kind", "bucket", "key").sortWithinPartitions("kind", "bucket", "key")
-    known = known.unionByName(left.mapInArrow(_solve, _ASK_SQL))
+    known = second.unionByName(left.mapInArrow(_solve, _ASK_SQL))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * whole
     out = ask(_finish(group_limit, whole), known, schema)
     if not whole:  # small rows: with them kept, the blocks can go
         out = checkpoint(out)
         blocks.unpersist()
+        release(cut, second)
     return out
