@@ -38,7 +38,7 @@ from flowkit.operators.components import release
 WINDOW, GRAM = 50, 20
 STARTS = WINDOW - GRAM + 1
 #: Bytes of text in a block, for a bucket of anchor hashes, and worked on at once; contexts of one anchor sorted in a task.
-BLOCK_BYTES, BUCKET_BYTES, RUN_BYTES, GROUP_LIMIT = 8 << 20, 16 << 20, 1 << 20, 20_000
+BLOCK_BYTES, BUCKET_BYTES, RUN_BYTES, GROUP_LIMIT = 8 << 20, 8 << 20, 1 << 18, 20_000
 #: Characters (of eight bytes) behind the anchor string up to which multikey quicksort goes.
 SHALLOW = 2
 _LAST = (1 << 63) - 1
@@ -232,6 +232,7 @@ def _cut(block_bytes: int):
                         ids, texts, size = [], [], 0
         if ids:
             yield row(block, ids, texts)
+        pa.default_memory_pool().release_unused()  # the worker lives on, and needs less from here
 
     return cut
 
