@@ -169,7 +169,7 @@ def describe_store(store: DataFrame) -> DataFrame:
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
-    """Each document as a page: its text, then a figure that refers to its stored payload, captioned with the text's start."""
+    """Each document as a page: its text, then a figure that refers to its stored payload, captioned with the text's length in bytes."""
     text = text_of()
     digest = F.sha2(payload_of(text), 256)
     escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -178,7 +178,7 @@ def document_pages(docs: DataFrame) -> DataFrame:
 
 
 def media_store(docs: DataFrame) -> DataFrame:
-    """digest and media of every distinct text: the stored payload of the row with the least id of each."""
+    """digest and media of every distinct text: the stored payload, once for all texts that pad to it."""
     text = text_of()
     rows = docs.select(F.sha2(payload_of(text), 256).alias("digest"), F.col("doc_id"), text.alias("text"))
     return rows.groupBy("digest").agg(F.min("text").alias("text")).select("digest", stored(payload_of(F.col("text"))).alias("media"))
