@@ -13,37 +13,59 @@ KEY = ["capture_id", "ip_a", "port_a", "ip_b", "port_b", "proto"]
 
 
 def absolute_slots(packets: DataFrame, width: str, late: str, time: str = "ts") -> DataFrame:
-    """Packets and payload of each flow in windows of absolute time; packets later than late are dropped, and a window is
-    given out once the watermark has passed it."""
+    """Packets and payload of each flow in windows of absolute time, in all and from either end; packets later than late are
+    dropped, and a window is given out once the watermark has passed it."""
     p = packets.withWatermark(time, late).groupBy(*KEY, F.window(time, width))
-    return p.agg(F.count(F.lit(1)).alias("packets"), F.sum("payload").alias("payload")).select(*KEY, F.col("window.start").alias("start"), "packets", "payload")
+    from_a = F.col("src") == F.col("ip_a")
+    sums = [F.count(F.lit(1)).alias("packets"), F.sum("payload").alias("payload")]
+    for end, own in (("a", from_a), ("b", ~from_a)):
+        sums += [F.count_if(own).alias(f"packets_{end}"), F.coalesce(F.sum(F.when(own, F.col("payload"))), F.lit(0.0)).alias(f"payload_{end}")]
+    names = ["packets", "payload", "packets_a", "payload_a", "packets_b", "payload_b"]
+    return p.agg(*sums).select(*KEY, F.col("window.start").alias("start"), *names)
 
 
 class _FirstPacket(StatefulProcessor):
-    """Keeps the time and source of a flow's first packet; gives out each later packet's slot and direction."""
+    """Keeps a flow's first packet's time and source, its number of packets and when it ends; gives out each packet's slot."""
 
     def __init__(self, w_ns: int, horizon_ns: int) -> None:
         self.w_ns, self.horizon_ns = w_ns, horizon_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "t_ns long, src string")
+        self.handle = handle
+        self.flow = handle.getValueState("flow", "t_ns long, src string, n long, ends_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         p = pd.concat(list(rows)).sort_values(["t_ns", "row_pos"], kind="stable")
-        if not self.first.exists():
-            self.first.update((int(p["t_ns"].iloc[0]), str(p["src"].iloc[0])))
-        start, src = self.first.get()
+        if self.flow.exists():
+            start, src, n, ends = self.flow.get()
+            self.handle.deleteTimer(ends)
+        else:
+            start, src, n, ends = int(p["t_ns"].iloc[0]), str(p["src"].iloc[0]), 0, 0
+        nth = pd.Series(range(n + 1, n + len(p) + 1), index=p.index)
+        ends = max(ends, (int(p["t_ns"].max()) + self.horizon_ns) // 1_000_000 + 1)
+        self.flow.update((start, src, n + len(p), ends))
+        self.handle.registerTimer(ends)
         elapsed = p["t_ns"] - start
-        p = p[(elapsed >= 0) & (elapsed <= self.horizon_ns)]
-        last = self.horizon_ns // self.w_ns
-        slot = ((p["t_ns"] - start) // self.w_ns).clip(upper=last)
-        yield pd.DataFrame({"capture_id": key[0], "row_pos": p["row_pos"], "slot": slot, "fwd": p["src"] == src, "payload": p["payload"]})
+        slot = (elapsed // self.w_ns).clip(upper=self.horizon_ns // self.w_ns).astype("Int64").mask(elapsed < 0)
+        out = pd.DataFrame({"capture_id": key[0], "row_pos": p["row_pos"], "slot": slot, "fwd": p["src"] == src, "payload": p["payload"], "nth": nth})
+        yield out[elapsed <= self.horizon_ns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.flow.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def relative_slots(packets: DataFrame, w_ns: int, horizon_ns: int) -> DataFrame:
-    """Slot and direction of each packet since its flow's first packet, with one small state per flow."""
-    out = "capture_id string, row_pos long, slot long, fwd boolean, payload double"
-    return packets.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=_FirstPacket(w_ns, horizon_ns), outputStructType=out, outputMode="Append", timeMode="None")
+def relative_slots(packets: DataFrame, w_ns: int, horizon_ns: int, late: str = "1 minute") -> DataFrame:
+    """Slot, direction and number of each packet since its flow's first packet, with one small state per flow.
+
+    Packets later than late are dropped. One that is older than the first packet already given out has no slot. Packets
+    beyond the horizon count, but have no row. A flow's state goes when the watermark is a horizon past its last packet: a
+    flow that pauses for longer starts anew.
+    """
+    out = "capture_id string, row_pos long, slot long, fwd boolean, payload double, nth long"
+    # the first watermark is the epoch, and what is not after it counts as late
+    timed = packets.withColumn("__time", F.timestamp_micros(F.floor(F.col("t_ns") / 1000) + 1)).withWatermark("__time", late)
+    return timed.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=_FirstPacket(w_ns, horizon_ns), outputStructType=out, outputMode="Append", timeMode="EventTime")

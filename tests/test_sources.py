@@ -96,3 +96,40 @@ def test_stateful_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.row_pos, r.slot, r.fwd) for r in spark.table("rel_slots").collect()) == [(0, 0, True), (1, 0, False), (2, 1, True), (3, 1, False), (4, 2, True)]
+
+
+def test_stateful_stream_ends_flows(spark, tmp_path):
+    """Three batches: a late start has no slot, a flow keeps its count, and one that paused for long starts anew."""
+    pytest.importorskip("google.protobuf")
+    schema = "capture_id string, ip_a string, port_a int, ip_b string, port_b int, proto int, src string, t_ns long, row_pos long, payload double"
+    second = 1_000_000_000
+
+    def packet(capture, src, t, k):
+        return (capture, "a", 1, "b", 2, 6, src, t, k, 1.0)
+
+    batches = [
+        [packet("c", "a", 100 * second, 0), packet("c", "b", 101 * second, 1)],
+        [packet("c", "b", 99 * second, 2), packet("c", "a", 103 * second, 3), packet("c", "a", 105 * second, 4)],
+        [packet("other", "a", 500 * second, 5)],
+        [packet("c", "b", 501 * second, 6), packet("c", "a", 200 * second, 7)],
+    ]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    (tmp_path / "in").mkdir()
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = None
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if q is None:
+            q = stream.relative_slots(s, second, 4 * second, "10 seconds").writeStream.format("memory").queryName("ended_slots").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    found = sorted((r.row_pos, r.slot, r.fwd, r.nth) for r in spark.table("ended_slots").collect())
+    assert found == [(0, 0, True, 1), (1, 1, False, 2), (2, None, False, 3), (3, 3, True, 4), (5, 0, True, 1), (6, 0, True, 1)]
+
+
+def test_windows_of_either_end(spark, tmp_path):
+    rows = [("c", "a", 1, "b", 2, 6, "a" if k % 3 else "b", k, float(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "capture_id string, ip_a string, port_a int, ip_b string, port_b int, proto int, src string, ms long, payload double")
+    df = df.withColumn("ts", F.timestamp_millis("ms")).drop("ms")
+    found = stream.absolute_slots(df, "2 milliseconds", "1 second").orderBy("start").collect()
+    assert [(r.packets, r.payload, r.packets_a, r.payload_a, r.packets_b, r.payload_b) for r in found] == [(2, 1.0, 1, 1.0, 1, 0.0), (2, 5.0, 1, 2.0, 1, 3.0), (2, 9.0, 2, 9.0, 0, 0.0)]
