@@ -15,6 +15,11 @@ from flowkit.llm.common import checkpoint
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Public suffixes of several labels, under which anyone registers; all others are the last label. Callers may pass a longer list.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw",
+    "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk",
+)
 #: A host passes when mean - Z * deviation of its posterior is at least LEAST.
 Z, LEAST = 1.645, 0.5
 #: Bounds of the estimated intra-class correlation.
@@ -40,13 +45,32 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain under one-label suffixes."""
-    return F.substring_index(host, ".", -2)
+def _bare(host: Column) -> Column:
+    """A host without user info, port and trailing dots."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*+$|(?<!\.)\.++(?::[0-9]*+)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9]+(?:\.[0-9]+){3}$|^\[")
+
+
+def _levels(host: Column, suffixes: tuple[str, ...], more: int) -> Column:
+    """The longest listed suffix of a host, else its last label, with so many labels before it. Addresses stay whole."""
+    bare = _bare(host)
+    out = F.when(_is_address(bare), bare)
+    for k in sorted({x.count(".") + 1 for x in suffixes}, reverse=True):
+        own = F.substring_index(bare, ".", -k)
+        out = out.when(own.isin([x for x in suffixes if x.count(".") + 1 == k]), F.substring_index(bare, ".", -k - more))
+    return out.otherwise(F.substring_index(bare, ".", -1 - more))
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The registered domain: one label before the public suffix."""
+    return _levels(host, suffixes, 1)
+
+
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    return _levels(host, suffixes, 0)
 
 
 def _strength(units: DataFrame) -> float:
@@ -60,14 +84,15 @@ def _strength(units: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """From rows (host, good): per host n, k, mean and the lower posterior bound.
 
     good is 1 or 0; null marks a page without a label, whose host still gets a posterior from the levels above. No labels
-    at all: the uniform prior's mean of one half decides. An empty table gives no rows.
+    at all: the uniform prior's mean of one half decides. An empty table gives no rows. User info, ports and trailing dots
+    don't count for the levels above the host, and an address is its own domain and suffix.
     """
     hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = checkpoint(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))  # three strengths read it
+    hosts = checkpoint(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}))  # three strengths read it
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
@@ -86,7 +111,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     return hosts.withColumn("bound", F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + m + 1)))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, least: float = LEAST) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, least: float = LEAST, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict and bound for every page.
 
     A page's outcome is the label with its id: good is quality 1 and not toxic; of repeated labels the worst counts, null
@@ -97,12 +122,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, z: float = Z, l
     good = F.when((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0), 1).when(F.col("quality").isNotNull(), 0)
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.min(good).alias("good"))
     outcomes = rows.select("page_id", "host").join(marks, "page_id", "left")
-    hosts = host_reputation(outcomes.select("host", "good"), z).select("host", "bound")
+    hosts = host_reputation(outcomes.select("host", "good"), z, suffixes).select("host", "bound")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.coalesce(verdict, F.when(F.col("bound") >= least, "allow").otherwise("block"))
     return rows.join(hosts, "host").select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"), F.round("bound", 6).alias("bound"))
 
 
+#: Written for hosts under suffixes of one label, without ports and addresses, as all of the given tables are.
 ORACLE = r"""
 WITH pages_ AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowkit.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, media_sequences, mixing, pii, substring_dedup, url_reputation
 
@@ -404,6 +405,20 @@ def test_urls(spark):
     assert url_reputation.judge_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_levels(spark):
+    hosts = {
+        "a.example.com": ("example.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "x.y.co.uk:8080": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "y.uk.": ("y.uk", "uk"),
+        "me@w.net:1": ("w.net", "net"), "w.net.:1": ("w.net", "net"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]"), "local": ("local", "local"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], ["host"])
+    found = {r.host: (r.d, r.s) for r in df.select("host", url_reputation.domain_of(F.col("host")).alias("d"), url_reputation.suffix_of(F.col("host")).alias("s")).collect()}
+    assert found == hosts
+    # unrelated sites of one public suffix don't share a reputation: y.co.uk's bad pages leave its own hosts below z's
+    rows = [(f"h{k}.y.co.uk", 0) for k in range(40)] + [(f"h{k}.z.co.uk", 1) for k in range(40)] + [("new.y.co.uk", None), ("new.z.co.uk", None)]
+    mean = {r.host: r["mean"] for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    assert mean["new.y.co.uk"] + 0.3 < mean["new.z.co.uk"]
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------
 
 
