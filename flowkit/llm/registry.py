@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowkit.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, media_sequences, mixing, pii, substring_dedup, token_alignment, url_reputation
+from flowkit.llm import byte_bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, media_sequences, mixing, pii, substring_dedup, token_alignment, url_reputation, vector_codes
 from flowkit.llm.common import table
 
 QUERIES = {
@@ -16,8 +16,9 @@ QUERIES = {
     "op8_language_id": lambda spark, sf_dir: language_id.identify(table(spark, sf_dir, "documents")),
     "op9_jaccard_join": lambda spark, sf_dir: jaccard_join.components(table(spark, sf_dir, "documents")),
     "op10_byte_bpe": lambda spark, sf_dir: byte_bpe.encode_documents(table(spark, sf_dir, "documents")),
+    "op11_vector_codes": lambda spark, sf_dir: vector_codes.compress_vectors(table(spark, sf_dir, "embeddings")),
     "op12_benchmark_decontamination": lambda spark, sf_dir: decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op13_token_alignment": lambda spark, sf_dir: token_alignment.align_documents(table(spark, sf_dir, "documents")),
 }
 
-ORACLE = {"op12_benchmark_decontamination": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_url_filters": url_reputation.ORACLE}
+ORACLE = {"op11_vector_codes": vector_codes.ORACLE, "op12_benchmark_decontamination": decontaminate.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_url_filters": url_reputation.ORACLE}
