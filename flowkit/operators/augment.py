@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions.scalar import hash_normal, hash_uniform
-from flowkit.operators.components import checkpoint
+from flowkit.operators.components import checkpoint, numbered
+from flowkit.operators.warping import dtw_join, shape_of, warp_batch
 
 
 def jitter(df: DataFrame, sigma: float, seed: int) -> DataFrame:
@@ -121,127 +122,25 @@ def augment_rounds(df: DataFrame, rounds: int, op: Callable[[DataFrame, int], Da
     return out
 
 
-# --- dynamic time warping: kernels on one pair of arrays, applied in Arrow batches over a table of pairs
-
-
-def dtw_path(a: np.ndarray, b: np.ndarray, window: int | None = None, slope: str = "symmetric", dist: Callable | None = None) -> tuple[float, list[tuple[int, int]]]:
-    """Distance and path. a, b: steps by dimensions. asymmetric steps may skip one of b and use each of a once; no path
-    within the window gives infinity and an empty path."""
-    n, m = len(a), len(b)
-    window = max(window if window is not None else max(n, m), abs(n - m) if slope == "symmetric" else 0)
-    cost = [[float("inf")] * (m + 2) for _ in range(n + 1)]  # lists: single items of numpy arrays are slow to read
-    cost[0][1] = 0.0
-    local = [[dist(x, y) for y in b] for x in a] if dist else np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).tolist()
-    for i in range(1, n + 1):
-        above, row, near = cost[i - 1], cost[i], local[i - 1]
-        for j in range(max(1, i - window), min(m, i + window) + 1):
-            before = min(above[j], above[j + 1], row[j]) if slope == "symmetric" else min(above[j + 1], above[j], above[j - 1])
-            row[j + 1] = near[j - 1] + before
-    if not np.isfinite(cost[n][m + 1]):
-        return float("inf"), []
-    path, i, j = [], n, m
-    while i > 0 and j > 0:
-        path.append((i - 1, j - 1))
-        if slope == "symmetric":
-            k = int(np.argmin((cost[i - 1][j], cost[i - 1][j + 1], cost[i][j])))
-            i, j = i - (k != 2), j - (k != 1)
-        else:
-            k = int(np.argmin((cost[i - 1][j + 1], cost[i - 1][j], cost[i - 1][j - 1])))
-            i, j = i - 1, j - k
-    return float(cost[n][m + 1]), path[::-1]
-
-
-def _shape(a: np.ndarray, width: int) -> np.ndarray:
-    """Each step described by the steps around it, the ends repeated."""
-    left = width // 2
-    padded = np.concatenate([np.repeat(a[:1], left, 0), a, np.repeat(a[-1:], width - 1 - left, 0)])
-    return np.stack([padded[i : i + width].ravel() for i in range(len(a))])
-
-
-def _matrix(values) -> np.ndarray:
-    x = np.array([np.atleast_1d(v) for v in values], float)
-    return x.reshape(len(values), -1)
-
-
-def dtw_join(pairs: DataFrame, window: int | None = None, slope: str = "symmetric", shape: int | None = None, dist: Callable | None = None, path: bool = False) -> DataFrame:
-    """pairs (with array columns a and b) with distance, and with path (places in a and b, from 0) if asked for; shape
-    compares local descriptors of that width instead of steps."""
-
-    def warped(a: pd.Series, b: pd.Series) -> list:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = _matrix(x), _matrix(y)
-            if shape:
-                x, y = _shape(x, shape), _shape(y, shape)
-            out.append(dtw_path(x, y, window, slope, dist))
-        return out
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([d for d, _ in warped(a, b)])
-
-    @F.pandas_udf("distance double, path array<struct<a:int,b:int>>")
-    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = warped(a, b)
-        return pd.DataFrame({"distance": [d for d, _ in found], "path": [[{"a": i, "b": j} for i, j in p] for _, p in found]})
-
-    if path:
-        return pairs.withColumn("__w", both("a", "b")).withColumns({"distance": F.col("__w.distance"), "path": F.col("__w.path")}).drop("__w")
-    return pairs.withColumn("distance", distance("a", "b"))
-
-
-def lb_keogh(a: str, b: str, window: int) -> Column:
-    """A lower bound of the distance of equally long one-dimensional arrays under the sum of absolute differences; it prunes
-    pairs before they reach dtw_join."""
-    def part(x: Column, i: Column) -> Column:
-        near = F.slice(F.col(b), F.greatest(i - window + 1, F.lit(1)), F.lit(2 * window + 1) - F.greatest(F.lit(0), window - i))
-        return F.greatest(x - F.array_max(near), F.array_min(near) - x, F.lit(0.0))
-
-    return F.aggregate(F.transform(a, part), F.lit(0.0), lambda s, x: s + x)
-
-
-def dtw_cost(a: np.ndarray, b: np.ndarray, warp: int = 1, band: int | None = None, weight: float = 1.0) -> float:
-    """The warping cost (Manhattan) of the reference's metric: warp looks that many cells aside, band is the greatest
-    difference of places (at least that of the lengths), weight multiplies the costs of steps off the diagonal."""
-    n, m = len(a), len(b)
-    if band is not None and band < abs(n - m):
-        raise ValueError("the band is narrower than the difference of the lengths")
-    inf = float("inf")
-    cost = [[inf] * (m + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
-    near = np.abs(a[:, None] - b[None]).sum(axis=2).tolist()
-    for i in range(n):
-        for j in range(m):
-            if band is None or abs(i - j) <= band:
-                cost[i + 1][j + 1] = near[i][j]  # cells ahead, which a warp above 1 meets, hold the step's own cost
-    for i in range(n):
-        for j in range(m):
-            if band is None or abs(i - j) <= band:
-                aside = (x for k in range(1, warp + 1) for x in (cost[min(i + k, n)][j] * weight, cost[i][min(j + k, m)] * weight))
-                cost[i + 1][j + 1] += min(cost[i][j], *aside)
-    return cost[n][m]
-
-
-def dtw_metric(pred: DataFrame, truth: DataFrame, warp: int = 1, band: int | None = None, weight: float = 1.0) -> DataFrame:
-    """The mean warping distance (absolute differences, normed by both lengths) between (series, values) tables."""
-    pairs = pred.select("series", F.col("values").alias("a")).join(truth.select("series", F.col("values").alias("b")), "series")
-
-    @F.pandas_udf("double")
-    def cost(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dtw_cost(_matrix(x), _matrix(y), warp, band, weight) for x, y in zip(a, b, strict=True)])
-
-    d = dtw_join(pairs) if (warp, band, weight) == (1, None, 1.0) else pairs.withColumn("distance", cost("a", "b"))
-    d = d.withColumn("normed", F.col("distance") / (F.size("a") + F.size("b")))
-    return d.agg(F.count(F.lit(1)).alias("pairs"), F.avg("normed").alias("dtw"))
+# --- augmentation along warping paths
+
+
+def _in_class(df: DataFrame, seed: int) -> DataFrame:
+    """df with __k, the place in its class in hash order from 0, and __n, the size of the class: counted over ranges, so no
+    task holds a class."""
+    r = numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col("series"))), "__at", "label", "__h", "series")
+    first = r.groupBy(F.col("label").alias("__l")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    r = r.join(first, F.col("label").eqNullSafe(F.col("__l")))
+    return r.withColumn("__k", F.col("__at") - F.col("__first")).drop("__h", "__at", "__l", "__first")
 
 
 def same_class_partner(df: DataFrame, seed: int) -> DataFrame:
     """df (series, label, values) with partner and partner_values: the next of the class in hash order, the last one taking
     the first. A class of one has no partner."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("series")), "series")
-    r = df.withColumns({"__k": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy("label"))})
-    other = r.select("label", (F.col("__k") - 1).alias("__k"), F.col("series").alias("partner"), F.col("values").alias("partner_values"))
-    return r.withColumn("__k", F.col("__k") % F.col("__n")).join(other, ["label", "__k"]).where("partner <> series").drop("__k", "__n")
+    r = _in_class(df, seed)
+    other = r.select(F.col("label").alias("__l"), F.col("__k").alias("__o"), F.col("series").alias("partner"), F.col("values").alias("partner_values"))
+    r = r.withColumn("__k", (F.col("__k") + 1) % F.col("__n"))
+    return r.join(other, F.col("label").eqNullSafe(F.col("__l")) & (F.col("__k") == F.col("__o"))).where("partner <> series").drop("__k", "__n", "__l", "__o")
 
 
 def _resampled(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -250,66 +149,93 @@ def _resampled(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.interp(places, np.arange(len(x)), x)
 
 
-def _spawn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    _, path = dtw_path(x[:, None], y[:, None])
-    mean = np.array([(x[i] + y[j]) / 2 for i, j in path])
-    return _resampled(mean, np.arange(len(mean)), len(x))
+def _means(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+    """Each x averaged with its y along their path, at the length of x."""
+    _, paths = warp_batch([v[:, None] for v in x], [v[:, None] for v in y], path=True)
+    means = [(v[p[:, 0]] + w[p[:, 1]]) / 2 for v, w, p in zip(x, y, paths, strict=True)]
+    return [_resampled(m, np.arange(len(m)), len(v)) for m, v in zip(means, x, strict=True)]
 
 
-def _guided(x: np.ndarray, y: np.ndarray, shape: int | None = None) -> np.ndarray:
-    a, b = x[:, None], y[:, None]
-    _, path = dtw_path(_shape(b, shape) if shape else b, _shape(a, shape) if shape else a)
-    return _resampled(x, np.array([j for _, j in path], float), len(x))
+def _guided(x: list[np.ndarray], y: list[np.ndarray], shape: int | None = None) -> list[np.ndarray]:
+    """Each x with the time of its y."""
+    a, b = ([shape_of(v[:, None], shape) if shape else v[:, None] for v in s] for s in (y, x))
+    _, paths = warp_batch(a, b, path=True)
+    return [_resampled(v, p[:, 1].astype(float), len(v)) for v, p in zip(x, paths, strict=True)]
 
 
-def _with_partner(df: DataFrame, seed: int, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _with_partner(df: DataFrame, seed: int, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
     @F.pandas_udf("array<double>")
     def made(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([kernel(np.asarray(a, float), np.asarray(b, float)).tolist() for a, b in zip(x, y, strict=True)])
+        return pd.Series([v.tolist() for v in kernel(*([np.asarray(v, float) for v in s] for s in (x, y)))])
 
-    return same_class_partner(df, seed).select("series", "label", "partner", made("values", "partner_values").alias("values"))
+    pairs = same_class_partner(df, seed).where("size(values) > 0 AND size(partner_values) > 0")
+    return pairs.select("series", "label", "partner", made("values", "partner_values").alias("values"))
 
 
 def spawner(df: DataFrame, seed: int) -> DataFrame:
-    """Each series averaged with a partner of its class along their warping path."""
-    return _with_partner(df, seed, _spawn)
+    """Each series averaged with a partner of its class along their warping path; series without values have none."""
+    return _with_partner(df, seed, _means)
 
 
 def random_guided_warp(df: DataFrame, seed: int, shape: int | None = None) -> DataFrame:
-    """Each series with the time of a partner of its class, by plain or shape warping."""
+    """Each series with the time of a partner of its class, by plain or shape warping; series without values have none."""
     return _with_partner(df, seed, lambda x, y: _guided(x, y, shape))
 
 
-def _batches(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """Adds batch: up to size series of a class, in hash order."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("series")), "series")) - 1
-    return df.withColumn("batch", F.floor(place / size))
+#: Series of a group from which wdba() takes its start.
+STARTERS = 16
 
 
-def wdba(df: DataFrame, size: int, seed: int, rounds: int = 3) -> DataFrame:
-    """For each batch of up to size series of a class: a weighted barycentre under warping (label, batch, values).
+def wdba(df: DataFrame, size: int | None, seed: int, rounds: int = 3) -> DataFrame:
+    """A weighted barycentre under warping of each batch of up to size series of a class, or of whole classes if size is
+    None: label, batch and values.
 
-    The medoid starts; the others weigh less with their distance from it.
+    The medoid of the first STARTERS series of a batch, in hash order, starts; the others weigh less with their distance from
+    it: half, at that of the nearest. In each round every series is warped to its batch's mean, and what it adds to each
+    place of the mean is a row that Spark sums, so a class of any size is spread over tasks. Series without values are left out.
     """
-
-    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = [np.asarray(v, float) for v in pdf["values"]]
-        d = np.array([[dtw_path(a[:, None], b[:, None])[0] for b in x] for a in x])
-        m = int(d.sum(axis=1).argmin())
-        near = np.sort(d[m])[1] if len(x) > 1 else 1.0
-        weight = np.exp(np.log(0.5) * d[m] / near) if near > 0 else np.ones(len(x))
-        mean = x[m].copy()
-        for _ in range(rounds):
-            total, mass = np.zeros_like(mean), np.zeros_like(mean)
-            for v, w in zip(x, weight, strict=True):
-                for i, j in dtw_path(mean[:, None], v[:, None])[1]:
-                    total[i] += w * v[j]
-                    mass[i] += w
-            mean = total / mass
-        return pd.DataFrame({"label": pdf["label"].iloc[:1], "batch": pdf["batch"].iloc[:1], "values": [mean.tolist()]})
-
-    kind = df.schema["label"].dataType.simpleString()
-    return _batches(df, size, seed).select("label", "batch", "series", "values").groupBy("label", "batch").applyInPandas(centre, f"label {kind}, batch long, values array<double>")
+    key = ["label", "batch"]
+    d = df.where("size(values) > 0").select("series", "label", "values")
+    if size is None:
+        d = d.withColumn("batch", F.lit(0).cast("long"))
+        d = d.withColumn("__h", F.xxhash64(F.lit(seed), F.col("series")))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("__h", "series"))  # limited before it is shuffled
+        first = d.withColumn("__place", place).where(F.col("__place") <= STARTERS)
+    else:
+        d = checkpoint(_in_class(d, seed).withColumns({"batch": F.floor(F.col("__k") / size), "__k": F.col("__k") % size}))
+        first = d.where(F.col("__k") < STARTERS)
+    first = checkpoint(first.select(*key, "series", "values"))
+    pairs = _of_batch(first.withColumnRenamed("values", "a"), first.select(*key, F.col("values").alias("b")))
+    sums = dtw_join(pairs).groupBy(*key, "series").agg(F.sum("distance").alias("d"), F.first("a").alias("a"))
+    start = sums.groupBy(*key).agg(F.min_by(F.struct("series", "a"), F.struct("d", "series")).alias("m"))
+    start = checkpoint(start.select(*key, F.col("m.series").alias("__m"), F.col("m.a").alias("a")))
+    near = dtw_join(_of_batch(d.select(*key, "series", F.col("values").alias("b")), start)).drop("a")
+    nearest = near.where("series <> __m").groupBy(*key).agg(F.min("distance").alias("__near"))
+    share = F.when(F.col("__near") > 0, F.exp(F.log(F.lit(0.5)) * F.col("distance") / F.col("__near"))).otherwise(1.0)
+    weighed = _of_batch(near, nearest, "left").select(*key, "b", share.alias("w"))
+    weighed = checkpoint(weighed)
+    means, added_to = start.select(*key, F.col("a").alias("mean")), F.pandas_udf(_added, "array<struct<total:double,mass:double>>")
+    for _ in range(rounds):
+        added = _of_batch(weighed, means).select(*key, added_to("mean", "b", "w").alias("x"))
+        at = added.select(*key, F.posexplode("x")).groupBy(*key, "pos").agg((F.sum("col.total") / F.sum("col.mass")).alias("v"))
+        means = checkpoint(at.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "v")))["v"].alias("mean")))
+    return means.select(*key, F.col("mean").alias("values"))
+
+
+def _of_batch(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a joined with the rows of b of the same label, nulls being equal, and the same batch."""
+    b = b.withColumnsRenamed({"label": "__l", "batch": "__b"})
+    return a.join(b, F.col("label").eqNullSafe(F.col("__l")) & (F.col("batch") == F.col("__b")), how).drop("__l", "__b")
+
+
+def _added(mean: pd.Series, values: pd.Series, weight: pd.Series) -> pd.Series:
+    """For each place of the mean: the weighted values that meet it, and their weights."""
+    a, b = ([np.asarray(v, float) for v in s] for s in (mean, values))
+    out = []
+    for x, y, w, p in zip(a, b, weight, warp_batch([v[:, None] for v in a], [v[:, None] for v in b], path=True)[1], strict=True):
+        total, mass = (np.bincount(p[:, 0], weights=v, minlength=len(x)) for v in (w * y[p[:, 1]], np.full(len(p), w)))
+        out.append([{"total": t, "mass": m} for t, m in zip(total.tolist(), mass.tolist(), strict=True)])
+    return pd.Series(out)
 
 
 def variable_slice(df: DataFrame, seed: int) -> DataFrame:
@@ -340,26 +266,29 @@ def discriminative_guided_warp(df: DataFrame, size: int, seed: int, shape: int |
     def warp(pdf: pd.DataFrame) -> pd.DataFrame:
         x = [np.asarray(v, float) for v in pdf["values"]]
         y, ids = pdf["label"].tolist(), pdf["series"].tolist()
-        desc = [_shape(v[:, None], shape) if shape else v[:, None] for v in x]
-        d = np.array([[dtw_path(a, b)[0] for b in desc] for a in desc])
-        out = []
+        desc = [shape_of(v[:, None], shape) if shape else v[:, None] for v in x]
+        k = len(desc)
+        d = warp_batch([a for a in desc for _ in desc], desc * k)[0].reshape(k, k)
+        out, guides = [], {}
+        for i in range(k):
+            own = np.array([j for j in range(k) if y[j] == y[i] and j != i], int)
+            rest = np.array([j for j in range(k) if y[j] != y[i]], int)
+            if len(own):
+                guides[i] = int(own[np.argmax((d[np.ix_(own, rest)].mean(axis=1) if len(rest) else 0.0) - d[np.ix_(own, own)].mean(axis=1))])
+        paths = dict(zip(guides, warp_batch([desc[g] for g in guides.values()], [desc[i] for i in guides], path=True)[1], strict=True))
         for i, v in enumerate(x):
-            own = [k for k in range(len(x)) if y[k] == y[i] and k != i]
-            if not own:
+            if i not in guides:
                 out.append((ids[i], y[i], None, 0.0, v.tolist()))
                 continue
-            rest = [k for k in range(len(x)) if y[k] != y[i]]
-            score = [(d[k][rest].mean() if rest else 0.0) - d[k][own].mean() for k in own]
-            g = own[int(np.argmax(score))]
-            path = np.array([j for _, j in dtw_path(desc[g], desc[i])[1]], float)
-            made = _resampled(v, path, len(v))
+            path = paths[i][:, 1].astype(float)
             shift = np.abs(np.interp(np.linspace(0, len(path) - 1, len(v)), np.arange(len(path)), path) - np.arange(len(v))).mean()
-            out.append((ids[i], y[i], ids[g], float(shift), made.tolist()))
+            out.append((ids[i], y[i], ids[guides[i]], float(shift), _resampled(v, path, len(v)).tolist()))
         return pd.DataFrame(out, columns=["series", "label", "guide", "amount", "values"])
 
     s, t = (df.schema[c].dataType.simpleString() for c in ("series", "label"))
-    buckets = F.pmod(F.xxhash64(F.lit(seed), F.col("series")), F.lit(max(1, -(-df.count() // size))))
-    d = df.withColumn("batch", buckets)
+    df = df.where("size(values) > 0")
+    buckets = F.pmod(F.xxhash64(F.lit(seed), F.col("series")), F.greatest(F.lit(1), F.ceil(F.col("__rows") / size)))
+    d = df.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows")))).withColumn("batch", buckets)  # one row
     d = d.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("batch").orderBy("series")) - 1) / (2 * size)))
     d = d.select("batch", "part", "series", "label", "values").groupBy("batch", "part").applyInPandas(warp, f"series {s}, label {t}, guide {s}, amount double, values array<double>")
     return variable_slice(checkpoint(d), seed + 1) if slices else d  # the greatest amount and the rows come from one run

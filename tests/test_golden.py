@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowkit.functions import scalar
-from flowkit.operators import augment, clean, flows, metrics, repair, series, slots, splits
+from flowkit.operators import augment, clean, flows, metrics, repair, series, slots, splits, warping
 
 MS = (20, 30, 40, 50, 75, 100, 150, 200, 250)
 
@@ -118,13 +118,13 @@ def test_warping(spark):
     import numpy as np
 
     a, b = np.array([[0.0], [1], [2], [3]]), np.array([[0.0], [0], [1], [2], [3], [3]])
-    assert augment.dtw_path(a, b)[0] == 0
-    d, path = augment.dtw_path(a, b[:5], slope="asymmetric")
+    assert warping.dtw_path(a, b)[0] == 0
+    d, path = warping.dtw_path(a, b[:5], slope="asymmetric")
     assert [i for i, _ in path] == [0, 1, 2, 3] and d <= 1
-    assert augment.dtw_path(a, b, window=0, slope="asymmetric")[0] == float("inf")
+    assert warping.dtw_path(a, b, window=0, slope="asymmetric")[0] == float("inf")
     pairs = spark.createDataFrame([([0.0, 1.0, 2.0], [0.0, 2.0, 2.0])], "a array<double>, b array<double>")
-    low = pairs.select(augment.lb_keogh("a", "b", 1)).first()[0]
-    assert low <= augment.dtw_join(pairs, window=1).first()["distance"]
+    low = pairs.select(warping.lb_keogh("a", "b", 1)).first()[0]
+    assert low <= warping.dtw_join(pairs, window=1).first()["distance"]
 
 
 def test_kernels_by_name(spark):

@@ -6,8 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from flowkit.llm import jaccard_join
-from flowkit.operators import augment, groups, metrics
+from flowkit.operators import augment, groups, metrics, warping
 from flowkit.operators.components import numbered
 from flowkit.plans import catalog, series_queries
 
@@ -36,21 +35,6 @@ def test_warping_takes_whole_embeddings(spark):
         assert catalog.QUERIES[q](spark, SF).select(F.min(F.size("values"))).first()[0] == 64
 
 
-def test_near_copies_without_ids(spark):
-    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
-    rows = [(None, text(x)) for x in "abc"] + [(None, text("a") + " more"), (7, text("d")), (7, text("e")), (None, text("f")), (9, text("f")), (8, text("f") + " more"), (None, text("g")), (3, text("g"))]
-    rows += [(None, ""), (None, " "), (None, text("b"))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df).collect()]
-    either = [r for r in kept if (r[1] or "").startswith("a0")]
-    assert len(either) == 1 and either[0] in rows
-    wanted = [(None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("f") + " more"), (3, text("g")), (None, ""), (None, " ")]
-    assert sorted(map(str, kept)) == sorted(map(str, wanted + either))
-    named = {(r.doc_id, r.component_id) for r in jaccard_join.components(df).where("n_shingles > 0").collect()}
-    assert {c for i, c in named if i == 3} == {3} and {c for _, c in named} == {None, 7, 8, 3}
-    assert jaccard_join.components(df).where("component_id = 3").count() == 2
-
-
 def test_guided_warps_are_sliced_by_amount(spark):
     rows = [(k, 0, [float(x) for x in range(10)], a) for k, a in enumerate((0.0, 1.0, 2.0))]
     df = spark.createDataFrame(rows, "series long, label int, values array<double>, amount double")
@@ -82,15 +66,15 @@ def test_warping_paths_and_bands(spark):
     import numpy as np
 
     pairs = spark.createDataFrame([(1, [0.0, 1.0, 5.0], [0.0, 0.0, 5.0])], "series long, a array<double>, b array<double>")
-    r = augment.dtw_join(pairs, path=True).first()
-    assert r.distance == 1 and [(p.a, p.b) for p in r.path] == augment.dtw_path(np.array([[0.0], [1], [5]]), np.array([[0.0], [0], [5]]))[1]
+    r = warping.dtw_join(pairs, path=True).first()
+    assert r.distance == 1 and [(p.a, p.b) for p in r.path] == warping.dtw_path(np.array([[0.0], [1], [5]]), np.array([[0.0], [0], [5]]))[1]
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=9), rng.normal(size=9)
     tables = [spark.createDataFrame([(1, x.tolist())], "series long, values array<double>") for x in (a, b)]
-    assert abs(augment.dtw_metric(*tables, band=8).first().dtw - warped(a, b) / 18) < 1e-9
-    assert abs(augment.dtw_metric(*tables, band=0).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
-    assert abs(augment.dtw_metric(*tables, weight=1e9).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
-    assert augment.dtw_metric(*tables, warp=2).first().dtw <= augment.dtw_metric(*tables).first().dtw + 1e-9
+    assert abs(warping.dtw_metric(*tables, band=8).first().dtw - warped(a, b) / 18) < 1e-9
+    assert abs(warping.dtw_metric(*tables, band=0).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
+    assert abs(warping.dtw_metric(*tables, weight=1e9).first().dtw - np.abs(a - b).sum() / 18) < 1e-9
+    assert warping.dtw_metric(*tables, warp=2).first().dtw <= warping.dtw_metric(*tables).first().dtw + 1e-9
 
 
 def plan(df):
