@@ -87,22 +87,6 @@ def random_cut_window(df: DataFrame, seq: int, label: int, pred: int, window: in
     )
 
 
-def _lagged(df: DataFrame, n: int, series: str, step: str, value: str) -> DataFrame:
-    moved = df.select(series, F.col(step).alias("__at"), F.col(value).alias("__other"))
-    d = df.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__at", (F.col(step) + F.col("lag")) % n)
-    return d.join(moved, [series, "__at"]).drop("__at")
-
-
-def lag_autocorrelation(df: DataFrame, n: int, c: float, series: str = "series", step: str = "step", value: str = "value") -> DataFrame:
-    """series, lag, corr and weight of the int(c ln n) lags with the highest mean circular product; weights are a softmax."""
-    d = _lagged(df, n, series, step, value).groupBy(series, "lag").agg(F.avg(F.col(value) * F.col("__other")).alias("corr"))
-    place = F.row_number().over(Window.partitionBy(series).orderBy(F.round("corr", 9).desc(), "lag"))
-    d = d.withColumn("rank", place).where(F.col("rank") <= int(c * math.log(n)))
-    w = Window.partitionBy(series)
-    e = F.exp(F.col("corr") - F.max("corr").over(w))
-    return d.withColumn("weight", e / F.sum(e).over(w)).drop("rank")
-
-
 def interpolate_missing(df: DataFrame, sample: str, step: str, value: str) -> DataFrame:
     """Missing values (null or NaN) on the line between their neighbours; at the ends the nearest value."""
     v = F.when(~F.isnan(value), F.col(value))
@@ -131,34 +115,6 @@ def adf_statistic(df: DataFrame, series: str = "series", step: str = "step", val
     return m.select(series, (b / F.sqrt(s2 * zz / det)).alias("statistic"))
 
 
-def spectrum(df: DataFrame, n: int, series: str = "series", step: str = "step", value: str = "value") -> DataFrame:
-    """series, freq (1 .. n/2), re, im and amplitude of the discrete Fourier transform; the constant is left out."""
-    d = df.withColumn("freq", F.explode(F.sequence(F.lit(1), F.lit(n // 2))))
-    angle = 2 * math.pi * ((F.col("freq") * F.col(step)) % n) / n
-    d = d.groupBy(series, "freq").agg(F.sum(F.col(value) * F.cos(angle)).alias("re"), F.sum(-F.col(value) * F.sin(angle)).alias("im"))
-    return d.withColumn("amplitude", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
-
-
-def topk_periods(df: DataFrame, n: int, k: int, series: str = "series", step: str = "step", value: str = "value") -> DataFrame:
-    """freq, amplitude (mean over all series) and period of the k strongest frequencies."""
-    a = spectrum(df, n, series, step, value).groupBy("freq").agg(F.avg("amplitude").alias("amplitude"))
-    return a.orderBy(F.round("amplitude", 9).desc(), "freq").limit(k).withColumn("period", F.floor(F.lit(n) / F.col("freq")))
-
-
-def dft_decompose(df: DataFrame, n: int, k: int, series: str = "series", step: str = "step", value: str = "value") -> DataFrame:
-    """Adds season, the part of the k strongest frequencies of each series, and trend, the rest.
-
-    Each series has its own frequencies and keeps its mean in the trend.
-    """
-    s = spectrum(df, n, series, step, value)
-    s = s.withColumn("rank", F.row_number().over(Window.partitionBy(series).orderBy(F.round("amplitude", 9).desc(), "freq"))).where(F.col("rank") <= k)
-    weight = F.when(F.col("freq") * 2 == n, 1.0).otherwise(2.0) / n
-    j = df.select(series, step).join(s.select(series, "freq", "re", "im"), series)
-    angle = 2 * math.pi * ((F.col("freq") * F.col(step)) % n) / n
-    season = j.groupBy(series, step).agg(F.sum(weight * (F.col("re") * F.cos(angle) - F.col("im") * F.sin(angle))).alias("season"))
-    return df.join(season, [series, step]).withColumn("trend", F.col(value) - F.col("season"))
-
-
 def multi_scale_downsample(df: DataFrame, factor: int, levels: int, how: str = "avg", series: str = "series", step: str = "step", value: str = "value") -> DataFrame:
     """series, level, step and value of a series pooled again and again; incomplete pools at the end are dropped."""
     length = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(series)))

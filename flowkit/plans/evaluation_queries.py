@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowkit.functions import scalar
-from flowkit.operators import flows, metrics, series, splits
+from flowkit.operators import flows, fourier, metrics, series, splits
 from flowkit.operators.repair import repair_impossible_bytes
 from flowkit.plans.packets import PK, RAW, packets, raw_packets, table
 from flowkit.plans.registry import query
@@ -211,16 +211,16 @@ query("f9_insample_last_window", "WITH a AS (SELECT vec_id AS series, list_trans
 )
 query("f10_random_cut_window")(lambda s, d: series.random_cut_window(arrays(s, d), 16, 4, 8, 24, 3).select("series", "cut", *[F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 9).alias(c) for c in ("insample", "insample_mask", "outsample", "outsample_mask")]))
 query("f12_lag_autocorrelation", f"WITH {VEC}, c AS (SELECT a.series, (b.step - a.step + 64) % 64 AS lag, avg(a.value * b.value) AS corr FROM vec a JOIN vec b ON a.series = b.series GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(corr, 9) DESC, lag) AS r FROM c) SELECT series, lag, round(corr, 9) AS corr, round(exp(corr - max(corr) OVER w) / sum(exp(corr)) OVER w * exp(max(corr) OVER w), 6) AS weight FROM t WHERE r <= 4 WINDOW w AS (PARTITION BY series)")(
-    lambda s, d: series.lag_autocorrelation(vectors(s, d), 64, 1.0).select("series", "lag", F.round("corr", 9).alias("corr"), F.round("weight", 6).alias("weight"))
+    lambda s, d: fourier.lag_autocorrelation(vectors(s, d), 64, 1.0).select("series", "lag", F.round("corr", 9).alias("corr"), F.round("weight", 6).alias("weight"))
 )
 query("f13_interpolate_missing", f"WITH {VEC}, v AS (SELECT series, step, CASE WHEN (step * 7 + series) % 5 < 2 THEN NULL ELSE value END AS v FROM vec), n AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS a, last_value(CASE WHEN v IS NOT NULL THEN step END IGNORE NULLS) OVER b AS ta, first_value(v IGNORE NULLS) OVER f AS z, first_value(CASE WHEN v IS NOT NULL THEN step END IGNORE NULLS) OVER f AS tz FROM v WINDOW b AS (PARTITION BY series ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT series, step, round(coalesce(v, a + (z - a) * (step - ta) / (tz - ta), a, z), 9) AS value FROM n")(
     lambda s, d: series.interpolate_missing(vectors(s, d).withColumn("value", F.when((F.col("step") * 7 + F.col("series")) % 5 < 2, float("nan")).otherwise(F.col("value"))), "series", "step", "value").select("series", "step", F.round("value", 9).alias("value"))
 )
 query("f14_adf_statistic")(lambda s, d: series.adf_statistic(vectors(s, d)).select("series", F.round("statistic", 9).alias("statistic")))
 _DFT = f"{VEC}, sp AS (SELECT series, f, sum(value * cos(2 * pi() * ((f * step) % 64) / 64)) AS re, sum(-value * sin(2 * pi() * ((f * step) % 64) / 64)) AS im FROM vec, (SELECT unnest(range(1, 33)) AS f) GROUP BY ALL)"
-query("g3_topk_periods", f"WITH {_DFT} SELECT f AS freq, round(avg(sqrt(re ** 2 + im ** 2)), 6) AS amplitude, 64 // f AS period FROM sp GROUP BY f ORDER BY round(avg(sqrt(re ** 2 + im ** 2)), 9) DESC, f LIMIT 5")(lambda s, d: series.topk_periods(vectors(s, d), 64, 5).select("freq", F.round("amplitude", 6).alias("amplitude"), "period"))
+query("g3_topk_periods", f"WITH {_DFT} SELECT f AS freq, round(avg(sqrt(re ** 2 + im ** 2)), 6) AS amplitude, 64 // f AS period FROM sp GROUP BY f ORDER BY round(avg(sqrt(re ** 2 + im ** 2)), 9) DESC, f LIMIT 5")(lambda s, d: fourier.topk_periods(vectors(s, d), 64, 5).select("freq", F.round("amplitude", 6).alias("amplitude"), "period"))
 query("j13_dft_decompose", f"WITH {_DFT}, t AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sqrt(re ** 2 + im ** 2), 9) DESC, f) AS r FROM sp) SELECT v.series, v.step, round(sum(CASE WHEN f = 32 THEN 1 ELSE 2 END / 64 * (re * cos(2 * pi() * ((f * step) % 64) / 64) - im * sin(2 * pi() * ((f * step) % 64) / 64))), 6) AS season FROM vec v JOIN t ON t.series = v.series AND r <= 5 GROUP BY ALL")(
-    lambda s, d: series.dft_decompose(vectors(s, d), 64, 5).select("series", "step", F.round("season", 6).alias("season"))
+    lambda s, d: fourier.dft_decompose(vectors(s, d), 64, 5).select("series", "step", F.round("season", 6).alias("season"))
 )
 query("j14_multi_scale_downsample", f"WITH {VEC} SELECT series, l AS level, step // CAST(3 ** l AS BIGINT) AS step, round(avg(value), 9) AS value FROM vec, (SELECT unnest([0, 1, 2]) AS l) WHERE (step // CAST(3 ** l AS BIGINT) + 1) * CAST(3 ** l AS BIGINT) <= 64 GROUP BY ALL")(
     lambda s, d: series.multi_scale_downsample(vectors(s, d), 3, 2).select("series", "level", "step", F.round("value", 9).alias("value"))
