@@ -40,18 +40,31 @@ def slot_features_multi(packets: DataFrame, widths_ns: list[int], horizon_ns: in
 
 
 def densify_slots(features: DataFrame, slots: int, w_seconds: float, key: tuple[str, ...] = KEY, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Every slot 0 .. slots-1 of every flow; missing ones are zero but for the time axis."""
-    grid = features.select(*key).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    out = grid.join(features.select(*key, "slot", *[f"f{k}" for k in range(7)], *extra), [*key, "slot"], "left")
-    return out.withColumns({f"f{k}": F.coalesce(f"f{k}", F.lit(0.0)) for k in range(7)} | {"f7": F.col("slot") * w_seconds})
+    """Every slot 0 .. slots-1 of every flow; missing ones are zero but for the time axis, extra columns null.
+
+    A flow's slots, at most as many as the grid has, become one map, which the grid looks up: features are read once, and
+    where they are partitioned by flow nothing is shuffled. Slots are distinct in a flow; those off the grid are dropped.
+    """
+    kept = [*[f"f{k}" for k in range(7)], *extra]
+    on_grid = F.when(F.col("slot").between(0, slots - 1), F.struct(F.col("slot").cast("long"), F.struct(*kept).alias("x")))
+    flows = features.groupBy(*key).agg(F.map_from_entries(F.collect_list(on_grid)).alias("__has"))
+
+    def row(slot: Column) -> Column:
+        x = F.element_at("__has", slot)
+        zeros = [F.coalesce(x[f"f{k}"], F.lit(0.0)).alias(f"f{k}") for k in range(7)]
+        return F.struct(slot.alias("slot"), *zeros, *[x[c].alias(c) for c in extra], (slot * w_seconds).alias("f7"))
+
+    grid = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+    return flows.select(*key, F.explode(grid).alias("__slot"), "__has").select(*key, row(F.col("__slot")).alias("__row")).select(*key, "__row.*")
 
 
 def join_direction_stats(packets: DataFrame, key: list[str]) -> DataFrame:
-    """Totals and counts of both directions by joining two aggregates; equals one conditional aggregation."""
-    up = packets.where("fwd").groupBy(*key).agg(F.sum("payload").alias("up_size"), F.count(F.lit(1)).alias("up_count"))
-    down = packets.where(~F.col("fwd")).groupBy(*key).agg(F.sum("payload").alias("down_size"), F.count(F.lit(1)).alias("down_count"))
-    out = packets.select(*key).distinct().join(up, key, "left").join(down, key, "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0) if c.endswith("size") else F.lit(0)) for c in ("up_size", "up_count", "down_size", "down_count")})
+    """Totals and counts of both directions: what a join of two aggregates gives, as one conditional aggregate, which reads
+    and shuffles the packets once. A packet without a direction counts in neither, a null payload not in the totals."""
+    out = []
+    for name, own in (("up", F.col("fwd")), ("down", ~F.col("fwd"))):
+        out += [F.coalesce(F.sum(F.when(own, F.col("payload"))), F.lit(0.0)).alias(f"{name}_size"), F.count_if(own).alias(f"{name}_count")]
+    return packets.groupBy(*key).agg(*out)
 
 
 def select_features(slots: DataFrame, numbers: tuple[int, ...], key: tuple[str, ...] = KEY) -> DataFrame:

@@ -107,3 +107,24 @@ def test_places_percentiles_and_digests_by_ranges(spark):
     text = ",".join(str(r[3]) for r in rows if r[3] is not None)
     assert tuple(groups.label_digest(df, "row", "label").first()) == (900, hashlib.sha256(text.encode()).hexdigest())
     assert tuple(groups.label_digest(df.limit(0), "row", "label").first()) == (0, hashlib.sha256(b"").hexdigest())
+
+
+def test_one_scan_and_one_shuffle(spark):
+    for q in ("slot_features", "d1_densify_slots", "d2_join_direction_stats"):
+        df = catalog.QUERIES[q](spark, SF)
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("FileScan") == 1 and physical.count("Exchange hashpartitioning") == 1 and "Join" not in physical, q
+
+
+def test_dense_slots(spark):
+    from flowkit.operators import slots
+
+    columns = "flow string, slot long, f0 double, f1 double, f2 double, f3 double, f4 double, f5 double, f6 double, f7 double, note string"
+    rows = [("a", 1, *[float(k) for k in range(8)], "x"), ("a", 7, *[1.0] * 8, "off"), (None, 0, *[2.0] * 8, "y"), ("b", 9, *[1.0] * 8, "off")]
+    found = slots.densify_slots(spark.createDataFrame(rows, columns), 3, 0.5, ("flow",), ("note",))
+    assert found.columns == ["flow", "slot", *[f"f{k}" for k in range(7)], "note", "f7"]
+    zero = lambda flow, slot: (flow, slot, *[0.0] * 7, None, slot * 0.5)
+    want = [zero("a", 0), ("a", 1, *[float(k) for k in range(7)], "x", 0.5), zero("a", 2), (None, 0, *[2.0] * 7, "y", 0.0), zero(None, 1), zero(None, 2), *[zero("b", k) for k in range(3)]]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+    directions = spark.createDataFrame([("a", True, 1.0), ("a", None, 5.0), ("a", True, None), (None, False, 2.0)], "flow string, fwd boolean, payload double")
+    assert sorted((tuple(r) for r in slots.join_direction_stats(directions, ["flow"]).collect()), key=str) == sorted([("a", 1.0, 2, 0.0, 0), (None, 0.0, 0, 2.0, 1)], key=str)
