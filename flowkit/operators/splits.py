@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups of a class up to which all subsets are tried.
-MOST_GROUPS = 16
+from flowkit.operators.components import checkpoint, release
+
+#: Groups of a class up to which all its subsets are weighed at once, and groups that a round adds to a larger class.
+MASK_GROUPS, ROUND_GROUPS = 16, 8
 
 
 def quotas(counts: DataFrame, frac: float, label: str = "label") -> DataFrame:
@@ -45,34 +47,66 @@ def capture_holdout(flows: DataFrame, capture: str, label: str, frac: float, see
     return flows.join(sides, capture)
 
 
-def grouped_exhaustive_split(groups: DataFrame, target: float = 0.2, min_val: int = 20, min_train: int = 50, pinned: str | None = None) -> DataFrame:
+def grouped_exhaustive_split(groups: DataFrame, target: float = 0.2, min_val: int = 20, min_train: int = 50, pinned: str | None = None, mask_groups: int = MASK_GROUPS) -> DataFrame:
     """From (label, group, n): label, groups (those for validation), share and relaxed.
 
-    All subsets of a class's groups are weighed at once as bit masks. The share closest to target wins, then fewer groups,
-    then the first by name. At least min_train rows stay for training; min_val is given up where nothing meets it. Groups
-    whose pinned column is true stay in training. A class without a possible subset has nulls.
+    All subsets of a class's groups count. The share closest to target wins, then fewer groups, then the first by name. At
+    least min_train rows stay for training; min_val is given up where nothing meets it. Groups whose pinned column is true
+    stay in training. A class without a possible subset has nulls.
+
+    Classes of up to mask_groups free groups try all subsets as bit masks. For larger ones, of any number of groups, a
+    table holds each sum of rows that some subset reaches with the best subset for it, and grows by ROUND_GROUPS groups a
+    round: it has no more rows than the class.
     """
     free = ~F.coalesce(F.col(pinned), F.lit(False)) if pinned else F.lit(True)
     item = F.struct("group", "n")
     c = groups.groupBy("label").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.when(free, item))).alias("free"), F.count(F.lit(1)).alias("all"))
-    k = F.size("free")
-    c = c.where(F.assert_true(k <= MOST_GROUPS, F.lit("too many groups to try all subsets")).isNull())
-    c = c.withColumn("mask", F.explode_outer(F.when(k > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), k) - 1))))
-    chosen = F.filter("free", lambda x, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1)) == 1)
-    c = c.withColumn("chosen", chosen)
-    rows = F.aggregate("chosen", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    c = c.withColumns({"v": rows, "whole": (F.size("chosen") == k) & (k == F.col("all"))})
-    fits = ~F.col("whole") & (F.col("total") - F.col("v") >= min_train) & (F.col("v") >= 1)
-    names = F.transform("chosen", lambda x: x["group"])
-    rank = F.struct(F.round(F.abs(F.col("v") / F.col("total") - target), 12), F.size("chosen"), names)
-    found = F.struct(names.alias("groups"), (F.col("v") / F.col("total")).alias("share"))
+    few = _mask_sums(c.where(F.size("free") <= mask_groups), "free")
+    sums = few.select("label", "total", "all", F.size("free").alias("k"), "v", "names")
+    most = c.where(F.size("free") > mask_groups).agg(F.max(F.size("free")).alias("k")).first().k
+    if most is not None:
+        sums = sums.unionByName(_table_sums(c.where(F.size("free") > mask_groups), most, min_train))
+    whole = (F.size("names") == F.col("k")) & (F.col("k") == F.col("all"))
+    fits = ~whole & (F.col("total") - F.col("v") >= min_train) & (F.col("v") >= 1)
+    rank = F.struct(F.round(F.abs(F.col("v") / F.col("total") - target), 12), F.size("names"), "names")
+    found = F.struct(F.col("names").alias("groups"), (F.col("v") / F.col("total")).alias("share"))
     strict = F.min_by(F.when(fits & (F.col("v") >= min_val), found), F.when(fits & (F.col("v") >= min_val), rank))
     loose = F.min_by(F.when(fits, found), F.when(fits, rank))
-    out = c.groupBy("label").agg(strict.alias("a"), loose.alias("b"))
+    out = sums.groupBy("label").agg(strict.alias("a"), loose.alias("b"))
     pick = F.coalesce("a", "b")
     return out.select("label", pick["groups"].alias("groups"), pick["share"].alias("share"), F.col("a").isNull().alias("relaxed"))
 
 
+def _mask_sums(c: DataFrame, items: str) -> DataFrame:
+    """A row for each non-empty subset of the array items (one row without a subset if it is empty): names and v, its rows."""
+    k = F.size(items)
+    c = c.withColumn("mask", F.explode_outer(F.when(k > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), k) - 1))))
+    chosen = F.filter(items, lambda x, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(F.lit(1)) == 1)
+    c = c.withColumn("chosen", chosen)
+    return c.withColumns({"v": F.aggregate("chosen", F.lit(0).cast("long"), lambda a, x: a + x["n"]), "names": F.transform("chosen", lambda x: x["group"])})
+
+
+def _table_sums(c: DataFrame, most: int, min_train: int) -> DataFrame:
+    """label, total, all, k, v and names: for each sum v that some subset reaches, the one of fewest groups, first by name.
+
+    Groups go in by name, so of subsets with equal sums and sizes the first so far stays first with whatever follows."""
+    c = checkpoint(c)
+    state = c.select("label", F.lit(0).cast("long").alias("v"), F.array().cast("array<string>").alias("names"))
+    for at in range(0, most, ROUND_GROUPS):
+        part = c.select("label", (F.col("total") - min_train).alias("__most"), F.slice("free", at + 1, ROUND_GROUPS).alias("__items"))
+        part = _mask_sums(part.where(F.size("__items") > 0), "__items").groupBy("label", "__most", F.col("v").alias("__v"))
+        part = part.agg(F.min(F.struct(F.size("names").alias("n"), F.col("names").cast("array<string>").alias("names")))["names"].alias("__names"))
+        part = part.select(F.col("label").alias("__label"), "__most", "__v", "__names")
+        added = state.join(part, F.col("label").eqNullSafe(F.col("__label"))).where(F.col("v") + F.col("__v") <= F.col("__most"))
+        added = added.select("label", (F.col("v") + F.col("__v")).alias("v"), F.concat("names", "__names").alias("names"))
+        best = F.min(F.struct(F.size("names").alias("n"), "names"))["names"].alias("names")
+        before, state = state, checkpoint(state.unionByName(added).groupBy("label", "v").agg(best))
+        if at:
+            release(before)
+    all_ = c.select(F.col("label").alias("__label"), "total", "all", F.size("free").alias("k"))
+    return state.join(all_, F.col("label").eqNullSafe(F.col("__label"))).select("label", "total", "all", "k", "v", "names")
+
+
 def matched_control_split(df: DataFrame, id_column: str, label: str, counts: DataFrame, seed: int, pinned: str | None = None) -> DataFrame:
     """Random rows of each class, as many as counts (label, n_val) says; pinned rows stay in training."""
     free = df if pinned is None else df.where(~F.coalesce(F.col(pinned), F.lit(False)))
