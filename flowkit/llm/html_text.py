@@ -1,11 +1,18 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into a tree. Subtrees are hashed twice, with their words and, outside the article, by their shape:
-tags, classes and the shapes below, words left out. Spark counts on how many different pages of a host each hash occurs.
-Subtrees that recur across many pages of the host are deleted, with the elements that never hold an article: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments. What is left becomes text.
-
-Words protect what they make up: an element with most of the page's words is no template, and where nearly all of an
+Every page is parsed once into a tree, and the tree into the text blocks of its regions: its articles, or the whole page if
+it has none. With each block go the hashes of the subtrees it lies in that might be template: hashes of their words and,
+outside the article, of their shape (tags, classes and the shapes below, words left out). Spark counts on how many different
+pages of a registered domain each hash occurs, so hosts with few pages borrow from the others of their domain, and tells
+each page which of its own hashes recur. The html itself stays where it is.
+
+What a recurring hash does depends on where it stands. On a page without an article, recurring blocks go at the start and at
+the end, up to the first and from the last that is the page's own; recurring boxes (div, ul, table, ...) and shapes go anywhere.
+Within an article a subtree counts only with its place, first or last of its siblings, and only a box goes by the common
+count: a paragraph must open or close nearly all articles of its host. So a quotation, a licence line or an introduction
+that some articles share stays. Elements that never hold an article go by tag, role and name.
+
+Words protect what they make up: an element with nearly all of a region's words is no template, and where nearly all of an
 article recurs, its pages are near copies of one another and keep it.
 """
 
@@ -13,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import pickle
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -22,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowkit.llm.common import checkpoint
-from flowkit.llm.url_reputation import host_of
+from flowkit.llm.url_reputation import domain_of, host_of
 
-#: A subtree is template when it is on MIN_PAGES different pages of the host, and on MIN_SHARE of them.
-MIN_PAGES, MIN_SHARE = 10, 0.3
+#: A subtree is template when it is on MIN_PAGES different pages of the domain. A paragraph that opens or closes articles must
+#: be on STRICT_PAGES of its host, and on STRICT_SHARE of them.
+MIN_PAGES, STRICT_PAGES, STRICT_SHARE = 4, 10, 0.9
 #: Recurring subtrees stay if less than this part of an article would be left. A shape outside an article tells of template
-#: only below this part of the page's words. Templates up to this many are broadcast; more are joined by salted host.
-LEAST_OWN, MOST_SHAPE, BROADCAST_HASHES, SALTS = 1 / 6, 1 / 5, 1 << 20, 16
+#: only below this part of the page's words.
+LEAST_OWN, MOST_SHAPE = 1 / 6, 1 / 5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +48,11 @@ _NEVER = frozenset("nav footer aside form button select option dialog menu scrip
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Class or id tokens that name a container outside the article, and those that do so inside it as well.
 _NAMES = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notices?|alert|newsletter|subscribe\w*|popup|modal|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|breadcrumbs?|pagination|header|masthead|footer|social|share|sharing|related|recommended|comments?|comment-?list|disqus|replies|respond|login|search|widget\w*|toolbar|skip-?link)(?:[-_](?:box|bar|area|list|section|container|wrapper|notice|banner|block|form|links?|left|right|top|bottom))?", re.I)
-_INSIDE = re.compile(r"(?:ads?|advert\w*|adsense|cookie-?\w*|newsletter|sidebar|comments?|comment-?list|disqus|respond|share|social|related)", re.I)
+#: Inside an article, parts of class or id tokens of boxes, and tokens that count as they are.
+_INSIDE_PARTS = frozenset("ad ads advert adverts advertisement adsense comments commentlist disqus newsletter promo promos promotion sponsor sponsored subscribe".split())
+_INSIDE = re.compile(r"(?:cookie-?\w*|sidebar|comment-?list|respond|share|social|related)", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_BOXES = frozenset("div section ul ol dl table details figure aside form header footer nav menu address".split())
 _CONTAINERS = frozenset("div section ul ol dl table details figure header footer p span".split())
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
@@ -59,6 +73,10 @@ class Element:
     holds: bool = False  # an article or a title
 
 
+def _names_inside(token: str, tag: str) -> bool:
+    return bool(_INSIDE.fullmatch(token)) or any(x.lower() in _INSIDE_PARTS for x in _PART.findall(token) if tag in _BOXES or x == token)
+
+
 def _element(tag: str, attributes: str, inside: bool) -> Element:
     e = Element(tag, tag in _NEVER or tag == "header" and not inside, tag in ("article", "main"), inside)
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -69,7 +87,7 @@ def _element(tag: str, attributes: str, inside: bool) -> Element:
             tokens = value.split()
             e.label += " " + " ".join(sorted(tokens)) if name == "class" else ""
             if tag in _CONTAINERS:
-                e.named = e.named or any((_INSIDE if inside else _NAMES).fullmatch(t) for t in tokens)
+                e.named = e.named or any(_names_inside(t, tag) if inside else _NAMES.fullmatch(t) for t in tokens)
         elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             e.never = True
     return e
@@ -145,29 +163,11 @@ def _digest(root: Element) -> None:
         e.digest, e.shape = h.digest(), shape.digest()
 
 
-def _long(digest: bytes) -> int:
-    return int.from_bytes(digest, "big", signed=True)
-
-
 def _shaped(e: Element) -> bool:
     """Whether the shape says something: a paragraph's does not."""
     return not e.inside and not e.holds and (bool(e.label) and e.tag in _CONTAINERS and e.tag not in ("p", "span") or e.never)
 
 
-def subtree_hashes(page: str) -> tuple[int, list[int]]:
-    """A digest of the whole page's words and the distinct hashes of its block subtrees that hold text."""
-    root = parse(page)
-    _digest(root)
-    found: set[int] = set()
-    for e in _walk(root):
-        if e is root or not e.chars or e.article or e.tag in _INLINE or e.tag in ("html", "body", "head"):
-            continue
-        found.add(_long(e.digest))
-        if _shaped(e):
-            found.add(_long(e.shape))
-    return _long(root.digest), list(found)
-
-
 def _regions(root: Element) -> list[Element]:
     """What holds the page's own words: a main with one article at most, else the articles, else the whole page."""
     found: list[Element] = []
@@ -185,107 +185,170 @@ def _regions(root: Element) -> list[Element]:
     return found or [root]
 
 
-def _dropped(top: Element, template: frozenset[int]) -> set[int]:
-    """ids of the outermost elements of a region that go besides those that never hold an article."""
-    names: set[int] = set()
-    words: dict[int, int] = {}
-    stack = [top]
-    while stack:
-        e = stack.pop()
-        for c in e.children:
-            if isinstance(c, str) or c.never:
-                continue
-            if not c.article and not c.holds and 2 * c.chars <= top.chars:
-                if c.named or _shaped(c) and c.chars <= MOST_SHAPE * top.chars and _long(c.shape) in template:
-                    names.add(id(c))
-                    continue
-            if template and not c.article and not c.holds and _long(c.digest) in template:
-                words[id(c)] = c.chars
-                continue
-            stack.append(c)
-    if top.chars - sum(words.values()) < LEAST_OWN * top.chars:
-        return names
-    return names | set(words)
+@dataclass
+class Block:
+    """A text block with the hash of its words and those of subtrees that make it template: at the edges, anywhere, by shape."""
 
+    text: str
+    chars: int
+    words: int
+    edge: tuple[int, ...] = ()
+    box: tuple[int, ...] = ()
+    shape: tuple[int, ...] = ()
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, joined by two newlines."""
-    root = parse(page)
-    _digest(root)
-    blocks: list[str] = []
+
+def _marked(digest: bytes, mark: str, strict: bool = False) -> int:
+    """A hash of a digest and where it stands; odd ones are strict."""
+    h = hashlib.blake2b(digest, digest_size=8, person=mark.encode()).digest()
+    return int.from_bytes(h, "big", signed=True) & -2 | strict
+
+
+def _places(e: Element) -> dict[int, str]:
+    """The first and the last child that is a block with words, by id; text beside them leaves none at that end."""
+    own = [c for c in e.children if (c.strip() if isinstance(c, str) else not c.never and not c.named and c.chars)]
+    if len(own) < 2:
+        return {}
+    ends = {id(c): mark for c, mark in ((own[0], "first"), (own[-1], "last")) if not isinstance(c, str) and c.tag not in _INLINE}
+    return ends
+
+
+def _blocks(top: Element) -> list[Block]:
+    """The blocks of a region in page order, without elements that never hold an article or are named as something else."""
+    blocks: list[Block] = []
     words: list[str] = []
 
+    held: list[tuple] = [((), (), ())]  # what the words stand in
+
     def end() -> None:
         if text := _SPACE.sub(" ", html.unescape("".join(words))).strip():
-            blocks.append(text)
+            blocks.append(Block(text, len(_SPACE.sub("", text)), _marked(text.encode("utf-8", "replace"), "words"), *held[0]))
         words.clear()
 
-    for top in _regions(root):
-        gone = _dropped(top, template)
-        todo: list = [top]
-        while todo:
-            e = todo.pop()
-            if e is None:
-                end()
-            elif isinstance(e, str):
-                words.append(e)
-            elif e.never or id(e) in gone:
-                if e.tag not in _INLINE:
-                    end()
-            elif e.tag == "br":
-                words.append(" ")
-            else:
-                if e.tag not in _INLINE:
-                    end()
-                    todo.append(None)
-                todo.extend(reversed(e.children))
-        end()
-    return "\n\n".join(blocks)
-
-
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and template, the hashes of its recurring subtrees. Copies of a page count once.
-
-    A page adds each of its subtrees at most once, and a template subtree is on min_share of the host's pages, so a host's
-    list is no longer than its pages are large, whatever the number of pages.
-    """
+    todo: list[tuple] = [(top, (), (), ())]
+    while todo:
+        e, *marks = todo.pop()
+        if e is None:
+            end()
+            continue
+        if isinstance(e, str):
+            words.append(e)
+            held[0] = marks if e.strip() else held[0]
+            continue
+        if e.tag == "br":
+            words.append(" ")
+            continue
+        if e.tag not in _INLINE:
+            end()
+            todo.append((None,))
+        places = _places(e) if e.article or e.inside else {}
+        for c in reversed(e.children):
+            edge, box, shape = marks
+            if not isinstance(c, str):
+                small = not c.article and not c.holds
+                if c.never or c.named and small and c.chars <= (1 - LEAST_OWN) * top.chars:
+                    if c.tag not in _INLINE:
+                        todo.append((None,))
+                    continue
+                if c.chars and small and c.tag not in _INLINE and c.chars <= (1 - LEAST_OWN) * top.chars:
+                    if not c.inside:
+                        edge = (*edge, _marked(c.digest, "edge"))
+                        box = (*box, _marked(c.digest, "box")) if c.tag in _BOXES else box
+                        if _shaped(c) and c.chars <= MOST_SHAPE * top.chars:
+                            shape = (*shape, _marked(c.shape, "shape"))
+                    elif id(c) in places:
+                        box = (*box, _marked(c.digest, places[id(c)], c.tag not in _BOXES))
+            todo.append((c, edge, box, shape))
+    end()
+    return blocks
+
+
+def page_blocks(page: str) -> tuple[int, list[list[Block]]]:
+    """What tells the page from others, its headings or else all its words, and the blocks of its regions."""
+    root = parse(page)
+    _digest(root)
+    heads = hashlib.blake2b(digest_size=8)
+    named = [c.digest for c in _walk(root) if c.tag == "h1"]
+    heads.update(b"".join(named or [root.digest]))
+    return int.from_bytes(heads.digest(), "big", signed=True), [_blocks(top) for top in _regions(root)]
+
+
+def hashes_of(regions: list[list[Block]]) -> set[int]:
+    return {h for blocks in regions for b in blocks for h in (b.words, *b.edge, *b.box, *b.shape)}
 
-    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def joined(regions: list[list[Block]], template: Iterable[int] = ()) -> str:
+    """The blocks that are not template, joined by two newlines."""
+    template, out = frozenset(template), []
+    for blocks in regions:
+        blocks = [b for b in blocks if template.isdisjoint(b.shape)]
+        own = [k for k, b in enumerate(blocks) if template.isdisjoint(b.edge)]
+        kept = [b for b in (blocks[own[0] : own[-1] + 1] if own else []) if template.isdisjoint(b.box)]
+        whole, unlike = sum(b.chars for b in blocks), sum(b.chars for b in blocks if b.words not in template)
+        if min(unlike, sum(b.chars for b in kept)) < LEAST_OWN * whole:
+            kept = blocks
+        out += [b.text for b in kept]
+    return "\n\n".join(out)
+
+
+def main_text(page: str, template: Iterable[int] = ()) -> str:
+    """The article's blocks, joined by two newlines."""
+    return joined(page_blocks(page)[1], template)
+
+
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """row, page_id, url, host, domain, page, hashes and blocks of every page. The rows are checkpointed, so row stays."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def parse_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                found = [subtree_hashes(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.list_(pa.int64()))], names=["host", "page", "hashes"])
+                found = [page_blocks(x) for x in part.column(2).to_pylist()]
+                packed = [zlib.compress(pickle.dumps([[(b.text, b.chars, b.words, b.edge, b.box, b.shape) for b in blocks] for blocks in regions], 5), 1) for _, regions in found]
+                columns = [pa.array([x for x, _ in found], pa.int64()), pa.array([list(hashes_of(r)) for _, r in found], pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["page_id", "url", "page", "hashes", "blocks"])
+
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.mapInArrow(parse_all, f"page_id {kind}, url string, page long, hashes array<long>, blocks binary")
+    host = host_of(F.col("url"))
+    return checkpoint(rows.select(F.monotonically_increasing_id().alias("row"), "*", host.alias("host"), domain_of(host).alias("domain")))
+
+
+def _recurring(parsed: DataFrame, min_pages: int = MIN_PAGES, strict_pages: int = STRICT_PAGES, strict_share: float = STRICT_SHARE) -> DataFrame:
+    """site and hash: the hashes that recur on different pages of a domain, or strict ones of a host. Copies count once."""
+    strict = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    each = parsed.select("host", "domain", "page", F.explode("hashes").alias("hash"))
+    each = each.select(F.when(strict, F.col("host")).otherwise(F.col("domain")).alias("site"), "hash", "page").distinct()
+    counts = each.groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n"))
+    total = parsed.select(F.col("host").alias("site"), "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    common = counts.where(~strict & (F.col("n") >= min_pages)).select("site", "hash")
+    opening = counts.where(strict & (F.col("n") >= max(min_pages, strict_pages))).join(total, "site").where(F.col("n") >= strict_share * F.col("pages"))
+    return common.unionByName(opening.select("site", "hash"))
+
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(hashes, "host string, page long, hashes array<long>")
-    rows = checkpoint(rows.groupBy("host", "page").agg(F.max("hashes").alias("hashes")))  # read for both counts
-    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = counts.join(total, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """site and hash of the template subtrees of all domains and hosts."""
+    return _recurring(parsed_pages(pages), min_pages)
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null html counts as empty and gives an empty text. A page without an article gives all that is left of its body.
     Pages with a null url share the empty host. Repeated pages give rows each; other columns are ignored.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    templates = checkpoint(site_templates(pages, min_pages, min_share))
-    if (templates.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_HASHES:
-        rows = rows.join(F.broadcast(templates), "host", "left")
-    else:
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)))
-        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        rows = rows.join(salted.hint("merge"), ["host", "salt"], "left")
-    rows = rows.select("page_id", "url", "html", "template")
+    parsed = parsed_pages(pages)
+    strict = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    asked = parsed.select("row", "host", "domain", F.explode("hashes").alias("hash")).withColumn("site", F.when(strict, F.col("host")).otherwise(F.col("domain")))
+    own = asked.join(_recurring(parsed, min_pages), ["site", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("template"))
+    rows = parsed.join(own, "row", "left").select("page_id", "url", "blocks", "template")
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                found = [main_text(x, frozenset(t or ())) for x, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                regions = ([[Block(*x) for x in blocks] for blocks in pickle.loads(zlib.decompress(data))] for data in part.column(2).to_pylist())
+                found = [joined(r, t or ()) for r, t in zip(regions, part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
     page_id = pages.schema["page_id"].dataType.simpleString()

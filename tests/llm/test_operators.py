@@ -205,6 +205,50 @@ def test_names_inside_an_article():
     assert html_text.main_text('<article><p>A long body of words.</p><div class="comments"><p>First!</p></div></article>') == "A long body of words."
 
 
+def page_rows(spark, pages, hosts="h.org"):
+    hosts = [hosts] * len(pages) if isinstance(hosts, str) else hosts
+    rows = [(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(zip(hosts, pages, strict=True))]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_what_articles_share_stays(spark):
+    """A sentence that ten of twelve articles quote, at any place, and a line that closes half of them."""
+    quote, licence = "<p>Who has time has all, said the old man.</p>", "<p>This text may be copied by anyone.</p>"
+    parts = [[f"<p>{word} {k} is told here at some length.</p>" for word in ("One", "Two", "Three")] for k in range(12)]
+    for k in range(12):
+        if k < 10:
+            parts[k].insert(k % 4, quote)
+        if k % 2:
+            parts[k].append(licence)
+    pages = ["<html><body><nav>Menu</nav><article>" + "".join(p) + "</article></body></html>" for p in parts]
+    assert texts_of(spark, pages) == ["\n\n".join(re.findall("<p>(.*?)</p>", "".join(p))) for p in parts]
+
+
+def test_neutral_boxes_of_few_pages(spark):
+    """A menu and a closing line without names on nine pages; a notice in a plain div on a quarter of 48 pages."""
+    menu, line = "<ul><li><a>Home</a></li><li><a>Shop</a></li></ul>", "<p>Copyright by us, all rights kept</p>"
+    body = [f"<h1>Page {k}</h1><p>The story of number {k} begins here and goes on.</p><p>It ends here, {k}.</p>" for k in range(48)]
+    want = [f"Page {k}\n\nThe story of number {k} begins here and goes on.\n\nIt ends here, {k}." for k in range(48)]
+    assert texts_of(spark, [f"<body>{menu}<div>{x}</div>{line}</body>" for x in body[:9]]) == want[:9]
+    off = html_text.extract_text(page_rows(spark, [f"<body>{menu}<div>{x}</div>{line}</body>" for x in body[:9]]), min_pages=1000).orderBy("page_id").collect()
+    assert off[2].text == f"Home\n\nShop\n\n{want[2]}\n\nCopyright by us, all rights kept"
+    notice = "<div>Our office is closed on Monday</div>"
+    with_notice = [f"<body><div>{x.replace('<p>It', notice + '<p>It') if k % 4 == 0 else x}</div></body>" for k, x in enumerate(body)]
+    assert texts_of(spark, with_notice) == want
+    few = page_rows(spark, [f"<body>{menu}<div>{x}</div>{line}</body>" for x in body[:6]], [f"s{k}.wide.org" for k in range(6)])
+    assert [r.text for r in html_text.extract_text(few).orderBy("page_id").collect()] == want[:6]  # one page a host, one domain
+
+
+def test_comments_and_adverts_inside(spark):
+    page = '<main><h1>T</h1><p>A body of some words that is long enough.</p><div class="comments-section"><p>First!</p></div></main>'
+    assert html_text.main_text(page) == "T\n\nA body of some words that is long enough."
+    for name in ("user-comments", "promo", "promoBox", "article__ad", "newsletter_form"):
+        assert html_text.main_text(f'<article><p>A body of some words.</p><div class="{name}"><p>Buy</p></div><p>More of it.</p></article>') == "A body of some words.\n\nMore of it.", name
+    assert html_text.main_text('<article><p class="lead-ad-lib">Kept</p><div class="shadow">Kept too</div><p>And this.</p></article>') == "Kept\n\nKept too\n\nAnd this."
+    boxes = [f"<article><h1>A {k}</h1><p>Words of {k} that say a thing.</p><p>And {k} again.</p><div><b>Read us</b> every day</div></article>" for k in range(6)]
+    assert texts_of(spark, boxes)[4] == "A 4\n\nWords of 4 that say a thing.\n\nAnd 4 again."
+
+
 def test_templates_are_found(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     found = html_text.site_templates(pages)
