@@ -7,23 +7,28 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Edges that one task may join at the end, when rounds would cost more than their work.
 FINISH_EDGES = 1 << 14
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; where it is unset, a local session takes a temporary
-    one and a cluster, whose executors would not share that, gets an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a local session takes a temporary one and a cluster,
+    whose executors would not share that, gets an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

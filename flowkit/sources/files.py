@@ -42,12 +42,21 @@ def read_packet_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = P
 
 def opened(path: str):
     """A file by its URI or local path, for reads of ranges, on any file system that pyarrow knows (local, HDFS, S3, GCS)."""
+    system, name = _system(path)
+    return system.open_input_file(name)
+
+
+def created(path: str):
+    """A new file, and its folder, to write to as a stream."""
+    system, name = _system(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    return system.open_output_stream(name)
+
+
+def _system(path: str) -> tuple:
     from pyarrow import fs
 
-    if "://" not in path:
-        path = "file://" + path.removeprefix("file:")
-    system, name = fs.FileSystem.from_uri(path)
-    return system.open_input_file(name)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
 def zip_members(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
