@@ -39,6 +39,8 @@ MIN_PAGES, STRICT_PAGES, STRICT_SHARE = 4, 10, 0.9
 #: Recurring subtrees stay if less than this part of an article would be left. A shape outside an article tells of template
 #: only below this part of the page's words.
 LEAST_OWN, MOST_SHAPE = 1 / 6, 1 / 5
+#: Template hashes of all sites that are broadcast at most, 8 bytes each and their sites' names.
+BROADCAST_HASHES = 1 << 18
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -295,8 +297,10 @@ def main_text(page: str, template: Iterable[int] = ()) -> str:
     return joined(page_blocks(page)[1], template)
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, domain, page, hashes and blocks of every page. The rows are checkpointed, so row stays."""
+def parsed_pages(pages: DataFrame, with_blocks: bool = False) -> DataFrame:
+    """host, domain, page and hashes of every page; with_blocks adds row, page_id, url and blocks. The rows are checkpointed,
+    so row stays."""
+    kept = "page_id, url, blocks".split(", ") if with_blocks else []
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def parse_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,14 +308,19 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 found = [page_blocks(x) for x in part.column(2).to_pylist()]
-                packed = [zlib.compress(pickle.dumps([[(b.text, b.chars, b.words, b.edge, b.box, b.shape) for b in blocks] for blocks in regions], 5), 1) for _, regions in found]
-                columns = [pa.array([x for x, _ in found], pa.int64()), pa.array([list(hashes_of(r)) for _, r in found], pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["page_id", "url", "page", "hashes", "blocks"])
+                columns = [part.column(3), part.column(4), pa.array([x for x, _ in found], pa.int64()), pa.array([list(hashes_of(r)) for _, r in found], pa.list_(pa.int64()))]
+                if kept:
+                    packed = [zlib.compress(pickle.dumps([[(b.text, b.chars, b.words, b.edge, b.box, b.shape) for b in blocks] for blocks in regions], 5), 1) for _, regions in found]
+                    columns += [part.column(0), part.column(1), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "domain", "page", "hashes", *kept])
 
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.mapInArrow(parse_all, f"page_id {kind}, url string, page long, hashes array<long>, blocks binary")
+    rows = _rows(pages).mapInArrow(parse_all, "host string, domain string, page long, hashes array<long>" + f", page_id {kind}, url string, blocks binary" * with_blocks)
+    return checkpoint(rows.select(F.monotonically_increasing_id().alias("row"), "*") if with_blocks else rows)
+
+
+def _rows(pages: DataFrame) -> DataFrame:
     host = host_of(F.col("url"))
-    return checkpoint(rows.select(F.monotonically_increasing_id().alias("row"), "*", host.alias("host"), domain_of(host).alias("domain")))
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), domain_of(host).alias("domain"))
 
 
 def _recurring(parsed: DataFrame, min_pages: int = MIN_PAGES, strict_pages: int = STRICT_PAGES, strict_share: float = STRICT_SHARE) -> DataFrame:
@@ -331,26 +340,46 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return _recurring(parsed_pages(pages), min_pages)
 
 
-def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     Null html counts as empty and gives an empty text. A page without an article gives all that is left of its body.
     Pages with a null url share the empty host. Repeated pages give rows each; other columns are ignored.
-    """
-    parsed = parsed_pages(pages)
-    strict = F.col("hash").bitwiseAND(F.lit(1)) == 1
-    asked = parsed.select("row", "host", "domain", F.explode("hashes").alias("hash")).withColumn("site", F.when(strict, F.col("host")).otherwise(F.col("domain")))
-    own = asked.join(_recurring(parsed, min_pages), ["site", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("template"))
-    rows = parsed.join(own, "row", "left").select("page_id", "url", "blocks", "template")
-
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                regions = ([[Block(*x) for x in blocks] for blocks in pickle.loads(zlib.decompress(data))] for data in part.column(2).to_pylist())
-                found = [joined(r, t or ()) for r, t in zip(regions, part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
+    Up to broadcast_hashes template hashes of all sites are broadcast, and the html is read again where it is. More of them
+    are joined to the parsed blocks of each page, which then travel in its place.
+    """
+    templates = checkpoint(_recurring(parsed_pages(pages), min_pages))
     page_id = pages.schema["page_id"].dataType.simpleString()
+    if templates.count() <= broadcast_hashes:
+        by_site: dict[str, set[int]] = {}
+        for r in templates.collect():
+            by_site.setdefault(r.site, set()).add(r.hash)
+        sent = pages.sparkSession.sparkContext.broadcast(by_site)
+
+        def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sites, none = sent.value, frozenset()
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
+                    found = [main_text(x, sites.get(h, none) | sites.get(d, none)) for x, h, d in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+
+        rows = _rows(pages)
+    else:
+        parsed = parsed_pages(pages, True)
+        strict = F.col("hash").bitwiseAND(F.lit(1)) == 1
+        asked = parsed.select("row", "host", "domain", F.explode("hashes").alias("hash")).withColumn("site", F.when(strict, F.col("host")).otherwise(F.col("domain")))
+        own = asked.join(templates, ["site", "hash"]).groupBy("row").agg(F.collect_list("hash").alias("template"))
+        rows = parsed.join(own, "row", "left").select("page_id", "url", "blocks", "template")
+
+        def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
+                    regions = ([[Block(*x) for x in blocks] for blocks in pickle.loads(zlib.decompress(data))] for data in part.column(2).to_pylist())
+                    found = [joined(r, t or ()) for r, t in zip(regions, part.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
+
     found = rows.mapInArrow(texts, f"page_id {page_id}, url string, text string")
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -235,6 +235,8 @@ def test_neutral_boxes_of_few_pages(spark):
     notice = "<div>Our office is closed on Monday</div>"
     with_notice = [f"<body><div>{x.replace('<p>It', notice + '<p>It') if k % 4 == 0 else x}</div></body>" for k, x in enumerate(body)]
     assert texts_of(spark, with_notice) == want
+    joined = html_text.extract_text(page_rows(spark, with_notice), broadcast_hashes=0).orderBy("page_id").collect()
+    assert [r.text for r in joined] == want
     few = page_rows(spark, [f"<body>{menu}<div>{x}</div>{line}</body>" for x in body[:6]], [f"s{k}.wide.org" for k in range(6)])
     assert [r.text for r in html_text.extract_text(few).orderBy("page_id").collect()] == want[:6]  # one page a host, one domain
 
