@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,9 +168,37 @@ def split_name_marker(name: Column) -> dict[str, Column]:
     return {"marker": p[0], "app": p[1]}
 
 
+def _xxhash(seed: int, *keys: Column) -> Column:
+    return F.xxhash64(F.lit(seed), *keys)
+
+
+def md5_hash(seed: int, *keys: Column) -> Column:
+    """The first 64 bits of the MD5 of the seed and the keys as text, joined by |; nulls are empty. Other engines have it too."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string") if isinstance(k, str) else k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
+
+
+_HASH: ContextVar[Callable[..., Column]] = ContextVar("hash", default=_xxhash)
+
+
+@contextmanager
+def hashed_by(fn: Callable[..., Column]) -> Iterator[None]:
+    """Random choices of operators that are called within are drawn from fn(seed, *keys), a long, instead of Spark's own hash."""
+    token = _HASH.set(fn)
+    try:
+        yield
+    finally:
+        _HASH.reset(token)
+
+
+def hash64(seed: int, *keys: Column) -> Column:
+    """A long that depends on the keys and the seed alone, not on the partitioning."""
+    return _HASH.get()(seed, *keys)
+
+
 def hash_uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys and the seed alone, not on the partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(hash64(seed, *keys), 11) / F.lit(float(1 << 53))
 
 
 def hash_normal(seed: int, *keys: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowkit.functions.scalar import hash_normal, hash_uniform
+from flowkit.functions.scalar import hash64, hash_normal, hash_uniform
 from flowkit.operators.components import checkpoint, numbered
 from flowkit.operators.warping import dtw_join, shape_of, warp_batch
 
@@ -27,7 +27,7 @@ def scaling(df: DataFrame, sigma: float, seed: int) -> DataFrame:
 
 def rotation(df: DataFrame, channels: int, seed: int) -> DataFrame:
     """A random sign for each series and channel, and one permutation of the channels for all series."""
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), c.alias("c"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.struct(hash64(seed, c).alias("h"), c.alias("c"))))
     sign = F.when(hash_uniform(seed + 1, F.col("series"), F.col("channel")) < 0.5, -1.0).otherwise(1.0)
     return df.withColumns({"value": F.col("value") * sign, "channel": order[F.col("channel")]["c"]})
 
@@ -38,11 +38,11 @@ def permutation(df: DataFrame, n: int, most: int, seed: int, mode: str = "equal"
     count = 1 + F.floor(hash_uniform(seed, F.col("series")) * (most - 1))
     segment = F.floor(F.col("step") * count / n)
     if mode == "random":
-        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 3)), lambda c: F.struct(F.xxhash64(F.lit(seed + 2), F.col("series"), c).alias("h"), c.alias("c"))))
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 3)), lambda c: F.struct(hash64(seed + 2, F.col("series"), c).alias("h"), c.alias("c"))))
         cuts = df.select("series").distinct().withColumn("__cuts", F.slice(order, F.lit(1), (count - 1).cast("int"))["c"])
         df = df.join(cuts, "series")
         segment = F.size(F.filter("__cuts", lambda c: c <= F.col("step")))
-    d = df.withColumns({"__h": F.xxhash64(F.lit(seed + 1), F.col("series"), segment), "__g": segment})
+    d = df.withColumns({"__h": hash64(seed + 1, F.col("series"), segment), "__g": segment})
     return d.withColumn("step", F.row_number().over(Window.partitionBy("series").orderBy("__h", "__g", "step")) - 1).drop("__h", "__g", "__cuts")
 
 
@@ -128,7 +128,7 @@ def augment_rounds(df: DataFrame, rounds: int, op: Callable[[DataFrame, int], Da
 def _in_class(df: DataFrame, seed: int) -> DataFrame:
     """df with __k, the place in its class in hash order from 0, and __n, the size of the class: counted over ranges, so no
     task holds a class."""
-    r = numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), F.col("series"))), "__at", "label", "__h", "series")
+    r = numbered(df.withColumn("__h", hash64(seed, F.col("series"))), "__at", "label", "__h", "series")
     first = r.groupBy(F.col("label").alias("__l")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
     r = r.join(first, F.col("label").eqNullSafe(F.col("__l")))
     return r.withColumn("__k", F.col("__at") - F.col("__first")).drop("__h", "__at", "__l", "__first")
@@ -198,7 +198,7 @@ def wdba(df: DataFrame, size: int | None, seed: int, rounds: int = 3) -> DataFra
     d = df.where("size(values) > 0").select("series", "label", "values")
     if size is None:
         d = d.withColumn("batch", F.lit(0).cast("long"))
-        d = d.withColumn("__h", F.xxhash64(F.lit(seed), F.col("series")))
+        d = d.withColumn("__h", hash64(seed, F.col("series")))
         place = F.row_number().over(Window.partitionBy(*key).orderBy("__h", "series"))  # limited before it is shuffled
         first = d.withColumn("__place", place).where(F.col("__place") <= STARTERS)
     else:
@@ -287,7 +287,7 @@ def discriminative_guided_warp(df: DataFrame, size: int, seed: int, shape: int |
 
     s, t = (df.schema[c].dataType.simpleString() for c in ("series", "label"))
     df = df.where("size(values) > 0")
-    buckets = F.pmod(F.xxhash64(F.lit(seed), F.col("series")), F.greatest(F.lit(1), F.ceil(F.col("__rows") / size)))
+    buckets = F.pmod(hash64(seed, F.col("series")), F.greatest(F.lit(1), F.ceil(F.col("__rows") / size)))
     d = df.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__rows")))).withColumn("batch", buckets)  # one row
     d = d.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("batch").orderBy("series")) - 1) / (2 * size)))
     d = d.select("batch", "part", "series", "label", "values").groupBy("batch", "part").applyInPandas(warp, f"series {s}, label {t}, guide {s}, amount double, values array<double>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowkit.functions.scalar import hash64
 from flowkit.operators.components import checkpoint, release
 
 #: Groups of a class up to which all its subsets are weighed at once, and groups that a round adds to a larger class.
@@ -24,7 +25,7 @@ def quotas(counts: DataFrame, frac: float, label: str = "label") -> DataFrame:
 
 def _ranked(df: DataFrame, id_column: str, label: str, seed: int) -> DataFrame:
     """Adds nth, a pseudorandom place in the class. Classes of any size: places are counted by hash buckets first."""
-    h = F.xxhash64(F.lit(seed), F.col(id_column))
+    h = hash64(seed, F.col(id_column))
     df = df.withColumns({"__h": h, "__bucket": F.shiftrightunsigned(h, 52)})
     sizes = df.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -119,7 +120,7 @@ def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int, seed:
     """df with fold: whole groups, dealt in a snake by size within their most common class."""
     per = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("main"), F.sum("n").alias("size"))
-    place = F.row_number().over(Window.partitionBy("main").orderBy(F.col("size").desc(), F.xxhash64(F.lit(seed), F.col(group)), group)) - 1
+    place = F.row_number().over(Window.partitionBy("main").orderBy(F.col("size").desc(), hash64(seed, F.col(group)), group)) - 1
     turn = F.pmod(place, F.lit(2 * k))
     return df.join(main.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).alias("fold")), group)
 

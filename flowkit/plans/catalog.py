@@ -1,6 +1,6 @@
 """Every query of the library, without the llm subpackage."""
 
-from flowkit.plans import audit_queries, evaluation_queries, file_queries, flow_queries, series_queries  # noqa: F401
+from flowkit.plans import audit_queries, drawn_queries, evaluation_queries, file_queries, flow_queries, series_queries  # noqa: F401
 from flowkit.plans.registry import ORACLE, QUERIES, rounded
 
 for name, columns in {
