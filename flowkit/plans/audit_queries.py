@@ -210,3 +210,45 @@ query("d8_map_split_to_order", f"WITH {ROWS}, b AS (SELECT row, row_number() OVE
         lambda r: splits.map_split_to_order(r.select("row", F.when(F.col("row") % 5 == 0, "val").otherwise("train").alias("side")), r.select("row", F.col("row").alias("key")), numbered(r.select("h1", F.col("row").alias("key")), "row", "h1", "key").select("row", "key"), ["key"])
     )(order_rows(s, d))
 )
+
+# Audits of tables that do differ, so that each count has something to find.
+
+
+def _orders(s, d):
+    return table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+
+
+def _changed(o):
+    key = F.col("o_orderkey")
+    kept = o.where(key % 5 != 0).withColumns({"o_custkey": F.when(key % 7 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")), "o_totalprice": F.col("o_totalprice") + (key % 3) * 0.25})
+    return kept.unionByName(o.where(key % 11 == 0).withColumn("o_orderkey", -key))
+
+
+_CHANGED = """a AS (SELECT o_orderkey AS k, o_custkey AS c, o_totalprice AS p, o_orderstatus AS s FROM orders),
+b AS (SELECT k, CASE WHEN k % 7 = 0 THEN c + 1 ELSE c END AS c, p + (k % 3) * 0.25 AS p, s FROM a WHERE k % 5 <> 0 UNION ALL SELECT -k, c, p, s FROM a WHERE k % 11 = 0)"""
+query(
+    "d9_compare_differences",
+    f"""WITH {_CHANGED} SELECT count(*) FILTER (b.k IS NULL) AS only_a, count(*) FILTER (a.k IS NULL) AS only_b, count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS common, count(*) FILTER (a.c <> b.c) AS o_custkey_differs,
+    round(max(abs(a.p - b.p)), 6) AS o_totalprice_max_diff, count(*) FILTER (abs(a.p - b.p) > 0.3) AS o_totalprice_beyond FROM a FULL JOIN b ON a.k = b.k""",
+)(lambda s, d: (lambda o: quality.compare_implementations(o, _changed(o), ["o_orderkey"], ["o_custkey"], {"o_totalprice": 0.3}).withColumn("o_totalprice_max_diff", F.round("o_totalprice_max_diff", 6)))(_orders(s, d)))
+query(
+    "h4_multiset_differs",
+    """WITH a AS (SELECT o_custkey AS c, o_orderstatus AS s FROM orders), b AS (SELECT o_custkey AS c, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 13 = 0),
+    n AS (SELECT c, s, sum(x) AS x FROM (SELECT c, s, 1 AS x FROM a UNION ALL SELECT c, s, -1 FROM b) GROUP BY ALL) SELECT count(*) FILTER (x > 0) AS only_a, count(*) FILTER (x < 0) AS only_b, count(*) FILTER (x <> 0) = 0 AS equal FROM n""",
+)(lambda s, d: (lambda o: quality.multiset_equal(o.select("o_custkey", "o_orderstatus"), o.where("o_orderkey % 10 <> 0").unionByName(o.where("o_orderkey % 13 = 0")).select("o_custkey", "o_orderstatus")))(_orders(s, d)))
+query(
+    "i8_split_audit_failures",
+    """WITH r AS (SELECT o_orderkey AS row, o_custkey AS grp, o_orderstatus || o_custkey % 9 AS label FROM orders), sp AS (SELECT row, CASE WHEN row % 5 = 0 THEN 'val' ELSE 'train' END AS side FROM r WHERE row % 101 <> 0 UNION ALL SELECT row, 'val' FROM r WHERE row % 97 = 0),
+    j AS (SELECT r.*, side FROM r LEFT JOIN sp USING (row)), c AS (SELECT 'coverage' AS name, count(*) FILTER (side IS NULL) AS failures FROM j
+    UNION ALL SELECT 'overlap', count(*) FROM (SELECT row FROM sp GROUP BY row HAVING count(DISTINCT side) > 1) UNION ALL SELECT 'straddling', count(*) FROM (SELECT grp FROM j GROUP BY grp HAVING count(DISTINCT side) > 1)
+    UNION ALL SELECT 'both_sides', count(*) FROM (SELECT label FROM j GROUP BY label HAVING count(DISTINCT side) < 2)) SELECT name, failures, CASE WHEN failures = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c""",
+)(
+    lambda s, d: (
+        lambda r: splits.split_audit(
+            r.where("row % 101 <> 0").select("row", F.when(F.col("row") % 5 == 0, "val").otherwise("train").alias("side")).unionByName(r.where("row % 97 = 0").select("row", F.lit("val").alias("side"))), r, "row", "grp", "label"
+        )
+    )(_orders(s, d).select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("grp"), F.concat("o_orderstatus", (F.col("o_custkey") % 9).cast("string")).alias("label")))
+)
+query("d12_pending_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
+    lambda s, d: splits.pending_work(table(s, d, "customer").select("c_custkey"), _orders(s, d).select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+)
