@@ -57,7 +57,6 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BOXES = frozenset("div section ul ol dl table details figure aside form header footer nav menu address".split())
 _CONTAINERS = frozenset("div section ul ol dl table details figure header footer p span".split())
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"\s+")
 
 
 @dataclass
@@ -155,7 +154,7 @@ def _digest(root: Element) -> None:
         for c in e.children:
             if isinstance(c, str):
                 h.update(c.encode("utf-8", "replace"))
-                e.chars += len(_SPACE.sub("", c))
+                e.chars += sum(map(len, c.split()))
                 continue
             h.update(c.digest)
             e.chars += 0 if c.never else c.chars
@@ -199,10 +198,17 @@ class Block:
     shape: tuple[int, ...] = ()
 
 
+#: What tells the hashes of one digest in different places apart.
+_MARKS = {mark: int.from_bytes(hashlib.blake2b(mark.encode(), digest_size=8).digest(), "big", signed=True) for mark in ("edge", "box", "shape", "first", "last")}
+
+
 def _marked(digest: bytes, mark: str, strict: bool = False) -> int:
     """A hash of a digest and where it stands; odd ones are strict."""
-    h = hashlib.blake2b(digest, digest_size=8, person=mark.encode()).digest()
-    return int.from_bytes(h, "big", signed=True) & -2 | strict
+    return (int.from_bytes(digest, "big", signed=True) ^ _MARKS[mark]) & -2 | strict
+
+
+def _words(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) & -2
 
 
 def _places(e: Element) -> dict[int, str]:
@@ -222,8 +228,8 @@ def _blocks(top: Element) -> list[Block]:
     held: list[tuple] = [((), (), ())]  # what the words stand in
 
     def end() -> None:
-        if text := _SPACE.sub(" ", html.unescape("".join(words))).strip():
-            blocks.append(Block(text, len(_SPACE.sub("", text)), _marked(text.encode("utf-8", "replace"), "words"), *held[0]))
+        if own := html.unescape("".join(words)).split():
+            blocks.append(Block(text := " ".join(own), len(text) - len(own) + 1, _words(text), *held[0]))
         words.clear()
 
     todo: list[tuple] = [(top, (), (), ())]
