@@ -75,7 +75,11 @@ def align_by_content(new: DataFrame, live: DataFrame, key: list[str], row: str)
     return a.join(b, [*key, "occurrence"], "full").select("new_row", "live_row")
 
 
-def duplicate_groups(rows: DataFrame, row: str, hash_columns: list[str]) -> DataFrame:
+#: Links of duplicate rows that one task may join at the end: some 150 MB, a few seconds.
+FINISH_LINKS = 1 << 19
+
+
+def duplicate_groups(rows: DataFrame, row: str, hash_columns: list[str], finish_links: int = FINISH_LINKS) -> DataFrame:
     """row and group, the least row reachable through equal hashes in any of the columns.
 
     Each hash value links its rows to their least one, so edges grow with the rows, not with pairs.
@@ -83,7 +87,7 @@ def duplicate_groups(rows: DataFrame, row: str, hash_columns: list[str]) -> Data
     pairs = rows.select(F.col(row).alias("row"), F.inline(F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).cast("string").alias("value")) for k, c in enumerate(hash_columns)])))
     least = pairs.groupBy("which", "value").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most").drop("most")
     edges = pairs.join(least, ["which", "value"]).select(F.col("row").alias("a"), F.col("least").alias("b"))
-    found = connected_components(edges)
+    found = connected_components(edges, finish_edges=finish_links)
     return rows.select(F.col(row)).distinct().join(found, F.col(row) == F.col("node"), "left").select(row, F.coalesce("component", row).alias("group"))
 
 
