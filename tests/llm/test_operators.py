@@ -574,3 +574,56 @@ def test_near_copies_without_ids(spark):
     named = {(r.doc_id, r.component_id) for r in jaccard_join.components(df).where("n_shingles > 0").collect()}
     assert {c for i, c in named if i == 3} == {3} and {c for _, c in named} == {None, 7, 8, 3}
     assert jaccard_join.components(df).where("component_id = 3").count() == 2
+
+
+def grams_by_hand(text):
+    run = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+    raw = f" {run} ".encode() if run else b""
+    return [int.from_bytes(raw[k : k + 4], "little") for k in range(len(raw) - 3)]
+
+
+def test_language_sets_by_hand(spark):
+    """The filter's masks and the counts of a text's n-grams by language, from sets and whole numbers in plain Python."""
+    rng = random.Random(11)
+    words = {"aa": ["der", "Haus", "über", "geht"], "bb": ["the", "house", "over", "goes"], "cc": ["maison", "sur", "été", "va"]}
+    docs = [(k, " ".join(rng.choice(w) for _ in range(rng.randrange(1, 30))), lang) for k, (lang, w) in enumerate(list(words.items()) * 12)]
+    docs += [(90, "the Haus 12 été_x", "aa"), (91, None, "aa"), (92, "", "bb"), (93, "rare", None), (94, "12 - 3", "cc")]
+    counts = {}
+    for _, text, lang in docs:
+        for g in grams_by_hand(text or "") if lang else ():
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    languages = sorted(totals, key=lambda x: (-totals[x], x))
+    multipliers = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+    slots = lambda g: [((g + 1) * m % (1 << 64)) >> (64 - 9) for m in multipliers]
+    masks = [0] * 512
+    for bit, lang in enumerate(languages):
+        for g, n in counts[lang].items():
+            if n >= 0.01 * totals[lang]:
+                for s in slots(g):
+                    masks[s] |= 1 << bit
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), min_share=0.01, slot_bits=9)
+    assert model.languages == tuple(languages) and model.masks.tolist() == masks
+    assert all(abs(r - (sum(m >> b & 1 for m in masks) / 512) ** 2) < 1e-12 for b, r in enumerate(model.rates))
+    texts = [t or "" for _, t, _ in docs]
+    found, n = language_id.popcounts(model, texts)
+    for row, size, text in zip(found.tolist(), n.tolist(), texts, strict=True):
+        own = grams_by_hand(text)
+        assert size == len(own) and row == [sum(all(masks[s] >> b & 1 for s in slots(g)) for g in own) for b in range(len(languages))]
+
+
+def test_odd_urls(spark):
+    """Repeated rows, names that clash with inner ones, null urls and labels, and a very long url."""
+    long = "http://example.org/en/1" + "x" * 300_000
+    rows = [(1, long, "h"), (2, "HTTP://A.Example.com/fr/x", "h"), (2, "HTTP://A.Example.com/fr/x", "h"), (None, None, None), (3, "no scheme", "h"), (4, "http://b.net/?q", "h"), (5, "x://" + "a." * 5000 + "org/", "h")]
+    kind = "page_id long, url string, host string, rule string, domain string, n long, bad long"
+    pages = spark.createDataFrame([(i, u, h, "r", "d", 1, 2) for i, u, h in rows], kind)
+    labels = spark.createDataFrame([(4, 0, 1), (4, 0, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    found = url_reputation.judge_urls(pages, labels).collect()
+    assert sorted(str(r.page_id) for r in found) == sorted(str(r[0]) for r in rows)
+    by = {r.page_id: r for r in found}
+    assert (by[1].rule, by[1].verdict, len(by[1].path)) == ("example.org/en/1", "block", len(long) - len("http://example.org"))
+    assert (by[2].host, by[2].path, by[2].rule, by[2].verdict) == ("a.example.com", "/fr/x", "com/fr/", "allow")
+    assert (by[None].host, by[None].path, by[3].host, by[3].path) == ("", "", "", "") and by[5].rule == "org/"
+    assert all(r.verdict in ("allow", "block") for r in found) and url_reputation.judge_urls(pages, labels.limit(0)).count() == len(rows)
