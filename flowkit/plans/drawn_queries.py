@@ -116,3 +116,21 @@ query(
     c AS (SELECT series, {_MOMENTS} FROM m), b AS (SELECT *, xx * zz - xz * xz AS det, (xy * zz - yz * xz) / (xx * zz - xz * xz) AS b, (yz * xx - xy * xz) / (xx * zz - xz * xz) AS g FROM c)
     SELECT series, round(b / sqrt((yy - b * xy - g * yz) / (n - 3) * zz / det), 6) AS statistic FROM b""",
 )(lambda s, d: series.adf_statistic(vectors(s, d)).select("series", F.round("statistic", 6).alias("statistic")))
+
+
+def _sql_curve(n: int, sigma: float, knots: int, seed: int) -> str:
+    """The smooth curve about 1 of a series: each step weighs the random values at the knots."""
+    basis = augment._spline_basis(n, knots + 2)
+    rows = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in r) + "]" for r in basis.tolist()) + "]"
+    at = " + ".join(f"b.w[step + 1][{k + 1}] * (1 + {sigma} * k{k})" for k in range(knots + 2))
+    values = ", ".join(f"{normal(seed, 'series', str(k))} AS k{k}" for k in range(knots + 2))
+    return f"knots AS (SELECT series, {values} FROM (SELECT DISTINCT series FROM vec)), curve AS (SELECT v.series, v.step, v.value, {at} AS curve FROM vec v JOIN knots USING (series), (SELECT {rows} AS w) b)"
+
+
+_CURVE = _sql_curve(64, 0.2, 4, 2)
+drawn("j4_magnitude_warp_drawn", f"WITH {VEC}, {_CURVE} SELECT series, step, round(value * curve, 6) AS value FROM curve")(lambda s, d: augment.magnitude_warp(plain(s, d), 64, seed=2).select("series", "step", F.round("value", 6).alias("value")))
+drawn(
+    "j4_time_warp_drawn",
+    f"""WITH {VEC}, {_CURVE}, speed AS (SELECT series, step, greatest(curve, 0.01) AS speed FROM curve), run AS (SELECT series, step, sum(speed) OVER (PARTITION BY series ORDER BY step) - first_value(speed) OVER (PARTITION BY series ORDER BY step) AS run FROM speed),
+    spots AS (SELECT series, step, run * 63 / max(run) OVER (PARTITION BY series) AS spot FROM run), {_AT}""",
+)(lambda s, d: augment.time_warp(plain(s, d), 64, seed=2).select("series", "step", F.round("value", 6).alias("value")))
