@@ -47,7 +47,7 @@ def batch(spark, packets):
     return flows.clip_horizon(flows.flow_packets(spark.createDataFrame(packets, SCHEMA)), HORIZON)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_packets_in_order(spark, tmp_path, packets, seed):
     pytest.importorskip("google.protobuf")
     found, _ = run(spark, tmp_path, lambda s: stream.relative_slots_in_order(s, 2 * SECOND, HORIZON, "10 seconds"), packets, 9, seed, f"in_order_{seed}")
