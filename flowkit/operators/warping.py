@@ -18,9 +18,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Cells of fronts that are held at once, pairs of a batch, queries of a block, series of a block.
-CELLS, PAIRS, QUERIES, SERIES = 1 << 22, 2048, 128, 512
+#: Cells of fronts that are held at once, pairs of a batch, queries of a block, series of a block, pairs of a search's fronts
+#: (what a core's cache holds).
+CELLS, PAIRS, QUERIES, SERIES, FRONT = 1 << 22, 2048, 128, 512, 1024
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -286,28 +288,74 @@ def envelope(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def near_fronts(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray) -> np.ndarray:
+    """As fronts() by absolute differences, for pairs of one length and band, steps by pairs: a front holds only the cells of
+    the band, and its cells of one step lie side by side, so every operation runs over memory in order."""
+    n, pairs = a.shape
+    inf, b = float("inf"), np.ascontiguousarray(b[::-1])  # step d - i of b then rises with i
+    out, alive = np.full(pairs, inf), np.arange(pairs)
+    one, two, new = (np.full((n + 2, pairs), inf) for _ in range(3))  # fronts d - 1, d - 2 and d, cell i at i + 1
+    cost = np.empty((min(n, window + 1), pairs))
+    two[0] = 0.0  # before the first cell
+    for d in range(2 * n - 1):
+        low, high = max(0, d - n + 1, (d - window + 1) // 2), min(n - 1, d, (d + window) // 2)
+        if low <= high:
+            c, x = cost[: high - low + 1], new[low + 1 : high + 2]
+            np.abs(np.subtract(a[low : high + 1], b[n - 1 - d + low : n - d + high], out=c), out=c)
+            np.minimum(np.minimum(one[low : high + 1], one[low + 1 : high + 2], out=x), two[low : high + 1], out=x)
+            np.add(c, x, out=x)
+        new[low] = new[high + 2] = inf  # all that the next two fronts see beside the band
+        two, one, new = one, new, two
+        if d % 16 == 15 and d < 2 * n - 2:
+            least = np.minimum(one[low : high + 3].min(axis=0), two[max(0, low - 1) : high + 3].min(axis=0))
+            keep = np.flatnonzero(least <= limit)
+            if not len(keep):
+                return out
+            if len(keep) < 0.6 * len(least):
+                a, b, one, two = (np.take(x, keep, axis=1) for x in (a, b, one, two))
+                limit, alive, new, cost = limit[keep], alive[keep], np.full_like(one, inf), cost[:, : len(keep)].copy()
+    out[alive] = one[n]
+    return out
+
+
 class Queries:
     """A block of queries of one length, with their envelopes."""
 
     def __init__(self, ids: list, values: np.ndarray, window: int) -> None:
         self.ids, self.values, self.window = ids, values, window
         self.low, self.high = envelope(values, window)
+        self.places: dict = {}  # id -> its queries
+        for k, i in enumerate(ids):
+            self.places.setdefault(i, []).append(k)
+
+    def others(self, ids: list) -> np.ndarray:
+        """Queries by series: whether their ids differ."""
+        out = np.ones((len(self.ids), len(ids)), bool)
+        for k, i in enumerate(ids):
+            if i in self.places:
+                out[self.places[i], k] = False
+        return out
 
     def ends(self, x: np.ndarray) -> np.ndarray:
         """Queries by series: what the first and the last cells cost at least."""
         first = np.abs(self.values[:, None, 0] - x[None, :, 0])
         return first + np.abs(self.values[:, None, -1] - x[None, :, -1]) if x.shape[1] > 1 else first
 
-    def outside(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """For pairs: how far the series x leave the envelopes of the queries q."""
-        return np.maximum(np.maximum(x - self.high[q], self.low[q] - x), 0.0).sum(axis=1)
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        """Queries by series: how far the series leave the envelopes of the queries, step by step."""
+        out = np.zeros((len(self.ids), len(x)))
+        above, below = np.empty_like(out), np.empty_like(out)
+        for v, low, high in zip(np.ascontiguousarray(x.T), self.low.T, self.high.T, strict=True):
+            np.maximum(np.subtract(v, high[:, None], out=above), np.subtract(low[:, None], v, out=below), out=above)
+            out += np.maximum(above, 0.0, out=above)
+        return out
 
-    def measure(self, q: np.ndarray, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        out = np.empty(len(q))
-        for s in range(0, len(q), PAIRS):
-            part = slice(s, s + PAIRS)
-            n = np.full(len(q[part]), x.shape[1])
-            out[part] = fronts(self.values[q[part], :, None], x[part, :, None], n, n, np.full(len(n), self.window), limit=limit[part])
+    def measure(self, q: np.ndarray, k: np.ndarray, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Distances of queries q from series k of x; infinite where they exceed their limit."""
+        out, values, x = np.empty(len(q)), np.ascontiguousarray(self.values.T), np.ascontiguousarray(x.T)
+        for s in range(0, len(q), FRONT):
+            part = slice(s, s + FRONT)
+            out[part] = near_fronts(values[:, q[part]], x[:, k[part]], self.window, limit[part])
         return out
 
 
@@ -346,55 +394,64 @@ def _series_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, np
             yield from ((ids, np.array(v, float)) for ids, v in by.values())
 
 
+def _spread(series: DataFrame) -> DataFrame:
+    """The series in tasks of about equal shares, some for each core: each one meets every query, which costs far more than
+    its move, and a table of short rows lies in few files or row groups."""
+    spark = series.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return series.select("series", "values").where("size(values) > 0").repartition(tasks)
+
+
+def _id_types(*tables: DataFrame) -> tuple[list[str], list[pa.DataType]]:
+    kinds = [t.schema["series"].dataType for t in tables]
+    return [k.simpleString() for k in kinds], [to_arrow_type(k) for k in kinds]
+
+
 def dtw_within(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES) -> DataFrame:
     """All pairs of a query and another series of its length with a distance of at most limit: series (the query's), partner
     and distance. Exact: bounds drop only pairs that are farther. queries and series are (series, values) tables of numbers
     without nulls; null and empty arrays match nothing. Repeated rows give repeated pairs."""
-    sent, kinds = _query_blocks(queries, window, block), [t.schema["series"].dataType.simpleString() for t in (queries, series)]
+    sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries, series)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _series_blocks(batches):
+            partners = pa.array(ids, types[1])
             for held in sent:
                 own = held.value
                 if own.values.shape[1] != x.shape[1]:
                     continue
-                q, k = np.nonzero(own.ends(x) <= limit)
-                near = own.outside(q, x[k]) <= limit
-                q, k = q[near], k[near]
-                d = own.measure(q, x[k], np.full(len(q), limit))
-                rows = [(own.ids[a], ids[b], v) for a, b, v in zip(q.tolist(), k.tolist(), d.tolist(), strict=True) if v <= limit and own.ids[a] != ids[b]]
-                yield from _pair_batches(rows)
+                q, k = np.nonzero(own.others(ids) & (own.ends(x) <= limit) & (own.outside(x) <= limit))
+                d = own.measure(q, k, x, np.full(len(q), limit))
+                near = d <= limit
+                if near.any():
+                    columns = [pa.array(own.ids, types[0]).take(pa.array(q[near])), partners.take(pa.array(k[near])), pa.array(d[near])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["series", "partner", "distance"])
 
-    return series.select("series", "values").mapInArrow(search, f"series {kinds[0]}, partner {kinds[1]}, distance double")
-
-
-def _pair_batches(rows: list) -> Iterator[pa.RecordBatch]:
-    if rows:
-        a, b, d = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d, pa.float64())], names=["series", "partner", "distance"])
+    return _spread(series).mapInArrow(search, f"series {kinds[0]}, partner {kinds[1]}, distance double")
 
 
 def dtw_bounds(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES) -> DataFrame:
     """How many pairs of dtw_within() each step leaves, by query: pairs, by_ends, by_envelope and within."""
-    sent = _query_blocks(queries, window, block)
-    kind = queries.schema["series"].dataType.simpleString()
+    sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}  # block of queries -> four counts of each
         for ids, x in _series_blocks(batches):
-            for held in sent:
+            for at, held in enumerate(sent):
                 own = held.value
                 if own.values.shape[1] != x.shape[1]:
                     continue
-                other = np.array([[a != b for b in ids] for a in own.ids])
+                other = own.others(ids)
                 ends = other & (own.ends(x) <= limit)
-                q, k = np.nonzero(ends)
-                near = own.outside(q, x[k]) <= limit
-                close = own.measure(q[near], x[k[near]], np.full(int(near.sum()), limit)) <= limit
-                size = len(own.ids)
-                counts = [other.sum(axis=1), ends.sum(axis=1), np.bincount(q[near], minlength=size), np.bincount(q[near][close], minlength=size)]
-                yield pa.RecordBatch.from_arrays([pa.array(own.ids), *(pa.array(c.astype(np.int64)) for c in counts)], names=["series", "pairs", "by_ends", "by_envelope", "within"])
-
-    found = series.select("series", "values").mapInArrow(search, f"series {kind}, pairs long, by_ends long, by_envelope long, within long")
+                near = ends & (own.outside(x) <= limit)
+                q, k = np.nonzero(near)
+                close = own.measure(q, k, x, np.full(len(q), limit)) <= limit
+                found = np.stack([other.sum(axis=1), ends.sum(axis=1), near.sum(axis=1), np.bincount(q[close], minlength=len(own.ids))])
+                counts[at] = counts.get(at, 0) + found
+        for at, found in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent[at].value.ids, types[0]), *(pa.array(c.astype(np.int64)) for c in found)], names=["series", "pairs", "by_ends", "by_envelope", "within"])
+
+    found = _spread(series).mapInArrow(search, f"series {kinds[0]}, pairs long, by_ends long, by_envelope long, within long")
     return found.groupBy("series").agg(*[F.sum(c).alias(c) for c in ("pairs", "by_ends", "by_envelope", "within")])
 
 
@@ -403,7 +460,7 @@ def dtw_nearest(queries: DataFrame, series: DataFrame, k: int, window: int, bloc
 
     Each task keeps the k best that it has met and prunes by the worst of them; the best of all tasks are the answer. It is
     exact. Series are measured in the order of their bound, so the limit falls fast. Ids of queries must be distinct."""
-    sent, kinds = _query_blocks(queries, window, block), [t.schema["series"].dataType.simpleString() for t in (queries, series)]
+    sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries, series)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}  # query id -> at most k (distance, partner)
@@ -413,23 +470,29 @@ def dtw_nearest(queries: DataFrame, series: DataFrame, k: int, window: int, bloc
                 if own.values.shape[1] != x.shape[1]:
                     continue
                 limits = lambda: np.array([best[i][-1][0] if len(best.get(i, ())) == k else np.inf for i in own.ids])  # noqa: E731, B023
-                q, s = np.nonzero(own.ends(x) <= limits()[:, None])
-                bound = own.outside(q, x[s])
+                bounds, now = own.outside(x), limits()
+                q, s = np.nonzero(own.others(ids) & (own.ends(x) <= now[:, None]) & (bounds <= now[:, None]))
+                bound = bounds[q, s]
                 order = np.argsort(bound, kind="stable")
                 q, s, bound = q[order], s[order], bound[order]
-                step = max(16, 2 * len(own.ids))
-                for at in range(0, len(q), step):
-                    limit = limits()[q[at : at + step]]
-                    near = np.flatnonzero(bound[at : at + step] <= limit) + at
-                    d = own.measure(q[near], x[s[near]], limit[near - at])
-                    for a, b, v in zip(q[near].tolist(), s[near].tolist(), d.tolist(), strict=True):
-                        if np.isfinite(v) and own.ids[a] != ids[b]:
-                            kept = best.setdefault(own.ids[a], [])
-                            kept.append((v, ids[b]))
-                            kept.sort(key=lambda r: (r[0], r[1] is None, r[1]))
-                            del kept[k:]
-        yield from _pair_batches([(i, p, d) for i, kept in best.items() for d, p in kept])
-
-    found = series.select("series", "values").mapInArrow(search, f"series {kinds[0]}, partner {kinds[1]}, distance double")
+                at = 0
+                while at < len(q):
+                    now = limits()
+                    part = slice(at, at + (FRONT if np.isfinite(now).all() else max(16, 2 * len(own.ids))))
+                    near = np.flatnonzero(bound[part] <= now[q[part]]) + at
+                    d = own.measure(q[near], s[near], x, now[q[near]])
+                    good = np.isfinite(d) & (d <= now[q[near]])
+                    for a, b, v in zip(q[near[good]].tolist(), s[near[good]].tolist(), d[good].tolist(), strict=True):
+                        kept = best.setdefault(own.ids[a], [])
+                        kept.append((v, ids[b]))
+                        kept.sort(key=lambda r: (r[0], r[1] is None, r[1]))
+                        del kept[k:]
+                    at = part.stop
+        rows = [(i, p, d) for i, kept in best.items() for d, p in kept]
+        if rows:
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*types, pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["series", "partner", "distance"])
+
+    found = _spread(series).mapInArrow(search, f"series {kinds[0]}, partner {kinds[1]}, distance double")
     place = F.row_number().over(Window.partitionBy("series").orderBy("distance", F.col("partner").asc_nulls_last()))
     return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)

@@ -186,3 +186,23 @@ def test_partners(spark):
     label = {r.series: r.label for r in df.collect()}
     assert all(label[r.series] == label[r.partner] and r.partner_values == [{200: 1.0, 201: 2.0}.get(r.partner, float(r.partner))] for r in found)
     assert sorted(r.partner for r in found) == sorted(r.series for r in found) == [k for k in sorted(label) if k != 202]
+
+
+def test_fronts_of_a_search_hold_the_band_alone():
+    rng = np.random.default_rng(12)
+    for n, window in ((1, 0), (2, 1), (7, 0), (20, 3), (33, 8), (16, 40)):
+        a, b = (rng.normal(size=(n, 60)) for _ in range(2))
+        want = warping.fronts(a.T[:, :, None], b.T[:, :, None], *(np.full(60, k) for k in (n, n, window)), warping.manhattan)
+        assert (warping.near_fronts(a, b, window, np.full(60, np.inf)) == want).all()
+        limit = np.quantile(want, rng.random(60) * 0.5)
+        found = warping.near_fronts(a, b, window, limit)
+        assert (found[want <= limit] == want[want <= limit]).all() and ((found == want) | (found == np.inf)).all()
+
+
+def test_searches_of_one_file_run_in_many_tasks(walks):
+    df, _ = walks
+    q = df.where("series < 3")
+    for found in (warping.dtw_within(q, df.coalesce(1), 5.0, 3), warping.dtw_bounds(q, df.coalesce(1), 5.0, 3)):
+        assert "RoundRobinPartitioning" in found._jdf.queryExecution().toString()
+    near = warping.dtw_nearest(q, df.coalesce(1), 2, 3)
+    assert near.count() == 6 and "RoundRobinPartitioning" in near._jdf.queryExecution().toString()
