@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowkit.functions.scalar import hash64, hash_normal, hash_uniform
 from flowkit.operators.components import checkpoint, numbered
-from flowkit.operators.warping import dtw_join, shape_of, warp_batch
+from flowkit.operators.warping import dtw_join, list_array, series_parts, shape_of, warp_batch
 
 
 def jitter(df: DataFrame, sigma: float, seed: int) -> DataFrame:
@@ -164,9 +165,13 @@ def _guided(x: list[np.ndarray], y: list[np.ndarray], shape: int | None = None)
 
 
 def _with_partner(df: DataFrame, seed: int, kernel: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def made(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([v.tolist() for v in kernel(*([np.asarray(v, float) for v in s] for s in (x, y)))])
+    @F.arrow_udf("array<double>")
+    def made(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.list_(pa.float64()))]
+        for v, w in zip(series_parts(x), series_parts(y), strict=True):
+            found = kernel([r[:, 0] for r in v], [r[:, 0] for r in w])
+            out.append(list_array([len(r) for r in found], pa.array(np.concatenate(found))))
+        return pa.concat_arrays(out)
 
     pairs = same_class_partner(df, seed).where("size(values) > 0 AND size(partner_values) > 0")
     return pairs.select("series", "label", "partner", made("values", "partner_values").alias("values"))
@@ -214,7 +219,7 @@ def wdba(df: DataFrame, size: int | None, seed: int, rounds: int = 3) -> DataFra
     share = F.when(F.col("__near") > 0, F.exp(F.log(F.lit(0.5)) * F.col("distance") / F.col("__near"))).otherwise(1.0)
     weighed = _of_batch(near, nearest, "left").select(*key, "b", share.alias("w"))
     weighed = checkpoint(weighed)
-    means, added_to = start.select(*key, F.col("a").alias("mean")), F.pandas_udf(_added, "array<struct<total:double,mass:double>>")
+    means, added_to = start.select(*key, F.col("a").alias("mean")), F.arrow_udf(_added, "array<struct<total:double,mass:double>>")
     for _ in range(rounds):
         added = _of_batch(weighed, means).select(*key, added_to("mean", "b", "w").alias("x"))
         at = added.select(*key, F.posexplode("x")).groupBy(*key, "pos").agg((F.sum("col.total") / F.sum("col.mass")).alias("v"))
@@ -228,14 +233,17 @@ def _of_batch(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, F.col("label").eqNullSafe(F.col("__l")) & (F.col("batch") == F.col("__b")), how).drop("__l", "__b")
 
 
-def _added(mean: pd.Series, values: pd.Series, weight: pd.Series) -> pd.Series:
+def _added(mean: pa.Array, values: pa.Array, weight: pa.Array) -> pa.Array:
     """For each place of the mean: the weighted values that meet it, and their weights."""
-    a, b = ([np.asarray(v, float) for v in s] for s in (mean, values))
-    out = []
-    for x, y, w, p in zip(a, b, weight, warp_batch([v[:, None] for v in a], [v[:, None] for v in b], path=True)[1], strict=True):
-        total, mass = (np.bincount(p[:, 0], weights=v, minlength=len(x)) for v in (w * y[p[:, 1]], np.full(len(p), w)))
-        out.append([{"total": t, "mass": m} for t, m in zip(total.tolist(), mass.tolist(), strict=True)])
-    return pd.Series(out)
+    out, w = [], weight.to_numpy(zero_copy_only=False)
+    for a, b in zip(series_parts(mean), series_parts(values), strict=True):
+        sums = []
+        for x, y, own, p in zip(a, b, w, warp_batch(a, b, path=True)[1]):  # noqa: B905 - weights of later parts remain
+            sums.append([np.bincount(p[:, 0], weights=v, minlength=len(x)) for v in (own * y[p[:, 1], 0], np.full(len(p), own))])
+        w = w[len(a) :]
+        total, mass = (pa.array(np.concatenate(v)) for v in zip(*sums, strict=True))
+        out.append(list_array([len(x) for x in a], pa.StructArray.from_arrays([total, mass], names=["total", "mass"])))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.struct([("total", pa.float64()), ("mass", pa.float64())])))
 
 
 def variable_slice(df: DataFrame, seed: int) -> DataFrame:

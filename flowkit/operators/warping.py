@@ -177,8 +177,11 @@ def warp_batch(a: list[np.ndarray], b: list[np.ndarray], window: int | None = No
     order = sorted((k for k in range(len(a)) if len(a[k]) and len(b[k])), key=lambda k: (a[k].shape[1], len(a[k]), len(b[k])))
     start = 0
     while start < len(order):
-        stop, channels = start, a[order[start]].shape[1]
-        while stop < len(order) and a[order[stop]].shape[1] == channels and (stop - start + 1) * len(a[order[stop]]) * (max(len(b[k]) for k in order[start : stop + 1]) if path else channels) <= CELLS and stop - start < PAIRS:
+        stop, channels, widest = start, a[order[start]].shape[1], 0
+        while stop < len(order) and a[order[stop]].shape[1] == channels and stop - start < PAIRS:
+            widest = max(widest, len(b[order[stop]]))
+            if (stop - start + 1) * len(a[order[stop]]) * (widest if path else channels) > CELLS:
+                break
             stop += 1
         own = order[start : max(stop, start + 1)]
         start += len(own)
@@ -202,30 +205,61 @@ def dtw_path(a: np.ndarray, b: np.ndarray, window: int | None = None, slope: str
     return float(distance[0]), [(i, j) for i, j in paths[0].tolist()]
 
 
+def series_parts(column: pa.Array) -> Iterator[list[np.ndarray | None]]:
+    """The rows of a column of arrays as steps by channels, SERIES of them at a time, so that what a task makes of them stays
+    small whatever the size of Arrow's batches."""
+    for s in range(0, len(column), SERIES):
+        part = column.slice(s, SERIES)
+        at, flat = part.offsets.to_numpy(), part.values
+        if pa.types.is_list(flat.type) or pa.types.is_large_list(flat.type):  # a number for each channel
+            inner, flat = flat.offsets.to_numpy(), flat.values
+        else:
+            inner = None
+        flat = flat.to_numpy(zero_copy_only=False)
+        places = at if inner is None else inner[at]
+        lengths = np.diff(at)
+        yield [np.asarray(flat[a:b], float).reshape(n, -1 if n else 1) if ok else None for a, b, n, ok in zip(places[:-1].tolist(), places[1:].tolist(), lengths.tolist(), part.is_valid().to_pylist(), strict=True)]
+
+
+def list_array(sizes: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
+    """Arrays of the sizes, cut from values one after another."""
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(at, values, mask=None if null is None else pa.array(null))
+
+
 def dtw_join(pairs: DataFrame, window: int | None = None, slope: str = "symmetric", shape: int | None = None, dist: Distance | None = None, path: bool = False) -> DataFrame:
     """pairs (with array columns a and b) with distance, and with path (places in a and b, from 0) if asked for; shape
     compares local descriptors of that width instead of steps. dist takes two arrays and gives their distances over the last
     axis. A pair with a null or empty array has no distance and no path."""
 
-    def both(a: pd.Series, b: pd.Series) -> tuple[list, list]:
-        ok = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and len(x) and len(y)]
-        x, y = ([matrix(s.iloc[k]) for k in ok] for s in (a, b))
-        if shape:
-            x, y = [shape_of(v, shape) for v in x], [shape_of(v, shape) for v in y]
-        found, cells = warp_batch(x, y, window, slope, dist, path)
-        distance, paths = [None] * len(a), [None] * len(a)
-        for k, d, p in zip(ok, found.tolist(), cells, strict=True):
-            distance[k], paths[k] = d, [{"a": i, "b": j} for i, j in p.tolist()]
-        return distance, paths
-
-    @F.pandas_udf("double")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(both(a, b)[0], dtype="float64")
-
-    @F.pandas_udf("distance double, path array<struct<a:int,b:int>>")
-    def with_path(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        d, p = both(a, b)
-        return pd.DataFrame({"distance": pd.Series(d, dtype="float64"), "path": p})
+    def parts(a: pa.Array, b: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, list]]:
+        """For some rows at a time: which have a distance, the distances of those, and their paths."""
+        for x, y in zip(series_parts(a), series_parts(b), strict=True):
+            ok = np.array([v is not None and w is not None and len(v) > 0 and len(w) > 0 for v, w in zip(x, y, strict=True)], bool)
+            x, y = ([s[k] for k in np.flatnonzero(ok)] for s in (x, y))
+            if shape:
+                x, y = [shape_of(v, shape) for v in x], [shape_of(v, shape) for v in y]
+            yield ok, *warp_batch(x, y, window, slope, dist, path)
+
+    def spread(ok: np.ndarray, found: np.ndarray) -> pa.Array:
+        out = np.zeros(len(ok))
+        out[ok] = found
+        return pa.array(out, mask=~ok)
+
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.float64()), *(spread(ok, found) for ok, found, _ in parts(a, b))])
+
+    @F.arrow_udf("distance double, path array<struct<a:int,b:int>>")
+    def with_path(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for ok, found, cells in parts(a, b):
+            sizes = np.zeros(len(ok), int)
+            sizes[ok] = [len(p) for p in cells]
+            i, j = np.concatenate([np.empty((0, 2), int), *cells]).astype(np.int32).T
+            paths = list_array(sizes, pa.StructArray.from_arrays([pa.array(i), pa.array(j)], names=["a", "b"]), ~ok)
+            out.append(pa.StructArray.from_arrays([spread(ok, found), paths], names=["distance", "path"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("distance", pa.float64()), ("path", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
     if path:
         return pairs.withColumn("__w", with_path("a", "b")).withColumns({"distance": F.col("__w.distance"), "path": F.col("__w.path")}).drop("__w")

@@ -206,3 +206,19 @@ def test_searches_of_one_file_run_in_many_tasks(walks):
         assert "RoundRobinPartitioning" in found._jdf.queryExecution().toString()
     near = warping.dtw_nearest(q, df.coalesce(1), 2, 3)
     assert near.count() == 6 and "RoundRobinPartitioning" in near._jdf.queryExecution().toString()
+
+
+def test_kernels_take_arrow_batches_in_parts(spark):
+    import pyarrow as pa
+
+    long = pa.array([[1.0, None], None, []] * 400 + [[3.0]], pa.list_(pa.float64())).slice(1)
+    parts = list(warping.series_parts(long))
+    assert max(map(len, parts)) <= warping.SERIES and sum(map(len, parts)) == 1200
+    rows = [x for p in parts for x in p]
+    assert rows[0] is None and rows[1].shape[0] == 0 and rows[-1].tolist() == [[3.0]] and np.isnan(rows[2][1, 0])
+    two = next(warping.series_parts(pa.array([[[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0]]])))
+    assert [x.tolist() for x in two] == [[[1.0, 2.0], [3.0, 4.0]], [[5.0, 6.0]]]
+    mean, b, w = pa.array([[0.0, 1.0]] * 1100), pa.array([[0.0, 0.0, 1.0]] * 1100), pa.array(np.arange(1100.0))
+    added = augment._added(mean, b, w)
+    assert isinstance(added, pa.Array) and added.type.value_type.num_fields == 2  # no Python objects for cells
+    assert all(r == [{"total": 0.0, "mass": 2.0 * k}, {"total": float(k), "mass": float(k)}] for k, r in enumerate(added.to_pylist()))
