@@ -2,7 +2,7 @@
 
 High-recall generators propose overlapping spans: the strict forms, whose rules give the base spans, loose forms of the
 same kinds, and secrets. Gradient-boosted trees of depth two score each span by its format and its context. They are
-fitted on a bounded sample. Its labels are the strict rules' verdicts; strict spans rewritten to loose forms, in their own
+fitted on the spans of all documents. Labels are the strict rules' verdicts; strict spans rewritten to loose forms, in their own
 contexts; for loose spans found in the text, whether the value also occurs in strict form or the words before name the
 kind. A threshold per kind, calibrated on held-out spans, selects what is added to the base spans, which always stay; of
 added spans that overlap, the best score stays.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from flowkit.llm.common import checkpoint, text_of
 #: Kinds in the order in which spans that start together are listed. Base spans are of the first four.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
-#: Documents that training reads (a threshold on their hash gives about this many), trees, learning rate, smallest Hessian
-#: sum of a leaf, precision that a kind's added spans must reach, and how many held-out spans the model's own odds weigh.
-SAMPLE_DOCS, TREES, RATE, LEAST_LEAF, PRECISION, PRIOR_SPANS = 8000, 16, 0.5, 0.5, 0.9, 0.5
+#: Trees, learning rate, smallest Hessian sum of a leaf, precision that a kind's added spans must reach, and how many
+#: held-out spans the model's own odds weigh; gradients are summed in whole parts of 1 / UNIT.
+TREES, RATE, LEAST_LEAF, PRECISION, PRIOR_SPANS, UNIT = 16, 0.5, 0.5, 0.9, 0.5, 1 << 20
 
 # Quantifiers are possessive and starts are tied to the run's start or the last match's end, so that long runs of one
 # character class cost linear time and no recursion; the matches are those of the plain patterns.
@@ -107,12 +108,12 @@ def _valid() -> Column:
     return F.when(g == 0, True).when(g == 1, _small()).when(g == 2, _card()).when(g == 3, F.char_length(_digits()).between(9, 15)).otherwise(False)
 
 
-def _spread(docs: DataFrame, some: DataFrame | None = None) -> DataFrame:
-    """doc_id and text of docs, or some of them, in as many tasks as the session has cores at least: patterns cost far more
+def _spread(docs: DataFrame) -> DataFrame:
+    """doc_id and text of docs in as many tasks as the session has cores at least: patterns cost far more
     than the move of a text. Input that already lies in so many tasks, as any large one does, stays where it is."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     held = docs.select(F.spark_partition_id().alias("task")).distinct().count()  # reads no column
-    out = (docs if some is None else some).select("doc_id", "text")
+    out = docs.select("doc_id", "text")
     return out.repartition(cores) if held < cores else out
 
 
@@ -122,6 +123,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", _candidates(F.col("text")).alias("found"))
     none = F.array(F.when(F.lit(False), F.get("found", F.lit(0))))
     rows = rows.select("row", "doc_id", F.explode(F.concat("found", none)).alias("x")).select("row", "doc_id", "x.*")
+    rows = rows.repartition("row")  # serves the places and the runs
     # every generator's places are running sums over its own matches in one document
     places = Window.partitionBy("row", "generator").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     n = F.char_length("match")
@@ -174,7 +176,7 @@ def fit(rows: DataFrame, trees: int = TREES) -> Boosted:
     width = len(FEATURES)
     held = F.pmod(F.xxhash64("match", "before"), F.lit(5)) == 0
     alike = rows.groupBy(held.alias("held"), "kind", *[f"f{k}" for k in range(width)]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("valid").cast("int")).alias("k"))
-    alike = checkpoint(alike.coalesce(1))  # one row for each pattern of features in a bounded sample
+    alike = checkpoint(alike.coalesce(rows.sparkSession.sparkContext.defaultParallelism))  # a row for each pattern of features
     train = alike.where("not held").withColumn("on", F.array_compact(F.array(*[F.when(F.col(f"f{k}"), F.lit(k)) for k in range(width)])))
     seen = train.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     model = Boosted()
@@ -184,13 +186,14 @@ def fit(rows: DataFrame, trees: int = TREES) -> Boosted:
     for _ in range(trees):
         p = 1 / (1 + F.exp(-model.score()))
         now = train.withColumns({"g": F.col("k") - F.col("n") * p, "h": F.col("n") * p * (1 - p)})
+        now = now.withColumns({c: F.round(F.col(c) * UNIT).cast("long") for c in "gh"})  # whole numbers: sums in any order agree
 
         def sums(where: Column, now=now) -> dict:
             """side -> feature -> gradient and Hessian sums of the rows that have it; None stands for all rows."""
             each = now.select(where.alias("side"), "g", "h", F.explode(F.concat(F.array(F.lit(-1)), "on")).alias("f"))
             out: dict = {True: {}, False: {}}
             for r in each.groupBy("side", "f").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-                out[r["side"]][r["f"]] = (r["g"], r["h"])
+                out[r["side"]][r["f"]] = (r["g"] / UNIT, r["h"] / UNIT)
             return out
 
         def best(x: dict) -> tuple[int, tuple, tuple]:
@@ -253,12 +256,26 @@ def _rewritten(rows: DataFrame) -> DataFrame:
     return loose.unionByName(mac)
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Boosted:
-    """Fit on the candidates in about sample_docs documents, chosen by the hash of their rows."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    some = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < int(share * 2**62))
-    found = checkpoint(_runs(candidates(_spread(docs, some)).where(F.col("match").isNotNull())))
-    columns = ["kind", "match", "before", "after", "valid"]
+def train(docs: DataFrame) -> Boosted:
+    """Fit on the candidates in all documents."""
+    return _fitted(_held(docs))
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """Candidates of all documents with their runs and, a bit each, their features: found once, for training and for scoring.
+    Every document is a row of nulls, too."""
+    rows = _with_features(_runs(candidates(_spread(docs))))
+    bits = reduce(Column.bitwiseOR, [F.when(F.col(f"f{k}"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(len(FEATURES))])
+    return checkpoint(rows.withColumn("bits", bits).drop(*[f"f{k}" for k in range(len(FEATURES))]))
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f"f{k}": F.col("bits").bitwiseAND(F.lit(1 << k).cast("long")) != 0 for k in range(len(FEATURES))}).drop("bits")
+
+
+def _fitted(held: DataFrame) -> Boosted:
+    found = held.where(F.col("match").isNotNull())
+    columns = ["kind", "match", "before", "after", "valid", "bits"]
     strict = found.where(F.col("generator") < _STRICT).select(*columns)
     known = strict.where("valid").select("kind", _value().alias("value"), F.lit(True).alias("known")).distinct()
     said = F.lit(False)
@@ -273,8 +290,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Boosted:
     rare = rare.when(F.col("kind") == "phone", F.col("match").rlike(r"^00|\(|^[0-9]{3}-[0-9]{3}-[0-9]{4}$")).otherwise((F.col("kind") == "ip") & (F.size(F.split("match", ":")) == 8))
     label = F.when(F.size("base_kinds") > 0, False).when(F.col("kind") == "card", _card()).when(told, True).when(~rare, False)
     loose = loose.withColumn("valid", label).where(F.col("valid").isNotNull()).select(*columns)
-    rows = strict.unionByName(loose).unionByName(_rewritten(strict))
-    return fit(checkpoint(_with_features(rows)))
+    return fit(_unpacked(strict.unionByName(loose)).unionByName(_with_features(_rewritten(strict.drop("bits")))))
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -301,8 +317,9 @@ def find_personal_data(docs: DataFrame, model: Boosted | None = None) -> DataFra
     counts, an empty list and the digest of an empty list. Base spans of different kinds may overlap and all stay; an added
     span overlaps no other span. Repeated rows give rows each; other columns are ignored.
     """
-    model = model or train(docs)
-    rows = _with_features(candidates(_spread(docs))).withColumn("score", model.score())
+    held = _held(docs)
+    model = model or _fitted(held)
+    rows = _unpacked(held.drop("run", "base_kinds")).withColumn("score", model.score())
     rows = rows.where(F.col("match").isNull() | F.col("valid") | (F.col("generator") >= _STRICT) & model.accepts())
     kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     rows = _runs(rows.select("row", "doc_id", "generator", "kind", "start", "end", "valid", "score", F.struct(F.col("start"), kind.alias("k"), F.col("end")).alias("span")))
@@ -317,7 +334,6 @@ def find_personal_data(docs: DataFrame, model: Boosted | None = None) -> DataFra
 
 def redact(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """docs with every found span replaced by its kind in brackets, in a column redacted. Overlapping spans become one."""
-    model = model or train(docs)
     spans = find_personal_data(docs, model).select(F.col("doc_id").alias("__id"), "spans").dropDuplicates(["__id"])
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     parts = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.split(s, ":"))
