@@ -38,9 +38,39 @@ def _captures(s: SparkSession, d: str) -> DataFrame:
 
 
 def _written_captures(s: SparkSession, d: str) -> str:
-    """A folder for each capture with its packets in order, as CSV."""
+    """A folder for each capture with its packets in order, as CSV, written by the tasks as streams: Spark's writer starts
+    processes for the permissions of each file on a local file system, and there are as many files as captures."""
     at = scratch(s, "captures")
-    _captures(s, d).write.partitionBy("capture_id").option("header", True).csv(at)
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import groupby
+
+        from pyarrow import csv
+
+        system, root = files._system(at)
+        number, now, out, rows, done = TaskContext.get().partitionId(), None, None, None, 0
+        for b in batches:
+            start = 0
+            for capture, run in groupby(b.column(0).to_pylist()):
+                n = sum(1 for _ in run)
+                part = b.slice(start, n).select(_READ)
+                start += n
+                if rows is None or capture != now:
+                    if rows:
+                        rows.close()
+                        out.close()
+                    now, done = capture, done + 1
+                    folder = f"{root}/capture_id={'__HIVE_DEFAULT_PARTITION__' if capture is None else capture}"
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/part-{number:05d}.csv")
+                    rows = csv.CSVWriter(out, part.schema)
+                rows.write_batch(part)
+        if rows:
+            rows.close()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["captures"])
+
+    _captures(s, d).mapInArrow(write, "captures long").write.format("noop").mode("overwrite").save()
     return at
 
 

@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of a packet capture; all text, as captures hold broken values.
@@ -148,10 +148,16 @@ def read_packet_zip(spark: SparkSession, path: str, columns: tuple[str, ...] = P
     return members.repartition(tasks, "archive", "member").mapInArrow(read, f"member string, row_pos long, {_text_schema(kept)}")
 
 
+def _folder(file: str) -> Column:
+    """The name of a file's folder. The pattern meets the last two names alone: over a whole path it starts anew at each
+    character, for each row."""
+    return F.regexp_extract(F.substring_index(file, "/", -2), r"^([^/]+)/[^/]+$", 1)
+
+
 def list_captures(df: DataFrame, apps: list[str] | None = None, file: str = "file") -> DataFrame:
     """Adds partition (the file's folder), capture_id (its name) and app (up to the first underscore); keeps named apps."""
-    name = F.regexp_extract(file, r"([^/]+)\.csv$", 1)
-    out = df.withColumns({"partition": F.regexp_extract(file, r"([^/]+)/[^/]+$", 1), "capture_id": name, "app": F.substring_index(name, "_", 1)})
+    name = F.regexp_extract(F.substring_index(file, "/", -1), r"^([^/]+)\.csv$", 1)
+    out = df.withColumns({"partition": _folder(file), "capture_id": name, "app": F.substring_index(name, "_", 1)})
     return out.where(F.col("app").isin(apps)) if apps else out
 
 
@@ -172,7 +178,7 @@ def read_flow_json_lists(spark: SparkSession, path: str, lists: tuple[str, ...]
 def read_directory_tree(spark: SparkSession, root: str, glob: str = "timeseries_*.csv") -> DataFrame:
     """All files of the pattern below root with label, the folder that holds them."""
     f = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
-    return f.withColumn("label", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1))
+    return f.withColumn("label", _folder("_metadata.file_path"))
 
 
 def read_wide_features(spark: SparkSession, path: str, n_features: int, label: str | None = None) -> DataFrame:

@@ -36,6 +36,31 @@ def test_row_places_do_not_depend_on_splits(spark, tmp_path, split):
     assert {k: sorted(v) for k, v in found.items()} == {"a_1": [(k, k) for k in range(400)], "b_2": [(0, 0)], "c_3": [(k, k) for k in range(90)]}
 
 
+def test_written_captures_are_one_file_each(spark):
+    """The folder of a capture holds its file and nothing else, with its packets in order; Spark's writer adds checksum files."""
+    from flowkit.plans import file_queries
+
+    sf = "/root/testdata/sf0.001"
+    at = file_queries._written_captures(spark, sf).removeprefix("file:")
+    folders = sorted(os.listdir(at))
+    want = {r.capture_id: r.n for r in file_queries.raw_packets(spark, sf).groupBy("capture_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert folders == sorted(f"capture_id={c}" for c in want)
+    for f in folders:
+        (name,) = os.listdir(f"{at}/{f}")
+        with open(f"{at}/{f}/{name}") as text:
+            assert len(text.read().splitlines()) == want[f.removeprefix("capture_id=")] + 1
+
+
+def test_folders_and_names_of_odd_paths(spark):
+    """As the patterns over whole paths give them."""
+    paths = ["file:///a/b c/x_1.csv", "a//x.csv", "x_1.csv", "/x.csv", "a/b/", "a/.csv", "a/x.CSV", "a/b/x.csv.csv", "", None, "s3://k/é=ü/_y.csv", "/".join(["p" * 300] * 9) + "/q_r_s.csv"]
+    df = files.list_captures(spark.createDataFrame([(p,) for p in paths], "file string"))
+    whole = [F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("f"), F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("n")]
+    for r in df.select("*", *whole).collect():
+        assert (r.partition, r.capture_id) == (r.f, r.n)
+        assert r.capture_id is None or r.app == r.capture_id.split("_")[0]
+
+
 @pytest.fixture
 def archive(tmp_path):
     with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
