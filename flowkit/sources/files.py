@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Columns of a packet capture; all text, as captures hold broken values.
 PACKET_COLUMNS = ("frame_time", "ip_src", "ip_dst", "ip_proto", "pkttype", "tcp_srcport", "tcp_dstport", "tcp_len", "udp_srcport", "udp_dstport", "udp_length")
@@ -24,20 +25,63 @@ def _text_schema(columns) -> str:
     return ", ".join(f"`{c}` string" for c in columns)
 
 
+def _walk(system, path) -> Iterator:
+    """The files below a folder that Spark's readers would list, one by one."""
+    found = system.listStatusIterator(path)
+    while found.hasNext():
+        f = found.next()
+        name = f.getPath().getName()
+        if name.startswith(".") or name.startswith("_") and "=" not in name:
+            continue
+        if f.isDirectory():
+            yield from _walk(system, f.getPath())
+        else:
+            yield f
+
+
+def _header(spark: SparkSession, path: str) -> list[str] | None:
+    """The columns of the first file under path that has any; the other files are not looked at."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    for top in system.globStatus(at) or ():
+        for f in _walk(system, top.getPath()) if top.isDirectory() else [top]:
+            columns = spark.read.option("header", True).csv(f.getPath().toString()).columns if f.getLen() else []
+            if columns:
+                return columns
+    return None
+
+
 def read_packet_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = PACKET_COLUMNS, recursive: bool = True) -> DataFrame:
     """The columns of all captures under path with file and row_pos, the row's place in its file from 0.
 
     The files share one header, in any order of columns; a file with another header raises an error. A column that they
-    lack is null. Bad bytes become replacement characters, torn rows have nulls. Rows are counted in each block of a file
-    first; the sums over the blocks before, a small table, give the places, however the files are split.
+    lack is null. Bad bytes become replacement characters, torn rows have nulls. Files too small to be split are read once
+    and their rows numbered by file. Rows of larger files are counted in each block of a file first; the sums over the blocks
+    before, a small table, give the places, however the files are split.
     """
-    lines = spark.read.option("header", True).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
+    read = spark.read.option("header", True).option("recursiveFileLookup", recursive).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    header = _header(spark, path) if recursive else None
+    if header:  # else Spark infers it, which lists all files once more
+        read = read.schema(T.StructType([T.StructField(c, T.StringType()) for c in header]))
+    lines = read.csv(path)
     cells = [(F.col(f"`{c}`") if c in lines.columns else F.lit(None).cast("string")).alias(c) for c in columns]
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id")]
+    whole = F.col("_metadata.file_size") <= _never_split(spark)  # Spark leaves out the other files when it plans a scan
+    small = lines.where(whole).select(*cells, *at)
+    small = small.select(*columns, "file", (F.row_number().over(Window.partitionBy("file").orderBy("__id")) - 1).cast("long").alias("row_pos"))
+    lines = lines.where(~whole)
     blocks = lines.select(*at).groupBy("file", "__block").agg(F.count(F.lit(1)).alias("__rows"), F.min("__id").alias("__first"))
     before = F.sum("__rows").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))  # a block's ids follow each other
-    return lines.select(*cells, *at).join(blocks, ["file", "__block"]).select(*columns, "file", (F.col("__id") + F.col("__shift")).alias("row_pos"))
+    large = lines.select(*cells, *at).join(blocks, ["file", "__block"]).select(*columns, "file", (F.col("__id") + F.col("__shift")).alias("row_pos"))
+    return small.unionByName(large)
+
+
+def _never_split(spark: SparkSession) -> int:
+    """Bytes up to which Spark never splits a file: a split holds at least the lesser of these two."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return min(size(spark.conf.get(f"spark.sql.files.{x}")) for x in ("maxPartitionBytes", "openCostInBytes"))
 
 
 def opened(path: str):

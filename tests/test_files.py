@@ -36,6 +36,43 @@ def test_row_places_do_not_depend_on_splits(spark, tmp_path, split):
     assert {k: sorted(v) for k, v in found.items()} == {"a_1": [(k, k) for k in range(400)], "b_2": [(0, 0)], "c_3": [(k, k) for k in range(90)]}
 
 
+@pytest.mark.parametrize("cost", ["0", "1500", "4m"])
+def test_row_places_of_files_read_once_and_of_split_files(spark, tmp_path, cost):
+    """Files up to the cost of an opening are never split and read once; larger ones are split into blocks of 1,500 bytes."""
+    want = {"none": 0, **{f"f{k}": k * 7 + 1 for k in range(9)}, "large": 300}
+    for name, n in want.items():
+        (tmp_path / f"{name}_x.csv").write_text("\n".join([HEADER, *lines(n, n)]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500" if cost != "4m" else "128m")
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        found = {}
+        for r in files.list_captures(files.read_packet_csv(spark, str(tmp_path))).collect():
+            found.setdefault(r.app, []).append((r.row_pos, int(r.frame_time)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert {k: sorted(v) for k, v in found.items()} == {k: [(r, r) for r in range(n)] for k, n in want.items() if n}
+
+
+def test_captures_are_listed_once(spark, tmp_path):
+    """The header comes from one file: 40 folders take one job for the list and one for the header."""
+    (tmp_path / "a_first").mkdir()
+    (tmp_path / "a_first" / "_hidden.csv").write_text("other\n1\n")
+    (tmp_path / "a_first" / "empty.csv").write_text("")
+    for k in range(40):
+        (tmp_path / f"f{k:02d}").mkdir()
+        (tmp_path / f"f{k:02d}" / f"a_{k}.csv").write_text("\n".join([HEADER, *lines(3, k)]) + "\n")
+    spark.sparkContext.setJobGroup("captures", "reads captures")
+    try:
+        df = files.read_packet_csv(spark, str(tmp_path))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("captures"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert df.count() == 120 and df.agg(F.sum("row_pos")).first()[0] == 120
+    assert jobs == 2
+
+
 def test_written_captures_are_one_file_each(spark):
     """The folder of a capture holds its file and nothing else, with its packets in order; Spark's writer adds checksum files."""
     from flowkit.plans import file_queries
