@@ -22,12 +22,20 @@ def parse_frame_time_ns(text: Column) -> Column:
 
     Runs of spaces count as one, the zone's name is ignored and all nine digits are kept.
     """
-    s = F.trim(F.regexp_replace(text, r"\s+", " "))
-    form = r"^([A-Za-z]{3} \d{1,2}, \d{4}) (\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?"
-    day = F.unix_date(F.try_to_timestamp(F.regexp_extract(s, form, 1), F.lit("MMM d, yyyy")).cast("date")).cast("long")
-    part = lambda k: F.regexp_extract(s, form, k)
-    seconds = day * 86400 + part(2).try_cast("long") * 3600 + part(3).try_cast("long") * 60 + part(4).try_cast("long")
-    return seconds * NS + F.rpad(F.substring(part(5), 1, 9), 9, "0").try_cast("long")
+    form = r"(?s)^([A-Za-z]{3} \d{1,2}, \d{4}) (\d{2}):(\d{2}):(\d{2})(?:\.(\d+))?.*$"
+    fields = _once(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda s: F.when(s.rlike(form), F.split(F.regexp_replace(s, form, "$1|$2|$3|$4|$5"), r"\|")))
+
+    def nanoseconds(p: Column) -> Column:
+        day = F.unix_date(F.try_to_timestamp(p[0], F.lit("MMM d, yyyy")).cast("date")).cast("long")
+        seconds = day * 86400 + p[1].try_cast("long") * 3600 + p[2].try_cast("long") * 60 + p[3].try_cast("long")
+        return seconds * NS + F.rpad(F.substring(p[4], 1, 9), 9, "0").try_cast("long")
+
+    return _once(fields, nanoseconds)
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value computed once, however often of uses it; Spark's filters compute repeated parts again."""
+    return F.transform(F.array(value), of)[0]
 
 
 def days_from_civil(y: Column, m: Column, d: Column) -> Column:

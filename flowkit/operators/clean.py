@@ -53,10 +53,10 @@ def filter_apps(df: DataFrame, keep: list[str], excluded: list[str] = ()) -> Dat
 
 
 def reject_bad_timestamps(pk: DataFrame, year: int, text: str = "frame_time") -> DataFrame:
-    """Adds t_ns; rows whose time can't be parsed or lies in another year go."""
-    ns = scalar.parse_frame_time_ns(F.col(text))
-    pk = pk.withColumn("t_ns", ns)
-    return pk.where(F.col("t_ns").isNotNull() & (F.year(F.timestamp_seconds(scalar.integer_div(F.col("t_ns"), F.lit(scalar.NS)))) == year))
+    """Adds t_ns; rows whose time can't be parsed or lies in another year go. The time is parsed once: it leaves an array
+    of one value or none, as a filter on the column would be pushed below it and parse the text again for each use."""
+    of_year = F.filter(F.array(scalar.parse_frame_time_ns(F.col(text))), lambda t: F.year(F.timestamp_seconds(scalar.integer_div(t, F.lit(scalar.NS)))) == year)
+    return pk.withColumn("t_ns", F.explode(of_year))
 
 
 def filter_protocol(flows: DataFrame, proto: int) -> DataFrame:

@@ -56,6 +56,16 @@ def test_times(spark):
     assert ns("nonsense") is None
 
 
+def test_times_are_parsed_once(spark):
+    """The filter by year shares the parsed time: the text is made and cleaned once in the plan, not for each use."""
+    from flowkit.plans import catalog
+
+    pk = spark.createDataFrame([(k, t) for k, t in enumerate(["Feb 29, 2024 23:59:59.9 CST", "Dec 31, 2023 23:59:59.999999999 CST", "Jan  1, 2024 00:00:00", "Feb 30, 2024 00:00:00.1 CST", "Apr 3, 2024|07|51|15|3", "nonsense", "", None, "x Apr 3, 2024 07:51:15", "Apr 30, 2024 07:51:15.3811210009 a|b"])], "k long, frame_time string")
+    assert sorted((r.k, r.t_ns) for r in clean.reject_bad_timestamps(pk, 2024).collect()) == [(0, 1709251199900000000), (2, 1704067200000000000), (9, 1714463475381121000)]
+    plan = catalog.QUERIES["b10_reject_bad_timestamps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 1 and plan.count("try_to_timestamp") == 1
+
+
 def packet(flow, t, src, n, size=10.0):
     dst = "b" if src == "a" else "a"
     return ("cap", src, 1 if src == "a" else 2, dst, 2 if src == "a" else 1, 6, t, n, size)
