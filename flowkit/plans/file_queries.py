@@ -38,8 +38,8 @@ def _captures(s: SparkSession, d: str) -> DataFrame:
 
 
 def _written_captures(s: SparkSession, d: str) -> str:
-    """A folder for each capture with its packets in order, as CSV, written by the tasks as streams: Spark's writer starts
-    processes for the permissions of each file on a local file system, and there are as many files as captures."""
+    """A folder for each capture with its packets in order, as CSV, written by the tasks as streams: there are as many files
+    as captures, and Spark's writer took about 22 ms of a task for each, on a local file system."""
     at = scratch(s, "captures")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
