@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Cells of fronts that are held at once, pairs of a batch, queries of a block, series of a block, pairs of a search's fronts
-#: (what a core's cache holds).
-CELLS, PAIRS, QUERIES, SERIES, FRONT = 1 << 22, 2048, 128, 512, 1024
+#: (what a core's cache holds), bytes of one cell of a tile's pairs.
+CELLS, PAIRS, QUERIES, SERIES, FRONT, TILE = 1 << 22, 2048, 128, 512, 1024, 1 << 15
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -322,33 +322,78 @@ def envelope(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def near_fronts(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray) -> np.ndarray:
-    """As fronts() by absolute differences, for pairs of one length and band, steps by pairs: a front holds only the cells of
-    the band, and its cells of one step lie side by side, so every operation runs over memory in order."""
-    n, pairs = a.shape
-    inf, b = float("inf"), np.ascontiguousarray(b[::-1])  # step d - i of b then rises with i
-    out, alive = np.full(pairs, inf), np.arange(pairs)
-    one, two, new = (np.full((n + 2, pairs), inf) for _ in range(3))  # fronts d - 1, d - 2 and d, cell i at i + 1
-    cost = np.empty((min(n, window + 1), pairs))
-    two[0] = 0.0  # before the first cell
+def _band(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray | None = None, every: bool = False) -> np.ndarray:
+    """As fronts() by absolute differences, for series of one length, steps by pairs, or with every for all pairs of a column
+    of a and one of b, by a. Whole numbers of 16 bits give sums of 16 bits without sign, whose highest is infinity.
+
+    The cells of a front are held by i - j, so two arrays, one for even and one for odd differences, are updated in place:
+    cell i - j = t depends on t - 1 and t + 1 of the front before and on t of the one before that."""
+    n, window = len(a), min(window, len(a) - 1)
+    kind, inf = (np.uint16, 65535) if a.dtype == np.int16 else (a.dtype, np.inf)
+    shape = (a.shape[1], b.shape[1])
+    pairs = shape[0] * shape[1] if every else shape[0]
+    b, alive, middle = np.ascontiguousarray(b[::-1]), None, (window + 2) // 2  # step d - i of b then rises with i
+    even, odd = (np.full((2 * middle + 2, pairs), inf, kind) for _ in range(2))  # difference 2t at middle + t, 2t + 1 as well
+    cost = np.empty((window + 1, pairs), a.dtype)
+    even[middle] = 0  # before the first cell
     for d in range(2 * n - 1):
         low, high = max(0, d - n + 1, (d - window + 1) // 2), min(n - 1, d, (d + window) // 2)
-        if low <= high:
-            c, x = cost[: high - low + 1], new[low + 1 : high + 2]
-            np.abs(np.subtract(a[low : high + 1], b[n - 1 - d + low : n - d + high], out=c), out=c)
-            np.minimum(np.minimum(one[low : high + 1], one[low + 1 : high + 2], out=x), two[low : high + 1], out=x)
-            np.add(c, x, out=x)
-        new[low] = new[high + 2] = inf  # all that the next two fronts see beside the band
-        two, one, new = one, new, two
-        if d % 16 == 15 and d < 2 * n - 2:
-            least = np.minimum(one[low : high + 3].min(axis=0), two[max(0, low - 1) : high + 3].min(axis=0))
-            keep = np.flatnonzero(least <= limit)
+        if low > high:
+            continue
+        size, at = high - low + 1, (2 * low - d) // 2 + middle
+        c, x, y = cost[:size], a[low : high + 1], b[n - 1 - d + low : n - d + high]
+        if every:
+            np.subtract(x[:, :, None], y[:, None], out=c.reshape(size, *shape))
+        else:
+            np.subtract(x, y, out=c)
+        np.abs(c, out=c)
+        own, other, first = (odd, even, at) if d % 2 else (even, odd, at - 1)
+        own = own[at : at + size]
+        np.minimum(own, other[first : first + size], out=own)
+        np.minimum(own, other[first + 1 : first + 1 + size], out=own)
+        np.add(own, c.view(kind), out=own)
+        if limit is not None and d % 8 == 6 and 8 < d < 2 * n - 2:
+            keep = np.flatnonzero(np.minimum(even.min(axis=0), odd.min(axis=0)) <= limit)
+            if len(keep) < 0.4 * even.shape[1]:
+                q, k = np.divmod(keep, shape[1]) if every else (keep, keep)
+                a, b, even, odd = np.take(a, q, axis=1), np.take(b, k, axis=1), np.take(even, keep, axis=1), np.take(odd, keep, axis=1)
+                limit, alive, cost, every = limit[keep], keep if alive is None else alive[keep], cost[:, : len(keep)].copy(), False
             if not len(keep):
-                return out
-            if len(keep) < 0.6 * len(least):
-                a, b, one, two = (np.take(x, keep, axis=1) for x in (a, b, one, two))
-                limit, alive, new, cost = limit[keep], alive[keep], np.full_like(one, inf), cost[:, : len(keep)].copy()
-    out[alive] = one[n]
+                break
+    if alive is None:
+        return even[middle]
+    out = np.full(pairs, inf, kind)
+    out[alive] = even[middle]
+    return out
+
+
+def near_fronts(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray) -> np.ndarray:
+    """As fronts() by absolute differences, for pairs of one length and band, steps by pairs: a front holds only the cells of
+    the band, and its cells of one step lie side by side, so every operation runs over memory in order."""
+    return _band(a, b, window, limit)
+
+
+def all_fronts(a: np.ndarray, b: np.ndarray, window: int, limit: np.ndarray | None = None) -> np.ndarray:
+    """As near_fronts(), for each column of a with each of b, in tiles of bounded size; limit is a by b."""
+    out = np.empty((a.shape[1], b.shape[1]), np.uint16 if a.dtype == np.int16 else a.dtype)
+    pairs = max(1, min(TILE // a.dtype.itemsize, CELLS // 4 // (min(window, len(a)) + 2)))
+    wide = min(pairs, b.shape[1])
+    for k in range(0, b.shape[1], wide):
+        y = b[:, k : k + wide]
+        for q in range(0, a.shape[1], max(1, pairs // wide)):
+            tile = slice(q, q + max(1, pairs // wide)), slice(k, k + wide)
+            part = out[tile]
+            part[:] = _band(a[:, tile[0]], y, window, None if limit is None else limit[tile].ravel(), True).reshape(part.shape)
+    return out
+
+
+def steps_outside(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Queries by series: how far the series leave the envelopes of the queries, added step by step; all steps first."""
+    out = np.zeros((low.shape[1], x.shape[1]), np.uint16 if x.dtype == np.int16 else x.dtype)
+    above, below = (np.empty(out.shape, x.dtype) for _ in range(2))
+    for v, least, most in zip(x, low, high, strict=True):
+        np.maximum(np.subtract(v, most[:, None], out=above), np.subtract(least[:, None], v, out=below), out=above)
+        out += np.maximum(above, 0, out=above).view(out.dtype)
     return out
 
 
@@ -377,19 +422,64 @@ class Queries:
 
     def outside(self, x: np.ndarray) -> np.ndarray:
         """Queries by series: how far the series leave the envelopes of the queries, step by step."""
-        out = np.zeros((len(self.ids), len(x)))
-        above, below = np.empty_like(out), np.empty_like(out)
-        for v, low, high in zip(np.ascontiguousarray(x.T), self.low.T, self.high.T, strict=True):
-            np.maximum(np.subtract(v, high[:, None], out=above), np.subtract(low[:, None], v, out=below), out=above)
-            out += np.maximum(above, 0.0, out=above)
-        return out
+        return steps_outside(np.ascontiguousarray(x.T), self.low.T, self.high.T)
 
     def measure(self, q: np.ndarray, k: np.ndarray, x: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Distances of queries q from series k of x; infinite where they exceed their limit."""
         out, values, x = np.empty(len(q)), np.ascontiguousarray(self.values.T), np.ascontiguousarray(x.T)
         for s in range(0, len(q), FRONT):
             part = slice(s, s + FRONT)
-            out[part] = near_fronts(values[:, q[part]], x[:, k[part]], self.window, limit[part])
+            out[part] = near_fronts(np.take(values, q[part], axis=1), np.take(x, k[part], axis=1), self.window, limit[part])
+        return out
+
+
+class Rough:
+    """A block of queries and one of series as whole numbers of 16 bits, which numpy adds and compares several times as fast.
+
+    Values lose their common middle, are multiplied by scale and rounded, so a difference is off by at most one unit and the sum
+    over a path by at most one for each of its cells, 2n - 1 at most. slack is one more, for the rounding of floats. The scale
+    is chosen so that no sum leaves 16 bits: the sum up to a cell is at most that over the diagonal and then aside. Rows with
+    values that aren't finite have no bounds, and neither has anything if fine is False."""
+
+    def __init__(self, queries: Queries, x: np.ndarray) -> None:
+        y, n = queries.values, x.shape[1]
+        self.window = min(queries.window, n - 1)
+        self.odd = ~np.isfinite(y).all(axis=1)[:, None] | ~np.isfinite(x).all(axis=1)
+        y, x = (np.where(np.isfinite(v).all(axis=1)[:, None], v, 0.0) for v in (y, x))
+        self.slack, low, high = 2.0 * n, min(y.min(), x.min()), max(y.max(), x.max())
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            span, middle = high - low, low / 2 + high / 2
+            far = span * self.window + min(span * n, sum(np.abs(v - middle).sum(axis=1).max() for v in (y, x)))
+            self.scale = float(np.minimum(32000 / span, (65000 - 4 * n) / far)) if span > 0 else 1.0
+        self.fine = bool(0 < self.scale < np.inf and 4 * n < 65000 and not self.odd.all())
+        if self.fine:
+            whole = lambda v: np.ascontiguousarray(np.rint((v - middle) * self.scale).astype(np.int16).T)
+            self.y, self.x = whole(y), whole(x)
+            self.low, self.high = (np.ascontiguousarray(v.T) for v in envelope(self.y.T.astype(float), self.window))
+            self.low, self.high = self.low.astype(np.int16), self.high.astype(np.int16)
+
+    def units(self, limit: np.ndarray | float) -> np.ndarray:
+        """Distances above the limit have more units than this."""
+        return np.asarray(limit, float) * self.scale + self.slack
+
+    def outside(self) -> np.ndarray:
+        """Queries.outside() in units, off by less than slack."""
+        return steps_outside(self.x, self.low, self.high)
+
+    def distances(self, left: np.ndarray, units: np.ndarray | None = None) -> np.ndarray:
+        """Queries by series: distances in units, off by less than slack, where left; with units, for each query, those above
+        may be 65535, and elsewhere too. Pairs that are worth it are worked on in tiles, few of them one by one."""
+        limit = None
+        if units is not None and np.isfinite(units).any():  # fronts before the last can do without what the last cell costs
+            last = np.abs(self.y[-1][:, None] - self.x[-1]) if len(self.x) > 1 else 0
+            limit = np.where(left, np.clip(units[:, None] - last, 0, 65534), 0).astype(np.uint16)
+        if left.mean() > 0.3:
+            return all_fronts(self.y, self.x, self.window, limit)
+        out = np.full(left.shape, 65535, np.uint16)
+        q, k = np.nonzero(left)
+        for s in range(0, len(q), 4 * FRONT):
+            a, b = q[s : s + 4 * FRONT], k[s : s + 4 * FRONT]
+            out[a, b] = _band(np.take(self.y, a, axis=1), np.take(self.x, b, axis=1), self.window, None if limit is None else limit[a, b])
         return out
 
 
@@ -441,6 +531,14 @@ def _id_types(*tables: DataFrame) -> tuple[list[str], list[pa.DataType]]:
     return [k.simpleString() for k in kinds], [to_arrow_type(k) for k in kinds]
 
 
+def _blocks_met(batches: Iterable[pa.RecordBatch], sent: list) -> Iterator[tuple[int, Queries, list, np.ndarray]]:
+    """Each block of series with each block of queries of its length, and the place of that."""
+    for ids, x in _series_blocks(batches):
+        for at, held in enumerate(sent):
+            if held.value.values.shape[1] == x.shape[1]:
+                yield at, held.value, ids, x
+
+
 def dtw_within(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES) -> DataFrame:
     """All pairs of a query and another series of its length with a distance of at most limit: series (the query's), partner
     and distance. Exact: bounds drop only pairs that are farther. queries and series are (series, values) tables of numbers
@@ -493,35 +591,47 @@ def dtw_nearest(queries: DataFrame, series: DataFrame, k: int, window: int, bloc
     """The k nearest other series of its length of each query: series, partner, distance and place from 1; equals by partner.
 
     Each task keeps the k best that it has met and prunes by the worst of them; the best of all tasks are the answer. It is
-    exact. Series are measured in the order of their bound, so the limit falls fast. Ids of queries must be distinct."""
+    exact. Distances in whole numbers tell for each block how far the k best lie at most, and few others are measured, in the
+    order of their bound. Ids of queries must be distinct."""
     sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries, series)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict = {}  # query id -> at most k (distance, partner)
-        for ids, x in _series_blocks(batches):
-            for held in sent:
-                own = held.value
-                if own.values.shape[1] != x.shape[1]:
-                    continue
-                limits = lambda: np.array([best[i][-1][0] if len(best.get(i, ())) == k else np.inf for i in own.ids])  # noqa: E731, B023
-                bounds, now = own.outside(x), limits()
-                q, s = np.nonzero(own.others(ids) & (own.ends(x) <= now[:, None]) & (bounds <= now[:, None]))
-                bound = bounds[q, s]
-                order = np.argsort(bound, kind="stable")
-                q, s, bound = q[order], s[order], bound[order]
-                at = 0
-                while at < len(q):
-                    now = limits()
-                    part = slice(at, at + (FRONT if np.isfinite(now).all() else max(16, 2 * len(own.ids))))
-                    near = np.flatnonzero(bound[part] <= now[q[part]]) + at
-                    d = own.measure(q[near], s[near], x, now[q[near]])
-                    good = np.isfinite(d) & (d <= now[q[near]])
-                    for a, b, v in zip(q[near[good]].tolist(), s[near[good]].tolist(), d[good].tolist(), strict=True):
-                        kept = best.setdefault(own.ids[a], [])
-                        kept.append((v, ids[b]))
-                        kept.sort(key=lambda r: (r[0], r[1] is None, r[1]))
-                        del kept[k:]
-                    at = part.stop
+        worst: dict[int, np.ndarray] = {}  # block of queries -> what the answers of each don't exceed
+        for at, own, ids, x in _blocks_met(batches, sent):
+            now = worst.setdefault(at, np.full(len(own.ids), np.inf))
+            left = own.others(ids) & (own.ends(x) <= now[:, None])
+            rough = Rough(own, x)
+            if rough.fine:
+                most = rough.units(now)
+                left &= (rough.outside() <= most[:, None]) | rough.odd
+                found = np.where(left & ~rough.odd, rough.distances(left & ~rough.odd, most), 65535)
+                if found.shape[1] >= k:
+                    last = np.partition(found, k - 1, axis=1)[:, k - 1]
+                    now[:] = np.where(last < 65535, np.minimum(now, (last + rough.slack) / rough.scale), now)
+                bounds = np.where(rough.odd, 0.0, np.maximum(0.0, found - rough.slack) / rough.scale)
+                left &= bounds <= now[:, None]
+            else:
+                bounds = own.outside(x)
+                left &= ~(bounds > now[:, None])
+            q, s = np.nonzero(left)
+            bound = bounds[q, s]
+            order = np.argsort(bound, kind="stable")
+            q, s, bound = q[order], s[order], bound[order]
+            start = 0
+            while start < len(q):
+                part = slice(start, start + (FRONT if np.isfinite(now).all() else max(16, 2 * len(own.ids))))
+                near = np.flatnonzero(bound[part] <= now[q[part]]) + start
+                d = own.measure(q[near], s[near], x, now[q[near]])
+                good = np.isfinite(d) & (d <= now[q[near]])
+                for a, b, v in zip(q[near[good]].tolist(), s[near[good]].tolist(), d[good].tolist(), strict=True):
+                    kept = best.setdefault(own.ids[a], [])
+                    kept.append((v, ids[b]))
+                    kept.sort(key=lambda r: (r[0], r[1] is None, r[1]))
+                    del kept[k:]
+                    if len(kept) == k:
+                        now[a] = min(now[a], kept[-1][0])
+                start = part.stop
         rows = [(i, p, d) for i, kept in best.items() for d, p in kept]
         if rows:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*types, pa.float64()), strict=True)]

@@ -222,3 +222,89 @@ def test_kernels_take_arrow_batches_in_parts(spark):
     added = augment._added(mean, b, w)
     assert isinstance(added, pa.Array) and added.type.value_type.num_fields == 2  # no Python objects for cells
     assert all(r == [{"total": 0.0, "mass": 2.0 * k}, {"total": float(k), "mass": float(k)}] for k, r in enumerate(added.to_pylist()))
+
+
+def exactly(monkeypatch, ids, values, asked, run):
+    """Rows of a search's task over all series in one batch, in this process, and how many pairs it measured in floats."""
+    import types
+
+    import pyarrow as pa
+
+    task, pairs = [], []
+    at = [ids.index(i) for i in asked]
+    queries = warping.Queries(list(asked), np.array([values[k] for k in at]), 8)
+    measure, band = warping.Queries.measure, warping._band
+
+    def counted(a, b, window, limit=None, every=False):
+        pairs.append((a.shape[1] * b.shape[1] if every else a.shape[1]) if a.dtype == float else 0)
+        return band(a, b, window, limit, every)
+
+    monkeypatch.setattr(warping, "_query_blocks", lambda *_: [types.SimpleNamespace(value=queries)])
+    monkeypatch.setattr(warping, "_id_types", lambda *_: (["long"] * 2, [pa.int64()] * 2))
+    monkeypatch.setattr(warping, "_spread", lambda _: types.SimpleNamespace(mapInArrow=lambda f, _: (task.append(f), 1 / 0)))
+    monkeypatch.setattr(warping, "_band", counted)
+    monkeypatch.setattr(warping.Queries, "measure", measure)
+    with pytest.raises(ZeroDivisionError):
+        run()
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(values)], names=["series", "values"])
+    return [r for b in task[0]([batch]) for r in b.to_pylist()], sum(pairs)
+
+
+def noise(count, seed=4, steps=24):
+    rng = np.random.default_rng(seed)
+    return list(range(count)), [[float(v) for v in x] for x in rng.normal(size=(count, steps)).astype(np.float32)]
+
+
+@pytest.mark.parametrize("level, spread", [(0.0, 1.0), (1e6, 1.0), (-3.0, 1e-9), (0.0, 1e9)])
+def test_whole_numbers_bound_distances(level, spread):
+    rng = np.random.default_rng(8)
+    for n, window in ((1, 0), (2, 1), (24, 8), (24, 0), (40, 60)):
+        x, y = level + spread * rng.normal(size=(50, n)), level + spread * rng.normal(size=(9, n))
+        x[3], x[4, 0], x[5, -1], y[2, 0] = x[6], np.nan, np.inf, np.nan
+        q, rows = warping.Queries(list(range(9)), y, window), np.ones((9, 50), bool)
+        rough = warping.Rough(q, x)
+        assert rough.fine and (rough.odd == ([k == 2 for k in range(9)] | np.isin(np.arange(50), (4, 5))[:, None]).T).all()
+        fine = ~rough.odd
+        with np.errstate(invalid="ignore"):
+            d, out = q.measure(*np.nonzero(rows), x, np.full(450, np.inf)).reshape(9, 50), q.outside(x)
+        assert (np.abs(rough.outside() - out * rough.scale)[fine] < rough.slack).all()
+        limit = np.median(d[fine])
+        for left in (rows, rows & (rng.random((9, 50)) < 0.2)):
+            assert (np.abs(rough.distances(left) - d * rough.scale)[fine & left] < rough.slack).all()
+            some = rough.distances(left, np.full(9, rough.units(limit)))
+            assert (some <= rough.units(limit))[fine & left & (d <= limit)].all()
+
+
+def test_numbers_that_whole_ones_cannot_tell():
+    x = np.zeros((3, 8))
+    assert warping.Rough(warping.Queries([0], x[:1], 2), x).fine
+    x[0, 0] = 1e308
+    y = -x
+    assert not warping.Rough(warping.Queries([0], y, 2), x).fine and not warping.Rough(warping.Queries([0], np.full((1, 8), np.nan), 2), x).fine
+    assert not warping.Rough(warping.Queries([0], np.zeros((1, 20000)), 2), np.zeros((1, 20000))).fine
+
+
+def test_nearest_measures_few_pairs(monkeypatch):
+    ids, values = noise(500)
+    asked = ids[:500:50]
+    rows, pairs = exactly(monkeypatch, ids, values, asked, lambda: warping.dtw_nearest(None, None, 3, 8))
+    assert pairs < 0.02 * 5000  # before: all pairs that two bounds left, nearly all of noise
+    v = np.array(values)[:, :, None]
+    d = {i: np.array([by_hand(v[i], v[j], 8) if i != j else np.inf for j in range(60)]) for i in asked[:1]}
+    got = sorted((r["distance"], r["partner"]) for r in rows if r["series"] == 0)
+    assert len(rows) == 30 and sum(x <= got[-1][0] for x in d[0]) == sum(p < 60 for _, p in got) and all(abs(x - by_hand(v[0], v[p], 8)) < 1e-9 for x, p in got)
+
+
+def test_nearest_of_odd_numbers(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in 1e5 + rng.normal(size=12)]) for k in range(40)]
+    rows += [(40, [1e12] * 12), (41, [1e12] * 12), (42, [float("nan")] * 12), (43, [1e300] * 12), (44, rows[0][1])]
+    df = spark.createDataFrame(rows, "series long, values array<double>").repartition(3)
+    want = {}
+    for (i, j), d in all_pairs(rows, {0, 41, 42}, 3).items():
+        if not math.isnan(d):
+            want.setdefault(i, []).append((d, j))
+    found = warping.dtw_nearest(df.where("series IN (0, 41, 42)"), df, 3, 3).collect()
+    for i in (0, 41):
+        assert [j for _, j in sorted(want[i])[:3]] == [r.partner for r in sorted((r for r in found if r.series == i), key=lambda r: r.place)]
+    assert {r.series for r in found} == {0, 41}
