@@ -432,6 +432,15 @@ class Queries:
             out[part] = near_fronts(np.take(values, q[part], axis=1), np.take(x, k[part], axis=1), self.window, limit[part])
         return out
 
+    def measure_where(self, left: np.ndarray, x: np.ndarray, limit: float) -> np.ndarray:
+        """Queries by series: the distances where left, or above the limit (where not left, anything above it)."""
+        if left.mean() > 0.4:
+            return np.where(left, all_fronts(np.ascontiguousarray(self.values.T), np.ascontiguousarray(x.T), self.window), np.inf)
+        q, k = np.nonzero(left)
+        out = np.full(left.shape, np.inf)
+        out[q, k] = self.measure(q, k, x, np.full(len(q), limit))
+        return out
+
 
 class Rough:
     """A block of queries and one of series as whole numbers of 16 bits, which numpy adds and compares several times as fast.
@@ -563,23 +572,31 @@ def dtw_within(queries: DataFrame, series: DataFrame, limit: float, window: int,
 
 
 def dtw_bounds(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES) -> DataFrame:
-    """How many pairs of dtw_within() each step leaves, by query: pairs, by_ends, by_envelope and within."""
+    """How many pairs of dtw_within() each step leaves, by query: pairs, by_ends, by_envelope and within. Whole numbers tell
+    most pairs apart; those near the limit are measured exactly."""
     sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}  # block of queries -> four counts of each
-        for ids, x in _series_blocks(batches):
-            for at, held in enumerate(sent):
-                own = held.value
-                if own.values.shape[1] != x.shape[1]:
-                    continue
-                other = own.others(ids)
-                ends = other & (own.ends(x) <= limit)
+        for at, own, ids, x in _blocks_met(batches, sent):
+            other = own.others(ids)
+            ends = other & (own.ends(x) <= limit)
+            rough = Rough(own, x)
+            if rough.fine:
+                most, least = rough.units(limit), rough.units(limit) - 2 * rough.slack
+                outside = rough.outside()
+                near, open_ = ends & ~rough.odd & (outside <= least), ends & (rough.odd | (outside > least) & (outside <= most))
+                if open_.any():
+                    some = open_.any(axis=0)
+                    near[:, some] |= open_[:, some] & (own.outside(x[some]) <= limit)
+                d = rough.distances(near & ~rough.odd, np.full(len(own.ids), most))
+                close, open_ = near & ~rough.odd & (d <= least), near & (rough.odd | (d > least) & (d <= most))
+                q, k = np.nonzero(open_)
+                close[q, k] = own.measure(q, k, x, np.full(len(q), limit)) <= limit
+            else:
                 near = ends & (own.outside(x) <= limit)
-                q, k = np.nonzero(near)
-                close = own.measure(q, k, x, np.full(len(q), limit)) <= limit
-                found = np.stack([other.sum(axis=1), ends.sum(axis=1), near.sum(axis=1), np.bincount(q[close], minlength=len(own.ids))])
-                counts[at] = counts.get(at, 0) + found
+                close = own.measure_where(near, x, limit) <= limit
+            counts[at] = counts.get(at, 0) + np.stack([f.sum(axis=1) for f in (other, ends, near, close)])
         for at, found in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array(sent[at].value.ids, types[0]), *(pa.array(c.astype(np.int64)) for c in found)], names=["series", "pairs", "by_ends", "by_envelope", "within"])
 

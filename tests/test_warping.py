@@ -308,3 +308,19 @@ def test_nearest_of_odd_numbers(spark):
     for i in (0, 41):
         assert [j for _, j in sorted(want[i])[:3]] == [r.partner for r in sorted((r for r in found if r.series == i), key=lambda r: r.place)]
     assert {r.series for r in found} == {0, 41}
+
+
+def test_bounds_count_exactly_and_measure_few_pairs(monkeypatch):
+    ids, values = noise(300)
+    asked = ids[:300:60]
+    v = np.array(values)
+    q, own = warping.Queries(asked, v[asked], 8), np.array([[i != j for j in ids] for i in asked])
+    d = q.measure(*np.nonzero(np.ones((5, 300), bool)), v, np.full(1500, np.inf)).reshape(5, 300)
+    for limit in (float(np.sort(d[own])[700]), float(np.sort(q.outside(v)[own])[300])):  # one pair lies on it
+        with monkeypatch.context() as m:
+            rows, pairs = exactly(m, ids, values, asked, lambda: warping.dtw_bounds(None, None, limit, 8))  # noqa: B023
+        ends = own & (q.ends(v) <= limit)
+        near = ends & (q.outside(v) <= limit)
+        want = [f.sum(axis=1).tolist() for f in (own, ends, near, near & (d <= limit))]
+        assert [[r[c] for r in rows] for c in ("pairs", "by_ends", "by_envelope", "within")] == want
+        assert pairs < 0.05 * 1500  # before: all pairs that the bounds left
