@@ -12,6 +12,7 @@ nearest search is the k-th best so far.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Cells of fronts that are held at once, pairs of a batch, queries of a block, series of a block, pairs of a search's fronts
-#: (what a core's cache holds), bytes of one cell of a tile's pairs.
-CELLS, PAIRS, QUERIES, SERIES, FRONT, TILE = 1 << 22, 2048, 128, 512, 1024, 1 << 15
+#: (what a core's cache holds), bytes of one cell of a tile's pairs, rows of a batch of results.
+CELLS, PAIRS, QUERIES, SERIES, FRONT, TILE, ROWS = 1 << 22, 2048, 128, 512, 1024, 1 << 15, 1 << 14
 
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -492,6 +493,22 @@ class Rough:
         return out
 
 
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Numbers from 0 rounded as round() of Spark does: by their decimal text, halves up."""
+    if not len(x):
+        return x
+    shifted = x * 10.0**digits
+    out = np.floor(shifted + 0.5) / 10.0**digits
+    with np.errstate(invalid="ignore"):
+        close = (np.abs(shifted - np.floor(shifted) - 0.5) < 1e-5) | ~(shifted < 1e9)
+    for k in np.flatnonzero(close):
+        if np.isfinite(x[k]):
+            out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, Context(prec=400)))
+        else:
+            out[k] = x[k]
+    return out
+
+
 def _query_blocks(queries: DataFrame, window: int, block: int) -> list:
     """Broadcasts of at most block queries of one length each; the driver holds one block at a time."""
     sc = queries.sparkSession.sparkContext
@@ -548,25 +565,32 @@ def _blocks_met(batches: Iterable[pa.RecordBatch], sent: list) -> Iterator[tuple
                 yield at, held.value, ids, x
 
 
-def dtw_within(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES) -> DataFrame:
+def dtw_within(queries: DataFrame, series: DataFrame, limit: float, window: int, block: int = QUERIES, digits: int | None = None) -> DataFrame:
     """All pairs of a query and another series of its length with a distance of at most limit: series (the query's), partner
-    and distance. Exact: bounds drop only pairs that are farther. queries and series are (series, values) tables of numbers
-    without nulls; null and empty arrays match nothing. Repeated rows give repeated pairs."""
+    and distance, rounded to digits if asked for, as round() does. Exact: bounds drop only pairs that are farther. queries and
+    series are (series, values) tables of numbers without nulls; null and empty arrays match nothing. Repeated rows give
+    repeated pairs."""
     sent, (kinds, types) = _query_blocks(queries, window, block), _id_types(queries, series)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _series_blocks(batches):
+        turn: dict[int, int] = {}  # block of queries -> blocks of series to go until bounds are tried again
+        for at, own, ids, x in _blocks_met(batches, sent):
+            left = own.others(ids) & (own.ends(x) <= limit)
+            turn[at] = turn.get(at, 0) - 1
+            rough = Rough(own, x) if turn[at] < 0 else None
+            if rough and rough.fine:
+                most = rough.units(limit)
+                left &= (rough.outside() <= most) | rough.odd
+                left &= (rough.distances(left & ~rough.odd, np.full(len(own.ids), most)) <= most) | rough.odd
+                turn[at] = 16 if left.mean() > 0.6 else 0  # bounds that leave most pairs cost more than they save
+            d = own.measure_where(left, x, limit)
+            q, k = np.nonzero(d <= limit)
+            d, names = d[q, k], pa.array(own.ids, types[0])
             partners = pa.array(ids, types[1])
-            for held in sent:
-                own = held.value
-                if own.values.shape[1] != x.shape[1]:
-                    continue
-                q, k = np.nonzero(own.others(ids) & (own.ends(x) <= limit) & (own.outside(x) <= limit))
-                d = own.measure(q, k, x, np.full(len(q), limit))
-                near = d <= limit
-                if near.any():
-                    columns = [pa.array(own.ids, types[0]).take(pa.array(q[near])), partners.take(pa.array(k[near])), pa.array(d[near])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["series", "partner", "distance"])
+            for s in range(0, len(q), ROWS):
+                part = slice(s, s + ROWS)
+                columns = [names.take(pa.array(q[part])), partners.take(pa.array(k[part])), pa.array(d[part] if digits is None else half_up(d[part], digits))]
+                yield pa.RecordBatch.from_arrays(columns, names=["series", "partner", "distance"])
 
     return _spread(series).mapInArrow(search, f"series {kinds[0]}, partner {kinds[1]}, distance double")
 

@@ -94,7 +94,7 @@ def _next_of_class(s, d):
 
 
 query("j9_dtw_within", f"WITH RECURSIVE {sql_fronts(ASKED, PLAIN, str(WINDOW))} SELECT series, partner, round(distance, 6) AS distance FROM warped WHERE distance <= {LIMIT}")(
-    lambda s, d: warping.dtw_within(*_asked(s, d), LIMIT, WINDOW).withColumn("distance", F.round("distance", 6))
+    lambda s, d: warping.dtw_within(*_asked(s, d), LIMIT, WINDOW, digits=6)
 )
 query("j9_dtw_nearest", f"WITH RECURSIVE {sql_fronts(ASKED, PLAIN, str(WINDOW))}, placed AS (SELECT series, partner, distance, row_number() OVER (PARTITION BY series ORDER BY distance, partner) AS place FROM warped) SELECT series, partner, round(distance, 6) AS distance, place FROM placed WHERE place <= {NEAREST}")(
     lambda s, d: warping.dtw_nearest(*_asked(s, d), NEAREST, WINDOW).withColumn("distance", F.round("distance", 6))

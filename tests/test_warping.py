@@ -324,3 +324,26 @@ def test_bounds_count_exactly_and_measure_few_pairs(monkeypatch):
         want = [f.sum(axis=1).tolist() for f in (own, ends, near, near & (d <= limit))]
         assert [[r[c] for r in rows] for c in ("pairs", "by_ends", "by_envelope", "within")] == want
         assert pairs < 0.05 * 1500  # before: all pairs that the bounds left
+
+
+def test_rounding_is_that_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.random(3000) * 8, np.round(rng.random(3000), 6) + 5e-7, [0.0, 5e-7, 4.9999999e-7, 1.0000005, 2.5, 123456.7890125, 1e9 + 0.1234565, 1e13 + 0.3, 1e300]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(1).select(F.round("x", 6)).collect()]
+    assert warping.half_up(x, 6).tolist() == want
+    assert np.isnan(warping.half_up(np.array([np.nan, np.inf]), 6)[0]) and len(warping.half_up(np.array([]), 6)) == 0
+
+
+def test_within_of_loose_and_of_tight_limits(monkeypatch):
+    ids, values = noise(1200, steps=16)
+    asked = ids[:1200:240]
+    v = np.array(values)
+    d = warping.Queries(asked, v[asked], 8).measure(*np.nonzero(np.ones((5, 1200), bool)), v, np.full(6000, np.inf)).reshape(5, 1200)
+    for limit, most in ((float(np.quantile(d, 0.02)), 0.05), (float(np.quantile(d, 0.98)), 1.0)):
+        with monkeypatch.context() as m:
+            rows, pairs = exactly(m, ids, values, asked, lambda: warping.dtw_within(None, None, limit, 8, digits=6))  # noqa: B023
+        want = {(i, j): d[a, j] for a, i in enumerate(asked) for j in ids if i != j and d[a, j] <= limit}
+        assert {(r["series"], r["partner"]): r["distance"] for r in rows} == {k: round(float(x), 6) for k, x in want.items()}
+        assert len(rows) == len(want) and pairs <= most * 6000
