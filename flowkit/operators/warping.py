@@ -4,9 +4,10 @@ A batch of pairs is worked on by wavefronts: all cells of one front depend on ea
 one array operation. Series are arrays of numbers, or of arrays with a number for each channel.
 
 Searches hold a stated set of queries against all series. Queries travel in blocks of bounded size; a task streams its
-series past them. A pair is measured only if two bounds leave it: the differences of the first and of the last steps, then
-the distance of one series from the envelope of the other. Measuring stops when a front exceeds the limit, which in a
-nearest search is the k-th best so far.
+series past them. Three bounds come before a measure: the differences of the first and of the last steps, the distance of one
+series from the envelope of the other, and the distance of both as whole numbers of 16 bits (Rough), which is off by a known
+amount at most. Measuring few pairs stops when a front exceeds the limit, which in a nearest search is the k-th best so far;
+where most pairs are left, all of a tile are measured.
 """
 
 from __future__ import annotations
